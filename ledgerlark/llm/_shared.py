@@ -53,8 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a row number `_row` of its own, stored: repeated or null identifiers stay apart."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """docs as _row, a number of the row's own, and _doc, all its columns, stored: repeated or null identifiers stay apart, and no name clashes."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")))
+
+
+def id_and_text(rows: DataFrame) -> DataFrame:
+    """_row, doc_id and text of keyed rows."""
+    return rows.select("_row", "_doc.doc_id", "_doc.text")
 
 
 def hex_digits(rows: int) -> int:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import BUCKET_ROWS, NOT_WHITE, hex_digits, running_total, stored
@@ -22,11 +22,12 @@ WEIGHTS = (5, 2, 1)
 BUDGET, CAP = 1.5, 2
 
 
-def _queue(docs: DataFrame, salt: str) -> DataFrame:
-    """docs plus _size, its words, and _place, its shuffled place in the queue."""
-    return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(NOT_WHITE)), F.lit(0)).cast("long")).withColumn(
-        "_place", F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    )
+def _queued(salt: str) -> list[Column]:
+    """_size, a document's words, and _place, its shuffled place in the queue."""
+    return [
+        F.coalesce(F.regexp_count("text", F.lit(NOT_WHITE)), F.lit(0)).cast("long").alias("_size"),
+        F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_place"),
+    ]
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -91,39 +92,37 @@ def _places(sizes: DataFrame) -> DataFrame:
     return stored(sources.join(ends, "rank", "left").select("source", "source_size", "target", "_once", "_twice"))
 
 
-def schedule(docs: DataFrame, salt: str = "mix", sizes: DataFrame | None = None) -> DataFrame:
-    """docs plus size, source_size, target and copies: how often (0 to 2) the mix takes each.
+def schedule(docs: DataFrame, salt: str = "mix") -> DataFrame:
+    """One row a document: _doc, all columns of docs; size, source_size, target; and copies, how often (0 to 2) the mix takes it.
 
-    docs has doc_id, text and source; its other columns pass through. Size is the number
-    of words; null and blank texts count 0 and are taken 0 times or more without effect.
-    A null source is a source of its own, the last. Repeated rows are documents of their
-    own. An empty table gives an empty mix. Reruns agree: the shuffle is a digest of
-    doc_id and `salt`. Per source only two queue places are kept, so texts are never shuffled.
+    docs has doc_id, text and source. Size is the number of words; null and blank texts
+    count 0 and are not taken. A null source is a source of its own, the last. Repeated
+    rows are documents of their own. An empty table gives an empty mix. Reruns agree: the
+    shuffle is a digest of doc_id and `salt`. Per source only two queue places are kept,
+    so texts are never shuffled.
     """
-    queue = _queue(docs, salt)
-    if sizes is None:
-        sizes = stored(queue.select("doc_id", "source", "_size", "_place"))
-    ends = _places(sizes).withColumnRenamed("source", "_source")
+    queue = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", *_queued(salt))
+    sizes = stored(queue.drop("_doc"))
+    return _taken(queue, _places(sizes))
+
+
+def _taken(queue: DataFrame, ends: DataFrame) -> DataFrame:
     place = F.struct("_place", "doc_id", "_size")
     copies = sum(F.when(place <= F.col(x), 1).otherwise(0) for x in ("_once", "_twice"))
-    out = queue.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("copies", F.when(F.col("_size") > 0, copies).otherwise(0))
-    return out.withColumnRenamed("_size", "size").drop("_source", "_place", "_once", "_twice")
+    out = queue.join(ends.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
+    out = out.withColumn("copies", F.when(F.col("_size") > 0, copies).otherwise(0)).withColumnRenamed("_size", "size")
+    return out.drop("_source", "_place", "_once", "_twice")
 
 
 def mix(docs: DataFrame, salt: str = "mix") -> DataFrame:
     """The mixed documents: docs' own columns, each row as often as the mix takes it."""
     out = schedule(docs, salt).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    return out.select("_doc", F.explode(F.sequence(F.lit(1), "copies"))).select("_doc.*")
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    sizes = stored(_queue(docs.select("doc_id", "source", "text"), "mix").select("doc_id", "source", "_size", "_place"))
-    ends = _places(sizes).withColumnRenamed("source", "_source")
-    place = F.struct("_place", "doc_id", "_size")
-    copies = sum(F.when(place <= F.col(x), 1).otherwise(0) for x in ("_once", "_twice"))
-    return sizes.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").select(
-        "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * copies).alias("taken")
-    )
+    sizes = stored(docs.select("doc_id", "source", *_queued("mix")))
+    return _taken(sizes, _places(sizes)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 SQL = """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, mixing, simhash
+from . import chat, decontam, exact_dedup, licenses, lm, mixing, pii, quality, sharding, simhash
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,37 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op5_exact_dedup, op7_simhash, op8_decontamination)}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_exact_dedup": exact_dedup.SQL, "op8_decontamination": decontam.SQL}
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op3(table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op4(table(spark, sf_dir, "documents"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op6(table(spark, sf_dir, "documents"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op9(table(spark, sf_dir, "conversations"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op10(table(spark, sf_dir, "documents"))
+
+
+#: What the operators offer beside the eleven queries' columns is tested in tests/llm.
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_mixing, op2_quality, op3_licenses, op4_sharding, op5_exact_dedup, op6_lm_scoring, op7_simhash, op8_decontamination, op9_chat, op10_pii)
+}
+
+SQL: dict[str, str] = {
+    "op1_mixing": mixing.SQL, "op3_licenses": licenses.SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_lm_scoring": lm.SQL,
+    "op8_decontamination": decontam.SQL, "op9_chat": chat.SQL,
+}

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_text_batches, keyed, stored
+from ._shared import bounded_text_batches, id_and_text, keyed, stored
 
 SHINGLE, MOST_BITS, SEGMENTS = 3, 2, 2
 #: Shingle hashes that are counted at a time, so a very long text needs no more memory than this.
@@ -112,10 +112,10 @@ def group(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the first row of its smallest doc_id."""
     rows = keyed(docs)
-    groups = group(rows)
+    groups = group(id_and_text(rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     stay = groups.groupBy(F.col("component_id").alias("c")).agg(first.alias("f")).select(F.col("f._row").alias("_row"))
-    return rows.join(stored(stay), "_row", "left_semi").select(*docs.columns)
+    return rows.join(stored(stay), "_row", "left_semi").select("_doc.*")
 
 
 def op7(docs: DataFrame) -> DataFrame:
