@@ -1,0 +1,238 @@
+"""Quality, licences, sharding, language model, chat and personal data: brute force and odd inputs."""
+
+import datetime as dt
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlark.llm import chat, licenses, lm, pii, quality, sharding
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, shard int, copies string"
+MIT = licenses.TEMPLATES["mit"]
+ROWS = [
+    (1, "one two three one two three. One two", "en", "a", 40), (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \n ", "en", "b", 3), (5, "one two three one two three. One two", "en", "a", 40),
+    (5, "one two three one two three. One two", "en", "a", 40), (None, "one two " * 40, "de", "b", 320), (6, "w " * 60_000, "en", "c", 120_000), (7, "intro words\n" + MIT + "\nand more", "en", "c", 1),
+    (8, " ".join(w for i, w in enumerate(MIT.split()) if i % 40 != 7), "en", "c", 1), (9, "Released under the MIT License. " * 3, "en", "c", 1), (10, "Σ one два три", "ru", "ж", 13),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, 1, 2, "x") for r in ROWS], SCHEMA)
+
+
+# --- sharding
+
+
+def shards_hold(rows, shards=24):
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    sizes = [len(by[s]) for s in range(shards)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_sharding(docs):
+    got = sharding.op4(docs).collect()
+    assert len(got) == len(ROWS)
+    shards_hold(got)
+    assert {r["size"] for r in got if r.doc_id == 2} == {8} and all(r.text_crc32 is None for r in got if r.doc_id == 2)
+    out = sharding.shard_documents(docs, 3)
+    assert out.count() == len(ROWS) and out.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
+    assert sharding.op4(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot,pairs,single", [(300, 50, 100), (0, 200, 0), (500, 0, 0), (0, 0, 100), (30, 100, 7)])
+def test_groups_stay_together_as_far_as_shares_let_them(spark, hot, pairs, single):
+    texts = ["hot"] * hot + [f"pair {i}" for i in range(pairs) for _ in range(2)] + [f"single {i}" for i in range(single)]
+    rows = sharding.assign(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row long, doc_id long, text string"), 8).collect()
+    shards_hold(rows, 8)
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r.doc_id]].add(r.shard)
+    share = len(texts) // 8
+    assert len(where.get("hot", ())) <= (math.ceil(hot / max(share, 1)) + 2 if hot else 0)
+    split = sum(len(s) > 1 for t, s in where.items() if t.startswith("pair"))
+    assert split <= 0.25 * pairs
+
+
+def test_admitted_moves_never_overfill():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        asked = {(int(a), int(b)): int(n) for a, b, n in rng.integers(0, 6, (20, 3)) * [1, 1, 5] if a != b}
+        free = [int(x) for x in rng.integers(0, 8, 6)]
+        flow = sharding.admitted(asked, free)
+        for s, room in enumerate(free):
+            assert sum(n for p, n in flow.items() if p[1] == s) - sum(n for p, n in flow.items() if p[0] == s) <= room
+        assert all(0 <= flow[p] <= n for p, n in asked.items())
+
+
+# --- language model
+
+
+def test_language_model(docs):
+    got = lm.op6(docs).collect()
+    grams, first, last = Counter(), Counter(), Counter()
+    toks = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t, *_ in ROWS]
+    for ws in toks:
+        grams.update(zip(ws, ws[1:]))
+        first.update(ws[:-1])
+        last.update(ws[1:])
+    n = sum(last.values())
+    want = [(d, len(ws) - 1 if ws else 0, sum(math.log(grams[a, b] / first[a]) if grams[a, b] >= 2 else math.log(0.4 * last[b] / n) for a, b in zip(ws, ws[1:]))) for (d, *_), ws in zip(ROWS, toks)]
+    key = lambda r: (str(r[0]), r[1])
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-9)
+    assert lm.op6(docs.limit(0)).count() == 0
+
+
+def test_language_model_in_many_buckets(docs):
+    few = sorted(map(str, lm.score(docs).select("doc_id", F.round("log_score", 6)).collect()))
+    many = sorted(map(str, lm.score(docs, bucket_grams=500, hot_share=10_000).select("doc_id", F.round("log_score", 6)).collect()))
+    assert few == many
+
+
+# --- licences
+
+
+def test_licences(docs):
+    got = {(r.doc_id, r.template): r for r in licenses.op3(docs).collect()}
+    assert {d for d, t in got if t == "mit"} == {7, 8} and got[7, "mit"].containment == 1 and 0.8 <= got[8, "mit"].containment < 1
+    assert got[9, "mit-line"].windows >= 3 and {d for d, _ in got} == {7, 8, 9}
+    assert licenses.collision_probability() > 0.99999
+    assert licenses.op3(docs.limit(0)).count() == 0
+
+
+def test_no_templates_match_nothing(docs):
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
+    assert licenses.scan(rows, {"short": "one two three"}).count() == 0
+
+
+# --- quality
+
+
+def test_quality_on_held_out_documents(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    train, held = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
+    got = quality.score(docs, train).join(held, "doc_id").agg(F.avg((F.col("keep") == (held["quality"] == 1)).cast("double"))).first()[0]
+    assert got > 0.98
+
+
+def test_quality_of_odd_rows(docs, spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 11)] + [(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score(docs, labels).count() == len(ROWS)
+    none = quality.score(docs, labels.limit(0)).collect()
+    assert len(none) == len(ROWS) and all(r.keep and r.quality is None for r in none)
+    assert quality.keep_good(docs, labels).columns == docs.columns
+    assert quality.score(docs.limit(0), labels).count() == 0
+
+
+def test_views_learn_from_each_other(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, ("Good words here, and more. " * int(rng.integers(2, 6))) if i % 2 else "$$$ ### " * int(rng.integers(2, 30)), "en", "good" if i % 2 else "bad", 10) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = quality.score(docs, labels).collect()
+    assert all(r.keep == bool(r.doc_id % 2) for r in got) and all((r.meta_score > 0.5) == bool(r.doc_id % 2) for r in got)
+
+
+# --- chat
+
+TALKS = [
+    (1, 0, "user", "hello"), (1, 1, "assistant", "hi </s> there"), (1, 1, "assistant", "hi </s> there"), (2, 0, None, None), (2, None, "assistant", "\\e \\\\ <s>[INST]0user[/INST]x</s>"),
+    (None, 3, "assistant", ""), (3, 0, "a</s>b", "</s" + "</s>"), (3, 1, "assistant", "[/INST]<s>"), (4, 0, "assistant", "x" * 100_000 + "\n\U0001F600"),
+]
+
+
+def test_chat(spark):
+    rows = spark.createDataFrame([(*t, 1, "z") for t in TALKS], "conv_id long, turn long, role string, text string, offset int, formatted string")
+    got = {r.conv_id: r for r in chat.op9(rows).collect()}
+    want = defaultdict(list)
+    for c, turn, role, text in [*TALKS, (-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]:
+        want[c].append((turn is not None, turn or 0, role or "", text or ""))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got.keys() == want.keys()
+    for c, turns in want.items():
+        turns.sort()
+        loss = "".join(t for *_, role, t in turns if role == "assistant")
+        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(loss), sha(loss))
+        assert got[c].turns_sha256 == sha("".join(f"{r}\n{t}\n" for *_, r, t in turns))
+    assert chat.op9(rows.limit(0)).count() == 1
+
+
+def test_chat_spans_point_at_the_texts(spark):
+    rows = spark.createDataFrame(TALKS, "conv_id long, turn long, role string, text string")
+    for r in chat.format_chats(rows).collect():
+        for s in r.spans:
+            body = r.formatted[s.start : s.start + s.length]
+            assert r.formatted[s.start - 7 : s.start] == "[/INST]" and r.formatted[s.start + s.length :].startswith("</s>") and "</s>" not in body
+
+
+# --- personal data
+
+
+def luhn_ok(s):
+    return sum(sum(divmod(int(c) * (1 + (i % 2)), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def masked(spark, texts):
+    return [r.text for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+
+
+def test_pseudonyms_keep_formats_and_links(spark):
+    card, other = "4111 1111 1111 1111", "4929348385146306"
+    texts = [f"pay {card} now", f"again {card}.", f"x {other}", "on 2024-02-29 or 29.02.2024, 02/29/2024", "ip 10.0.0.1, 300.1.1.1", "call +1 (743) 555-3824 or (743) 555-3824", "ssn 123-45-6789 and 000-12-3456", "2023-02-30", "mail a.b+c@mail.example.com!"]
+    got = masked(spark, texts)
+    a, b = re.search(r"\d{4} \d{4} \d{4} \d{4}", got[0])[0], re.search(r"\d{4} \d{4} \d{4} \d{4}", got[1])[0]
+    assert a == b != card and luhn_ok(a.replace(" ", "")) and luhn_ok(re.search(r"\d{16}", got[2])[0]) == luhn_ok(other)
+    iso, dotted, slashed = re.search(r"on (\S+) or (\S+), (\S+)", got[3]).groups()
+    one = dt.date.fromisoformat(iso)
+    assert one == dt.datetime.strptime(dotted, "%d.%m.%Y").date() == dt.datetime.strptime(slashed, "%m/%d/%Y").date() and iso != "2024-02-29"
+    assert "300.1.1.1" in got[4] and "10.0.0.1" not in got[4] and got[7] == "2023-02-30"
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} or \(\d{3}\) \d{3}-\d{4}", got[5]) and "555-3824" not in got[5]
+    assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4} and \d{3}-\d{2}-\d{4}", got[6]) and "123-45-6789" not in got[6]
+    assert re.fullmatch(r"mail u[0-9a-f]{16}@d[0-9a-f]{8}\.example!", got[8])
+
+
+def test_pseudonyms_are_permutations(spark):
+    days = [(dt.date(1800, 1, 1) + dt.timedelta(n)).isoformat() for n in range(0, 146_097, 37)]
+    got = masked(spark, days)
+    assert len(set(got)) == len(days) and all("1800-01-01" <= g <= "2199-12-31" for g in got)
+    ssns = [f"{a:03d}-{b:02d}-0007" for a in range(1, 900, 13) for b in range(1, 100, 9) if a != 666]
+    got = masked(spark, ssns)
+    assert len(set(got)) == len(ssns) and all(g[:3] not in ("000", "666") and g[0] != "9" and g[4:6] != "00" and g[7:] != "0000" for g in got)
+
+
+def feistel_slowly(left, right, a, b, kind):
+    for i in range(pii.ROUNDS):
+        f = lambda v: int(hashlib.sha256(f"{pii.KEY}|{kind}|{i}|{v}".encode()).hexdigest()[:15], 16)
+        left, right = ((left + f(right)) % a, right) if i % 2 == 0 else (left, (right + f(left)) % b)
+    return left, right
+
+
+def test_pseudonyms_by_brute_force(spark):
+    ips = ["10.1.2.3", "255.255.255.255", "0.0.0.0", "192.168.17.4"]
+    want = []
+    for ip in ips:
+        p = [int(x) for x in ip.split(".")]
+        x, y = feistel_slowly(p[0] * 256 + p[1], p[2] * 256 + p[3], 65_536, 65_536, "ipv4")
+        want.append(f"{x // 256}.{x % 256}.{y // 256}.{y % 256}")
+    assert masked(spark, ips) == want
+
+
+def test_pseudonyms_of_odd_rows(docs):
+    got = pii.op10(docs).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((d, t) for d, t, *_ in ROWS)
+    assert pii.op10(docs.limit(0)).count() == 0
+
+
+def test_no_planted_value_survives(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    left = pii.op10(docs).where(F.col("text").rlike(r"@mail[0-9]\.example\.com|token = \"[0-9a-f]{40}\"[^\"]*$^|\) 555-"))
+    assert left.count() == 0
