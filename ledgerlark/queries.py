@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import expressions, rules
 from ledgerlark.operators import agreement, catalog, cdc, classify, deliver, profile, rollup, sample, versions
 from ledgerlark.plans import checks, flows, scoring
+from ledgerlark.plans.results import ResultStore
 from ledgerlark.sources import contracts, relations
+from ledgerlark.streaming import flows as streams
 from ledgerlark.streaming import golden
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -909,3 +912,84 @@ def failure_reason(spark, d):
 def root_cause(spark, d):
     trace = F.concat(F.lit("Error: outer\n  at a\nCaused by: middle\n  at b\nCaused by: "), F.col("event_type"), F.lit("\n  at c"))
     return _t(spark, d, "events").select("event_id", expressions.root_cause(trace).alias("cause"))
+
+
+# --- streams: run over what is there, with their state and results in the shared folder
+
+
+def _scratch(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{folder.rstrip('/')}/ledgerlark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A driver table as a stream of its files."""
+    return spark.readStream.schema(_t(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+@query(SQL["flow_inbox"])
+def flow_inbox_streamed(spark, d):
+    at = _scratch(spark)
+    rows = _stream(spark, d, "orders").withColumn("row_kind", F.when(F.col("o_orderkey") % 2 == 0, "INSERT").otherwise("UPDATE_AFTER")).withColumn("source_ms", expressions.epoch_ms(F.col("o_orderdate")))
+    streams.run_once(lambda: streams.into_inbox(rows, FLOW, f"{at}/inbox", f"{at}/progress", once=True))
+    return spark.read.parquet(f"{at}/inbox").drop("landed_at")
+
+
+@query(f"""WITH {_LN} SELECT l_orderkey AS entry, CAST(sum(CASE WHEN line = 2 AND l_orderkey % 50 = 0 THEN amount + 1 ELSE amount END) AS DOUBLE) AS amount, count(*) AS lines
+FROM ln WHERE NOT (l_orderkey % 50 = 0 AND line = 1) GROUP BY 1""")
+def flow_totals_streamed(spark, d):
+    store, group, sums = ResultStore(spark, _scratch(spark)), {"entry": "l_orderkey"}, {"amount": "sum(amount)", "lines": "count(*)"}
+    store.rewrite("lines", _lines(spark, d))
+    store.rewrite("totals", rollup.totals(store.read("lines"), group, sums))
+    ch = store.read("lines").where("l_orderkey % 50 = 0 and line <= 2").withColumn("amount", F.when(F.col("line") == 2, F.col("amount") + 1).otherwise(F.col("amount")).cast(MONEY))
+    store.rewrite("changes", ch.withColumn("op", F.when(F.col("line") == 1, "delete").otherwise("upsert")).withColumn("seq", F.lit(1)))
+    changes = spark.readStream.schema(store.read("changes").schema).parquet(f"{store.folder}/changes")
+    streams.run_once(lambda: streams.keep_totals(changes, store, "lines", "totals", ["l_orderkey", "line"], group, sums, f"{store.folder}/progress", once=True))
+    return store.read("totals").withColumn("amount", F.col("amount").cast("double"))
+
+
+@query()
+def golden_merge_streamed(spark, d):
+    at, inbox = _scratch(spark), golden_inbox(spark, d)
+    inbox.write.parquet(f"{at}/inbox")
+    out = golden.stream(spark.readStream.schema(inbox.schema).parquet(f"{at}/inbox"), ENTITY)
+    streams.run_once(lambda: out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start())
+    return golden.golden_records(spark.read.parquet(f"{at}/out"))
+
+
+# --- what is left
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view')")
+def row_kind_filter(spark, d):
+    return relations.row_kinds(_t(spark, d, "events").select("event_id", "event_type"), include=["click", "view"], kind="event_type")
+
+
+@query("""SELECT event_type AS contract_id, count(*) AS runs, CAST(sum(user_id) AS BIGINT) AS rows_read, CAST(sum(user_id % 7) AS BIGINT) AS upserted, CAST(sum(user_id % 3) AS BIGINT) AS deleted, max(event_id) AS last_run
+FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 10) GROUP BY 1""")
+def sync_status(spark, d):
+    u = F.col("user_id")
+    return relations.sync_status(_t(spark, d, "events").select(F.col("event_type").alias("contract_id"), F.col("event_id").alias("run_at"), u.alias("rows_read"), (u % 7).alias("upserted"), (u % 3).alias("deleted")))
+
+
+@query("SELECT user_id, bool_and(value > 1) AS all_over, bool_or(value > 100) AS any_over, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1")
+def group_conditions(spark, d):
+    v = F.col("value")
+    return _t(spark, d, "events").groupBy("user_id").agg(F.bool_and(v > 1).alias("all_over"), F.bool_or(v > 100).alias("any_over"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, 'sales' AS flow, count(*) AS lines, count(DISTINCT user_id) AS entries, count(*) FILTER (WHERE event_type = 'purchase') AS landed FROM events GROUP BY 1")
+def flow_counts(spark, d):
+    return _t(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.lit("sales").alias("flow"), F.count(F.lit(1)).alias("lines"), F.count_distinct(F.col("user_id")).alias("entries"), F.count_if(F.col("event_type") == "purchase").alias("landed"))
+
+
+@query("SELECT lower(c_mktsegment) AS segment, trim(c_name) AS name, strpos(c_name, '#') AS at, split_part(c_name, '#', 2) AS number, right(c_name, 3) AS tail, abs(c_acctbal) AS size, length(c_name) AS long FROM customer")
+def scalar_functions(spark, d):
+    n = F.col("c_name")
+    return _t(spark, d, "customer").select(F.lower("c_mktsegment").alias("segment"), F.trim(n).alias("name"), F.instr(n, "#").alias("at"), F.split_part(n, F.lit("#"), F.lit(2)).alias("number"), F.right(n, F.lit(3)).alias("tail"), F.abs("c_acctbal").alias("size"), F.length(n).alias("long"))
+
+
+@query("SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(o_orderdate + INTERVAL 1 DAY AS DATE) AS next_day, epoch_ms(o_orderdate) AS ms, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS days FROM orders")
+def date_functions(spark, d):
+    o = F.col("o_orderdate")
+    return _t(spark, d, "orders").select("o_orderkey", F.date_trunc("month", o).alias("month"), F.date_add(o.cast("date"), 1).alias("next_day"), expressions.epoch_ms(o).alias("ms"), F.date_diff(o.cast("date"), F.lit("1995-01-01").cast("date")).cast("long").alias("days"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
@@ -139,6 +139,28 @@ def parse(doc: Mapping[str, Any]) -> Contract:
     )
 
 
+def with_rule(contract: Contract, model: str, rule: QualityRule) -> Contract:
+    """The contract with a rule more; one of the same description is replaced."""
+
+    def changed(m: Model) -> Model:
+        return replace(m, quality=(*(q for q in m.quality if q.description != rule.description), rule)) if m.name == model else m
+
+    contract.model(model)
+    return replace(contract, models=tuple(map(changed, contract.models)))
+
+
+def save_rule(path: str | Path, model: str, rule: QualityRule) -> None:
+    """Write a rule into a contract's file, in place of one of the same description."""
+    if not (rule.description and rule.query and rule.dimension):
+        raise ValueError("a rule needs a description, a query and a dimension")
+    doc = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    for m in doc["schema"]:
+        if m["name"] == model:
+            kept = [q for q in m.get("quality") or () if q.get("description") != rule.description]
+            m["quality"] = [*kept, {"type": "sql", "description": rule.description, "query": rule.query, "mustBe": rule.must_be, "dimension": rule.dimension}]
+    Path(path).write_text(yaml.safe_dump(doc, sort_keys=False, allow_unicode=True), encoding="utf-8")
+
+
 def load(path: str | Path) -> Contract:
     return parse(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
 

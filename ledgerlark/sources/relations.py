@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,3 +139,27 @@ def must_resnapshot(log: DataFrame, since: int | None, lsn: str = "lsn") -> bool
     """Whether changes after `since` may have left the log already."""
     first = log.agg(F.min(lsn)).first()[0]
     return since is None or (first is not None and since < first - 1)
+
+
+def columns_of(df: DataFrame, where: str) -> set[str]:
+    """The columns of df that a filter reads, as Spark resolves it."""
+    names = df.where(where)._jdf.queryExecution().analyzed().condition().references().iterator()
+    out = set()
+    while names.hasNext():
+        out.add(names.next().name())
+    return out
+
+
+def row_kinds(changes: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, kind: str = "row_kind") -> DataFrame:
+    """The changes of some kinds, or of all but some."""
+    if include:
+        return changes.where(F.col(kind).isin(*include))
+    return changes.where(~F.col(kind).isin(*exclude)) if exclude else changes
+
+
+def sync_status(runs: DataFrame, n: int = 10) -> DataFrame:
+    """contract_id, runs, rows_read, upserted, deleted and last_run of each replication's last n runs."""
+    newest = Window.partitionBy("contract_id").orderBy(F.col("run_at").desc())
+    last = runs.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n)
+    sums = [F.sum(c).alias(c) for c in ("rows_read", "upserted", "deleted")]
+    return last.groupBy("contract_id").agg(F.count(F.lit(1)).alias("runs"), *sums, F.max("run_at").alias("last_run"))

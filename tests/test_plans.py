@@ -238,3 +238,14 @@ def test_drift_and_resume(spark):
 def test_identity(spark):
     df = _results(spark, [(1, "a", "uniqueness", "pass", 0.0), (2, "a", "uniqueness", "fail", 0.0)]).withColumn("check_type", F.lit("field_unique"))
     assert flows.identity_problem(df, "c").startswith("c: a failed") and flows.identity_problem(df.where("status = 'pass'"), "c") is None
+
+
+def test_authored_rules(contract, tmp_path, spark):
+    rule = contracts.QualityRule("no debts", "select count(*) from orders where amount < 10", "accuracy")
+    assert [q.query for q in contracts.with_rule(contract, "orders", rule).model("orders").quality if q.description == "no debts"] == [rule.query]
+    contracts.save_rule(tmp_path / "b.odcs.yaml", "orders", rule)
+    again = contracts.load(tmp_path / "b.odcs.yaml")
+    assert [q.query for q in again.model("orders").quality if q.description == "no debts"] == [rule.query] and again.floor == 0.8
+    with pytest.raises(ValueError):
+        contracts.save_rule(tmp_path / "b.odcs.yaml", "orders", contracts.QualityRule("x", "select 1"))
+    assert relations.columns_of(spark.createDataFrame([(1, 2, 3)], "a int, b int, c int"), "a > 1 and lower(b) = 'x'") == {"a", "b"}
