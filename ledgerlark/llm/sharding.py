@@ -86,9 +86,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     as few shards as the quotas let it. Repeated rows are equal texts. Slots run from 0
     without gaps on each shard; with fewer rows than shards some shards are empty.
     """
-    nodes = _nodes(docs)
-    nodes = stored(nodes)
-    groups = nodes.where("group is not null").groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    nodes = stored(_nodes(docs))
+    # Stored, so that the join below has plain shuffles on both sides and Spark can split a group that many rows have.
+    groups = stored(nodes.where("group is not null").groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     nodes = stored(nodes.join(groups, "group", "left"))
     total, tied = nodes.agg(F.count(F.lit(1)), F.count("members")).first()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
