@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,9 +24,9 @@ from pyspark.sql import types as T
 
 from ._shared import bounded_text_batches, stored
 
-#: Bound of the labelled sample that the classifiers are fitted on, in order of a digest of doc_id.
+#: Bound of the labelled sample that the classifiers are fitted on, drawn by a digest of doc_id.
 MOST_LABELLED = 20_000
-#: Rounds of co-training; pseudo-labels that a view hands over in a round for each class; how sure it must be of them.
+#: Rounds of co-training; pseudo-labels that a view hands over in a round for each class, drawn from all that it is sure of; how sure it must be.
 ROUNDS, HANDED, SURE = 2, 500, 0.95
 KEEP = 0.5
 
@@ -144,6 +145,12 @@ def _plain(rows: list) -> pd.DataFrame:
     return pd.DataFrame([r.asDict() for r in rows], columns=["_row", "x", "source", "lang", "n_chars", "y"]).astype({"source": object, "lang": object, "n_chars": object})
 
 
+def _drawn(rows: DataFrame, n: int, of: int) -> DataFrame:
+    """n of about `of` rows by a digest of doc_id, so that half as many again reach the last task and not n from every partition."""
+    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63))
+    return rows.withColumn("_u", u).where(F.col("_u") <= 1.5 * n / max(of, 1)).orderBy("_u", "_row").limit(n).drop("_u")
+
+
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> tuple[Classifier | None, DataFrame]:
     """The classifier (None where labels lack a class) and the stored features of all documents.
 
@@ -154,22 +161,22 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> tuple[Cla
     data = stored(features(docs).join(marks, "doc_id", "left"))
     wanted = ["_row", "x", "source", "lang", "n_chars", "y"]
     known = data.where("y is not null")
-    held = _plain(known.orderBy(F.md5(F.col("doc_id").cast("string")), "_row").select(*wanted).limit(MOST_LABELLED).collect())
+    held = _plain(_drawn(known, MOST_LABELLED, known.count()).select(*wanted).collect())
     y = held["y"].to_numpy(float)
     last = np.arange(len(held)) % 5 == 4
     if any(len(set(y[s])) < 2 for s in (last, ~last)):
         return None, data
     x, m = _stack(held)
-    taught = [held[~last].assign(w=1), held[~last].assign(w=1)]  # what the text view and the metadata view learn from
+    taught = [held[~last], held[~last]]  # what the text view and the metadata view learn from
     view = [fit(x[~last], y[~last]), fit(m[~last], y[~last])]
     for _ in range(rounds):
         open_ = _scored(data.where("y is null"), *view)
-        new = []
-        for of in ("text", "meta"):
-            p = F.col(f"p.{of}")
-            sure = [open_.where(at).orderBy(o, "_row").limit(HANDED).withColumn("y", F.lit(v)) for at, o, v in ((p >= SURE, p.desc(), 1.0), (p <= 1 - SURE, p.asc(), 0.0))]
-            new.append(_plain(sure[0].select(*wanted).union(sure[1].select(*wanted)).collect()))  # at most 2 * HANDED rows
-        grown = [pd.concat([old, got]).drop_duplicates("_row") for old, got in zip(taught, reversed(new), strict=True)]
+        sides = [(of, at, v) for of in ("text", "meta") for at, v in ((F.col(f"p.{of}") >= SURE, 1.0), (F.col(f"p.{of}") <= 1 - SURE, 0.0))]
+        counts = open_.agg(*[F.count_if(at) for _, at, _ in sides]).first()
+        sure = [_drawn(open_.where(at), HANDED, n).withColumn("y", F.lit(v)).select(F.lit(of).alias("of"), *wanted) for (of, at, v), n in zip(sides, counts, strict=True) if n]
+        handed = reduce(DataFrame.union, sure).collect() if sure else []  # at most 4 * HANDED rows
+        new = [_plain([r for r in handed if r["of"] == of]) for of in ("meta", "text")]
+        grown = [pd.concat([old, got]).drop_duplicates("_row") if len(got) else old for old, got in zip(taught, new, strict=True)]
         done = all(len(a) == len(b) for a, b in zip(taught, grown, strict=True))
         taught = grown
         view = [fit(_stack(t)[i], t["y"].to_numpy(float)) for i, t in enumerate(taught)]
