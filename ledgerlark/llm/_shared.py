@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,19 +29,41 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/ledgerlark-{spark.sparkContext.applicationId}"
 
 
+#: Lists that stored() notes its tables in; the innermost one counts.
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Note in `paths` what stored() writes meanwhile, for drop()."""
+    _noted.append(paths)
+    try:
+        yield
+    finally:
+        _noted.pop()
+
+
 def stored(df: DataFrame, *sorted_by: str, options: dict | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and any executor can reread it."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    if _noted:
+        _noted[-1].append(path)
     if sorted_by:
         df = df.sortWithinPartitions(*sorted_by)
     df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that stored() wrote and nothing reads any more, and forget them."""
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that stored() wrote in this application."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, [shared_folder(spark)])
 
 
 def bounded_text_batches(spark: SparkSession) -> None:
@@ -62,6 +86,32 @@ def id_and_text(rows: DataFrame) -> DataFrame:
     return rows.select("_row", "_doc.doc_id", "_doc.text")
 
 
+#: Rows of one bitmap, and bitmaps (of 4 KB) that are broadcast at most: 64 MB.
+BITMAP, MOST_BITMAPS = 32_768, 16_384
+
+
+def bit_is_set(bitmap: Column, bit: Column) -> Column:
+    """Whether a bit of a bitmap_construct_agg bitmap is set; null for no bitmap."""
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+
+
+def picked(rows: DataFrame, marks: DataFrame, keep: bool = True) -> DataFrame:
+    """The keyed rows that marks (_row) names, or with keep=False the others.
+
+    The marks are made bitmaps. As long as there are MOST_BITMAPS of them or fewer they
+    are broadcast and the rows stay where they are; beyond that the rows are joined.
+    """
+    marks = stored(marks.select("_row"))
+    block, bit = F.floor(F.col("_row") / BITMAP), F.pmod("_row", F.lit(BITMAP))
+    blocks = marks.select(block.alias("block")).distinct().count()
+    if blocks > MOST_BITMAPS:
+        return rows.join(marks, "_row", "left_semi" if keep else "left_anti")
+    bitmaps = marks.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
+    found = rows.withColumn("block", block).join(F.broadcast(bitmaps), "block", "left")
+    return found.where(F.coalesce(bit_is_set(F.col("bitmap"), bit), F.lit(False)) == F.lit(keep)).select(*rows.columns)
+
+
 def hex_digits(rows: int) -> int:
     """Leading hex digits of a digest that split `rows` rows into buckets of about BUCKET_ROWS."""
     return max(2, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16))) if rows > BUCKET_ROWS else 2

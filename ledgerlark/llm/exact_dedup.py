@@ -14,12 +14,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WHITE, stored
+from ._shared import BITMAP, WHITE, bit_is_set, stored
 
 #: Slices of the input that are flushed on their own.
 MEMTABLES = 8
 #: The filter has 16 bits for each hit, but at most 2**27 (16 MB) on any input; beyond, more texts are compared, none fewer.
-FILTER_BITS, MOST_FILTER_BITS, BITMAP = 16, 1 << 27, 32_768
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 
 
 def normalised(text: Column) -> Column:
@@ -60,8 +60,7 @@ def _candidates(docs: DataFrame, hits: DataFrame, n: int) -> DataFrame:
     at = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
     texts = docs.select(normalised(F.col("text")).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
     texts = texts.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", F.bitmap_bit_position(at))
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return texts.join(F.broadcast(bitmaps), "bucket").where(F.getbit(byte, F.pmod("bit", F.lit(8)).cast("int")) == 1).select("digest", "norm")
+    return texts.join(F.broadcast(bitmaps), "bucket").where(bit_is_set(F.col("bitmap"), F.col("bit"))).select("digest", "norm")
 
 
 def dedup(docs: DataFrame, memtables: int = MEMTABLES) -> DataFrame:
