@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bounded_text_batches, id_and_text, keyed, stored
+from ._shared import bounded_text_batches, id_and_text, keyed, picked, stored
 
 WINDOW, SHARE = 13, 20
 #: The filter of wanted words: a fixed number of bits, whatever the benchmark's size. Words that it lets through by chance are dropped in the join.
@@ -189,8 +189,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated documents."""
     rows = keyed(docs)
-    bad = stored(contamination(id_and_text(rows), items).where("contaminated").select("_row"))
-    return rows.join(bad, "_row", "left_anti").select("_doc.*")
+    return picked(rows, contamination(id_and_text(rows), items).where("contaminated"), keep=False).select("_doc.*")
 
 
 def op8(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_text_batches, id_and_text, keyed, stored
+from ._shared import bounded_text_batches, id_and_text, keyed, picked, stored
 
 SHINGLE, MOST_BITS, SEGMENTS = 3, 2, 2
 #: Shingle hashes that are counted at a time, so a very long text needs no more memory than this.
@@ -62,6 +62,7 @@ def links(marks: DataFrame) -> DataFrame:
     """
     width = 64 // SEGMENTS
     balls = [F.col("mark")] + [F.col("mark").bitwiseXOR(F.lit(_signed(1 << (s * width + b)))) for s in range(SEGMENTS) for b in range(width)]
+    marks = marks.repartition(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mark")  # each row becomes 65
     probes = marks.select("mark", F.explode(F.array(*balls)).alias("value"))
     lists = probes.groupBy("value").agg(F.min("mark").alias("a"), F.collect_list("mark").alias("members")).where(F.size("members") > 1)
     pairs = lists.select("a", F.explode("members").alias("b")).where("a < b").distinct()
@@ -115,7 +116,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     groups = group(id_and_text(rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     stay = groups.groupBy(F.col("component_id").alias("c")).agg(first.alias("f")).select(F.col("f._row").alias("_row"))
-    return rows.join(stored(stay), "_row", "left_semi").select("_doc.*")
+    return picked(rows, stay).select("_doc.*")
 
 
 def op7(docs: DataFrame) -> DataFrame:

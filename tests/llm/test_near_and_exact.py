@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import decontam, exact_dedup, mixing, simhash
+from ledgerlark.llm import _shared, decontam, exact_dedup, mixing, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, n int, first string"
 W = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -154,3 +154,14 @@ def test_proximity(spark):
     asked, anchors, posted = decontam.index(docs, spark.createDataFrame([(1, "red green")], "item_id long, text string"))
     assert {r._row for r in decontam.matches(anchors, posted).collect()} == {1}
     assert {r._row for r in decontam.matches(anchors, posted, slop=2).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("most", [0, 16_384])
+@pytest.mark.parametrize("keep", [True, False])
+def test_picked_rows_by_bitmap_and_by_join(docs, monkeypatch, most, keep):
+    monkeypatch.setattr(_shared, "MOST_BITMAPS", most)
+    rows = _shared.keyed(docs.repartition(3))
+    marks = rows.where("_doc.doc_id % 2 = 0").select("_row")
+    got = _shared.picked(rows, marks, keep).select("_row").collect()
+    want = rows.where("_doc.doc_id % 2 = 0" if keep else "_doc.doc_id % 2 <> 0 or _doc.doc_id is null").select("_row").collect()
+    assert sorted(got) == sorted(want)
