@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ._shared import hex_digits, id_and_text, keyed, running_total, stored
 
-SHARDS, ROUNDS = 24, 5
+SHARDS, ROUNDS = 24, 8
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
@@ -45,9 +45,10 @@ def admitted(asked: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[i
             gain = sum(into.values()) - sum(n for k, n in flow.items() if k[0] == s)
             if (excess := gain - room) > 0:
                 over, total = True, sum(into.values())
-                for k, n in into.items():
-                    cut = min(n, -(-n * excess // total))
-                    flow[k] = n - cut
+                cuts = {k: n * excess // total for k, n in into.items()}
+                for k in sorted(into, key=lambda k: (cuts[k] - into[k], k))[: excess - sum(cuts.values())]:
+                    cuts[k] += 1
+                flow |= {k: n - cuts[k] for k, n in into.items()}
         if not over:
             return flow
 
@@ -55,21 +56,31 @@ def admitted(asked: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[i
 def _propagate(counts: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     """counts (group, shard, n) after the rounds; shards stay within their quotas."""
     full: set[int] = set()
+    blocked = 0
     k = hex_digits(counts.count())
-    for _ in range(rounds):
+    for turn in range(rounds):
         free = [q - n for q, n in zip(quotas, _loads(counts, len(quotas)), strict=True)]
-        tie = F.xxhash64("group", "shard")
-        # A shard that this group alone fills, or that had no room in the last round, is nobody's aim.
-        open_ = (F.col("n") < _of("shard", quotas)) & ~F.col("shard").isin(*full) if full else F.col("n") < _of("shard", quotas)
-        rank = F.struct(open_.cast("int").alias("open"), F.col("n"), tie.alias("tie"), F.col("shard"))
-        best = F.max(rank).over(Window.partitionBy("group"))
-        aims = counts.withColumn("best", best).withColumn("to", F.when(F.col("best.open") == 1, F.col("best.shard")))
-        moves = stored(aims.where((F.col("to") != F.col("shard")) & (F.col("n") < _of("shard", quotas))).select("group", "shard", "to", "n"))
+        # A group needs as many shards as its rows over a share: those where most of it lies. Its other rows ask to
+        # move there, except to a shard that it fills alone or that had no room in the last round.
+        own, open_ = F.col("n") >= _of("shard", quotas), ~F.col("shard").isin(*full) if full else F.lit(True)
+        tie = F.xxhash64("group", "shard", F.lit(turn))  # another one each round, so that blocked moves turn about
+        rank = F.struct((-F.col("n")).alias("less"), tie.alias("tie"), F.col("shard"), (~own & open_).alias("takes"))
+        group = Window.partitionBy("group")  # a row a shard
+        aims = counts.withColumn("rank", rank).withColumn("ranks", F.sort_array(F.collect_list("rank").over(group))).withColumn("at", F.array_position("ranks", F.col("rank")))
+        needs = F.greatest(F.lit(1), F.ceil(F.sum("n").over(group) / max(min(quotas), 1))).cast("int")
+        aims = aims.withColumn("needs", needs).withColumn("aims", F.filter(F.slice("ranks", 1, F.col("needs")), lambda r: r["takes"]))
+        aims = aims.where((F.col("at") > F.col("needs")) & (F.size("aims") > 0))
+        to = F.get("aims", ((F.col("at") - 1) % F.size("aims")).cast("int"))["shard"]
+        moves = stored(aims.select("group", "shard", to.alias("to"), "n"))
         asked = {(r["shard"], r["to"]): r["n"] for r in moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}  # at most shards squared
-        if not (flow := {p: n for p, n in admitted(asked, free).items() if n}):
+        if not asked or blocked == 2:
             break
+        flow = {p: n for p, n in admitted(asked, free).items() if n}
         into = lambda d, s: sum(n for p, n in d.items() if p[1] == s)
         full = {s for s in range(len(quotas)) if 2 * into(flow, s) < into(asked, s)}
+        blocked = 0 if flow else blocked + 1
+        if not flow:
+            continue
         quota = moves.sparkSession.createDataFrame([(*p, n) for p, n in flow.items()], "shard int, to int, quota long")
         moves = running_total(moves.join(F.broadcast(quota), ["shard", "to"]), ["shard", "to"], F.substring("group", 1, k), [F.col("group")], F.col("n"), "before")
         go = moves.withColumn("n", F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("before")))).where("n > 0")

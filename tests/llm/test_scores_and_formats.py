@@ -55,8 +55,9 @@ def test_groups_stay_together_as_far_as_shares_let_them(spark, hot, pairs, singl
     where = defaultdict(set)
     for r in rows:
         where[texts[r.doc_id]].add(r.shard)
-    share = len(texts) // 8
-    assert len(where.get("hot", ())) <= (math.ceil(hot / max(share, 1)) + 2 if hot else 0)
+    needs = math.ceil(hot / (len(texts) // 8))
+    lie = Counter(r.shard for r in rows if texts[r.doc_id] == "hot")
+    assert sum(n for _, n in lie.most_common(needs)) >= 0.8 * hot
     split = sum(len(s) > 1 for t, s in where.items() if t.startswith("pair"))
     assert split <= 0.25 * pairs
 
