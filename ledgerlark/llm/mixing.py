@@ -72,18 +72,16 @@ def _places(sizes: DataFrame) -> DataFrame:
     up = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = stream.groupBy("range").agg(F.sum("_size").alias("words"), F.max("total").alias("total"))
     sums = sums.withColumn("offset", F.coalesce(F.sum("words").over(up), F.lit(0)))
-    last = sums.where(F.col("offset") <= F.col("total") * F.lit(BUDGET)).agg(F.max_by("offset", "range").alias("offset"), F.max("range").alias("range"))
-    inside = Window.partitionBy("range").orderBy("time", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    passed = F.col("offset") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
-    cut = (
-        stream.join(F.broadcast(last), "range").withColumn("passed", passed)  # one row
-        .where(F.col("passed") * 2 + F.col("_size") <= F.col("total") * F.lit(2 * BUDGET))
-        .agg(F.max(F.struct("time", "rank")).alias("cut"), F.max("range").alias("range"))
-    )
-    if (end := cut.crossJoin(F.broadcast(last.select(F.col("range").alias("at")))).first()) is None or end["at"] is None:
+    last = sums.where(F.col("offset") <= F.col("total") * F.lit(BUDGET)).agg(F.max("range").alias("range"), F.max("offset").alias("offset")).first()
+    if last["range"] is None:  # no words at all
         taken_once = taken_twice = F.lit(False)
     else:
-        stop = F.struct(F.lit(end["cut"]["time"]).alias("time"), F.lit(end["cut"]["rank"]).alias("rank")) if end["cut"] else F.struct(F.lit(end["at"] / ranges).alias("time"), F.lit(0).alias("rank"))
+        inside = Window.partitionBy("range").orderBy("time", "rank").rowsBetween(Window.unboundedPreceding, -1)
+        passed = F.lit(last["offset"]) + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+        fits = F.col("passed") * 2 + F.col("_size") <= F.col("total") * F.lit(2 * BUDGET)
+        end = stream.where(F.col("range") == last["range"]).withColumn("passed", passed).where(fits).agg(F.max(F.struct("time", "rank")).alias("end")).first()["end"]
+        time, rank = end or (last["range"] / ranges, 0)
+        stop = F.struct(F.lit(time).alias("time"), F.lit(rank).alias("rank"))
         taken_once, taken_twice = (F.struct(F.col(x).alias("time"), F.col("rank")) <= stop for x in ("once", "twice"))
     place = F.struct("_place", "doc_id", "_size")
     ends = queued.groupBy("rank").agg(
