@@ -117,18 +117,21 @@ def hex_digits(rows: int) -> int:
     return max(2, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16))) if rows > BUCKET_ROWS else 2
 
 
-def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str, beside: DataFrame | None = None) -> DataFrame:
     """df plus `out`, the total of `value` over the rows of the same keys that come before in `order`.
 
     `bucket` must rise with `order` and spread each key's rows: rows are summed within
     (keys, bucket), and only one subtotal a bucket is summed across a key, so no task
-    holds all rows of a hot key. The keys must not be null.
+    holds all rows of a hot key. The keys must not be null. `beside` has a row a key, whose
+    columns the key's rows get by way of the subtotals, likewise spread.
     """
     df = df.withColumn("_bucket", bucket)
     by = [*keys, "_bucket"]
     parts = df.groupBy(*by).agg(F.sum(value).alias("_part"))
     upto = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*by, F.coalesce(F.sum("_part").over(upto), F.lit(0)).alias("_offset"))
+    if beside is not None:
+        parts = parts.join(beside, keys)
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.join(parts, by)

@@ -115,10 +115,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
 
     by_group = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     places = running_total(counts, ["shard"], F.substring("group", 1, k), [F.col("group")], F.col("n"), "start")
-    places = places.withColumn("low", F.coalesce(F.sum("n").over(by_group), F.lit(0))).select(F.col("group").alias("g"), "shard", "n", "start", "low")
-    inside = running_total(linked, ["group"], bucket, order, one, "nth")
-    at = (F.col("group") == F.col("g")) & (F.col("nth") >= F.col("low")) & (F.col("nth") < F.col("low") + F.col("n"))
-    tied_rows = inside.join(places, at).withColumn("slot", F.col("start") + F.col("nth") - F.col("low"))
+    low = F.coalesce(F.sum("n").over(by_group), F.lit(0))
+    places = places.withColumn("range", F.struct(low.alias("low"), "n", "start", "shard"))
+    ranges = places.groupBy("group").agg(F.collect_list("range").alias("ranges"))  # at most one a shard
+    tied_rows = running_total(linked, ["group"], bucket, order, one, "nth", beside=ranges)
+    mine = F.filter("ranges", lambda r: (F.col("nth") >= r["low"]) & (F.col("nth") < r["low"] + r["n"]))[0]
+    tied_rows = tied_rows.withColumn("range", mine).withColumn("shard", F.col("range.shard")).withColumn("slot", F.col("range.start") + F.col("nth") - F.col("range.low"))
 
     room = [q - n for q, n in zip(quotas, loads, strict=True)]
     lows = [sum(room[:s]) for s in range(shards)]
