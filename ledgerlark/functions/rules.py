@@ -139,7 +139,7 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 def foreign_key(child: DataFrame, column: str, parent: DataFrame, parent_column: str, count_null: bool = False) -> DataFrame:
     """The child rows without a parent; those without a value only where count_null is set."""
-    keys = parent.select(F.col(parent_column).alias("_key")).where("_key is not null").distinct()
+    keys = parent.select(F.col(parent_column).alias("_key")).where("_key is not null")
     rows = child if count_null else child.where(F.col(column).isNotNull())
     return rows.join(keys, rows[column] == keys["_key"], "left_anti")
 

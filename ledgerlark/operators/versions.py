@@ -42,7 +42,7 @@ def close_and_open(dimension: DataFrame, source: DataFrame, key: str, attributes
     kept = current.where(~changed).select(*dimension.columns)
     closed = current.where(changed & ~same_day).withColumn("valid_to", on).withColumn("is_current", F.lit(False)).select(*dimension.columns)
     opened = current.where(changed).select(F.col("_key").alias(key), "_new.*", on.alias("valid_from"))
-    new = now.join(dimension.select(F.col(key).alias("_known")).distinct(), F.col("_key") == F.col("_known"), "left_anti").select(F.col("_key").alias(key), "_new.*", F.lit(OPENING).cast("date").alias("valid_from"))
+    new = now.join(dimension.select(F.col(key).alias("_known")), F.col("_key") == F.col("_known"), "left_anti").select(F.col("_key").alias(key), "_new.*", F.lit(OPENING).cast("date").alias("valid_from"))
     opened = opened.unionByName(new).withColumn("valid_to", F.lit(None).cast("date")).withColumn("is_current", F.lit(True)).select(*dimension.columns)
     return dimension.where("not is_current").unionByName(kept).unionByName(closed).unionByName(opened)
 
