@@ -918,7 +918,11 @@ def root_cause(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """A new folder that all executors share: under spark.checkpoint.dir, or where it is unset a local one of a local session, the warehouse's of a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        folder = f"{f'file://{tempfile.gettempdir()}' if local else spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return f"{folder.rstrip('/')}/ledgerlark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
