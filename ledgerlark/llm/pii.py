@@ -1,8 +1,8 @@
 """Replace personal data by pseudonyms that keep its format.
 
 Validated numbers and dates are permuted by a keyed Feistel network within their own
-domain: card numbers to card numbers with a right check digit, dates to dates of the
-same 400-year cycle, addresses to addresses. A permutation has no collisions, so equal
+domain: card numbers to card numbers with a right check digit, account numbers (IBAN) likewise,
+dates to dates of the same 400-year cycle, addresses to addresses. A permutation has no collisions, so equal
 values stay linked across documents and different ones stay apart. Mail addresses and
 secret tokens have no numeric domain; keyed digests stand for them.
 """
@@ -25,7 +25,8 @@ PATTERNS = {
     "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-])",
     "ipv4": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![\w])",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "phone": r"(?<![\w+])(?:\+1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w+.-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![\w-])|(?<![\w+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![\w])",
     "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w])",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -70,9 +71,9 @@ def _luhn(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + F.when((n - i) % 2 == 1, double(digit(i))).otherwise(digit(i))) % 10
 
 
-def _into(format_: Column, digits: Column) -> Column:
-    """format_ with its digits replaced one by one."""
-    step = lambda acc, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(acc["s"], F.substr(digits, acc["i"], F.lit(1))).alias("s"), (acc["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(acc["s"], c).alias("s"), acc["i"].alias("i")))
+def _into(format_: Column, chars: Column, where: str = "[0-9]") -> Column:
+    """format_ with its characters of a class (the digits) replaced one by one."""
+    step = lambda acc, c: F.when(c.rlike(where), F.struct(F.concat(acc["s"], F.substr(chars, acc["i"], F.lit(1))).alias("s"), (acc["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(acc["s"], c).alias("s"), acc["i"].alias("i")))
     return F.aggregate(F.split(format_, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")), step, lambda acc: acc["s"])
 
 
@@ -117,6 +118,25 @@ def _ipv4(m: Column, key: str) -> Column:
     return F.when(F.forall(parts, lambda x: x < 256), _once(p, write)).otherwise(m)
 
 
+def _mod97(s: Column) -> Column:
+    """A string of digits and capitals read as an IBAN's number, modulo 97."""
+    add = lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + c.try_cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(s, ""), F.lit(0), add)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """Country and letters stay, the account's digits are permuted, the check digits are worked out anew."""
+
+    def write(p: Column) -> Column:
+        country, own = F.substring(p, 1, 2), F.substr(p, F.lit(5))
+        new = _once(own, lambda o: _into(o, _digits(_plain(o), key, "iban")))
+        whole = _once(new, lambda o: F.concat(country, F.lpad((98 - _mod97(F.concat(o, country, F.lit("00")))).cast("string"), 2, "0"), o))
+        valid = (_mod97(F.concat(own, F.substring(p, 1, 4))) == 1) & (F.char_length(_plain(own)) > 1)
+        return F.when(valid, _once(whole, lambda w: _into(m, w, "[^ ]"))).otherwise(m)
+
+    return _once(F.replace(m, F.lit(" "), F.lit("")), write)
+
+
 #: A 400-year cycle has 189 * 773 days; cycles begin with the year 1800.
 _CYCLE = (189, 773)
 
@@ -149,7 +169,7 @@ def _secret(m: Column, key: str) -> Column:
     return F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(m)), 256), F.lit(1), F.char_length(m))
 
 
-_MAKE = {"email": _email, "secret": _secret, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "phone": _phone, "card": _card}
+_MAKE = {"email": _email, "secret": _secret, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "iban": _iban, "phone": _phone, "card": _card}
 
 
 def kind_of(m: Column) -> Column:

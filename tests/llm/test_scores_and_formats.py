@@ -201,6 +201,19 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert re.fullmatch(r"mail u[0-9a-f]{16}@d[0-9a-f]{8}\.example!", got[8])
 
 
+def iban_ok(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_accounts_and_plain_phones(spark):
+    texts = ["to DE89 3704 0044 0532 0130 00.", "GB29NWBK60161331926819", "DE88 3704 0044 0532 0130 00", "743-555-3824", "743.555.3824 and DE89370400440532013000"]
+    got = masked(spark, texts)
+    spaced, plain = got[0][3:-1], got[4].split()[-1]
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", spaced) and spaced.replace(" ", "") == plain != "DE89370400440532013000"
+    assert iban_ok(plain) and iban_ok(got[1]) and re.fullmatch(r"GB\d\dNWBK\d{14}", got[1]) and got[1] != texts[1] and got[2] == texts[2]
+    assert re.fullmatch(r"\d{3}-\d{3}-\d{4}", got[3]) and got[3] != texts[3] and got[4][:12].replace(".", "-") == got[3]
+
+
 def test_pseudonyms_are_permutations(spark):
     days = [(dt.date(1800, 1, 1) + dt.timedelta(n)).isoformat() for n in range(0, 146_097, 37)]
     got = masked(spark, days)
