@@ -96,9 +96,9 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, mark and component_id of docs with _row, doc_id and text.
+    """_row, doc_id, mark, root and component_id of docs with _row, doc_id and text.
 
-    component_id is the smallest doc_id reachable over links, its own included; null ids
+    root is the component's smallest fingerprint and tells components apart; ids may be null or repeated. component_id is the smallest doc_id reachable over links, its own included; null ids
     count only where a component has no other. Null and blank texts have fingerprint 0 and
     link like any other. Repeated rows share their fingerprint. Extra columns are not read.
     """
@@ -107,7 +107,7 @@ def group(docs: DataFrame) -> DataFrame:
     roots = components(stored(links(marks.select("mark"))))
     named = marks.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(stored(named.join(ids, "root").select("mark", "component_id")), "mark").select("_row", "doc_id", "mark", "component_id")
+    return found.join(stored(named.join(ids, "root").select("mark", "root", "component_id")), "mark").select("_row", "doc_id", "mark", "root", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     groups = group(id_and_text(rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    stay = groups.groupBy(F.col("component_id").alias("c")).agg(first.alias("f")).select(F.col("f._row").alias("_row"))
+    stay = groups.groupBy("root").agg(first.alias("f")).select(F.col("f._row").alias("_row"))
     return picked(rows, stay).select("_doc.*")
 
 

@@ -86,6 +86,14 @@ def test_near_on_the_small_table(spark):
     assert Counter(map(tuple, simhash.op7(docs).collect())) == near_slowly(rows)
 
 
+def test_near_dedup_keeps_unrelated_texts_with_null_or_repeated_ids(spark):
+    texts = [" ".join(W[i:] + W[:i]) + f" tail{i} end{i}" for i in range(0, 12, 2)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (1, texts[3]), (1, texts[4]), (2, texts[5]), (None, texts[0]), (None, texts[5])]
+    assert len({x for _, x, _ in near_slowly(rows)}) == len(texts)
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter(rows[:6])
+
+
 def test_links_and_components_by_brute_force(spark):
     marks = sorted({(c ^ (1 << a) ^ (1 << b)) & (1 << 64) - 1 for c in (0, 0xFFFF0000FFFF0000, 12345) for a in range(0, 64, 5) for b in range(0, 64, 7)})
     signed = [simhash._signed(m) for m in marks]
