@@ -9,7 +9,7 @@ list are fetched as matches of its smallest member, and complete distances are v
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +24,27 @@ SHINGLE, MOST_BITS, SEGMENTS = 3, 2, 2
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The signed 64-bit fingerprint of a text; 0 for one without words."""
+def hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of a text's shingles, BLOCK at a time; a shorter text is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     size = min(size, len(words))
     starts, stops = np.concatenate(([0], ends[: len(words) - size] + 1)).tolist(), ends[size - 1 :].tolist()
-    counts, view, digest = np.zeros(64, np.int64), memoryview(joined), xxhash.xxh64_intdigest
+    view, digest = memoryview(joined), xxhash.xxh64_intdigest
     for i in range(0, len(stops), BLOCK):
-        h = np.array([digest(view[a:b], 42) for a, b in zip(starts[i : i + BLOCK], stops[i : i + BLOCK], strict=True)], dtype="<u8")
+        yield np.array([digest(view[a:b], 42) for a, b in zip(starts[i : i + BLOCK], stops[i : i + BLOCK], strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The signed 64-bit fingerprint of a text; 0 for one without words."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in hashes(text, size):
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(stops)).astype(np.uint8)
+        n += len(h)
+    bits = (2 * counts > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
@@ -110,10 +117,10 @@ def group(docs: DataFrame) -> DataFrame:
     return found.join(stored(named.join(ids, "root").select("mark", "root", "component_id")), "mark").select("_row", "doc_id", "mark", "root", "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the first row of its smallest doc_id."""
+def near_dedup(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = group) -> DataFrame:
+    """docs with one document of each group (of _row, doc_id and root): the first row of its smallest doc_id."""
     rows = keyed(docs)
-    groups = group(id_and_text(rows))
+    groups = grouped(id_and_text(rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     stay = groups.groupBy("root").agg(first.alias("f")).select(F.col("f._row").alias("_row"))
     return picked(rows, stay).select("_doc.*")

@@ -1,6 +1,7 @@
 """Mixing, exact and near duplicates, decontamination: brute force and odd inputs."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -8,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import _shared, decontam, exact_dedup, mixing, simhash
+import corpus_pipeline
+from ledgerlark.llm import _shared, decontam, exact_dedup, mixing, simhash, similar
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, n int, first string"
 W = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -94,6 +96,43 @@ def test_near_dedup_keeps_unrelated_texts_with_null_or_repeated_ids(spark):
     assert Counter(map(tuple, kept)) == Counter(rows[:6])
 
 
+def shingles(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1))} if ws else set()
+
+
+def test_the_stage_finds_every_near_copy(spark):
+    rng = random.Random(1)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    for i in range(40):
+        ws = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 60, 200, 700]))]
+        for j in range(5):
+            copy = list(ws)
+            for _ in range(rng.randrange(1 + len(ws) // 40)):
+                copy[rng.randrange(len(ws))] = f"new{rng.randrange(5000)}"
+            rows.append((None if j == 3 else 100_000 + 10 * i + j, " ".join(copy)))
+    sets = [shingles(t) for _, t in rows]
+    near = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if (not x and not y) or (x and y and 5 * len(x & y) >= 4 * len(x | y))]
+    roots = list(range(len(rows)))
+
+    def find(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for i, j in near:
+        roots[find(i)] = find(j)
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_row long, doc_id long, text string")
+    got = {r._row: r.root for r in similar.group(docs).collect()}
+    assert sum(sets[i] != sets[j] for i, j in near) > 40
+    assert len({(got[i], find(i)) for i in got}) == len(set(got.values())) == len({find(i) for i in got})
+    kept = simhash.near_dedup(docs, similar.group)
+    assert kept.columns == docs.columns and len({find(r._row) for r in kept.collect()}) == kept.count() == len(set(got.values()))
+    assert simhash.near_dedup(docs.limit(0), similar.group).count() == 0
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    assert stage(spark, docs, "").count() == kept.count()
+
+
 def test_links_and_components_by_brute_force(spark):
     marks = sorted({(c ^ (1 << a) ^ (1 << b)) & (1 << 64) - 1 for c in (0, 0xFFFF0000FFFF0000, 12345) for a in range(0, 64, 5) for b in range(0, 64, 7)})
     signed = [simhash._signed(m) for m in marks]
