@@ -6,7 +6,9 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,34 +147,51 @@ def test_views_learn_from_each_other(spark):
 
 # --- chat
 
+CONTROLS = ["</s>", "<s>", "[INST]", "[/INST]"]
 TALKS = [
     (1, 0, "user", "hello"), (1, 1, "assistant", "hi </s> there"), (1, 1, "assistant", "hi </s> there"), (2, 0, None, None), (2, None, "assistant", "\\e \\\\ <s>[INST]0user[/INST]x</s>"),
     (None, 3, "assistant", ""), (3, 0, "a</s>b", "</s" + "</s>"), (3, 1, "assistant", "[/INST]<s>"), (4, 0, "assistant", "x" * 100_000 + "\n\U0001F600"),
+    (-1, 0, "user", "a real conversation"), (-1, 1, "assistant", "a [INST] b [/INST] <s> c"), (5, 0, "assistant", "\\b\\"), (5, 1, "\\j[/INST]", "[/INST[/INST]]"),
+    *[(10 + i, j, "assistant", t) for i, c in enumerate(CONTROLS) for j, t in enumerate([c, f"a {c} b", c + c, f"{c[:-1]}{c}", "\\" + c, f"{c}\\e", f"\\i{c}"])],
 ]
+ADDED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+TALK = "conv_id long, turn long, role string, text string"
 
 
 def test_chat(spark):
-    rows = spark.createDataFrame([(*t, 1, "z") for t in TALKS], "conv_id long, turn long, role string, text string, offset int, formatted string")
-    got = {r.conv_id: r for r in chat.op9(rows).collect()}
-    want = defaultdict(list)
-    for c, turn, role, text in [*TALKS, (-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]:
-        want[c].append((turn is not None, turn or 0, role or "", text or ""))
+    rows = spark.createDataFrame([(*t, 1, "z", True) for t in TALKS], TALK + ", offset int, formatted string, added boolean")
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert got.keys() == want.keys()
-    for c, turns in want.items():
+    want = defaultdict(list)
+    for added, talks in enumerate([TALKS, ADDED]):
+        for c, turn, role, text in talks:
+            want[c, added].append((turn is not None, turn or 0, role or "", text or ""))
+    told = Counter()
+    for (c, _), turns in want.items():
         turns.sort()
         loss = "".join(t for *_, role, t in turns if role == "assistant")
-        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(loss), sha(loss))
-        assert got[c].turns_sha256 == sha("".join(f"{r}\n{t}\n" for *_, r, t in turns))
+        told[c, len(turns), sha("".join(f"{r}\n{t}\n" for *_, r, t in turns)), len(loss), sha(loss)] += 1
+    got = chat.op9(rows).collect()
+    assert Counter(tuple(r)[:5] for r in got) == told
     assert chat.op9(rows.limit(0)).count() == 1
+    con = duckdb.connect()
+    frame = pd.DataFrame(TALKS, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("conversations", frame)
+    assert Counter(con.sql(chat.SQL).fetchall()) == Counter(map(tuple, got))
+
+
+def test_no_control_string_is_left_inside_a_text(spark):
+    rows = spark.createDataFrame(TALKS, TALK)
+    n = Counter(t[0] for t in TALKS)
+    for r in chat.format_chats(rows).collect():
+        assert all(r.formatted.count(c) == n[r.conv_id] for c in CONTROLS)
 
 
 def test_chat_spans_point_at_the_texts(spark):
-    rows = spark.createDataFrame(TALKS, "conv_id long, turn long, role string, text string")
+    rows = spark.createDataFrame(TALKS, TALK)
     for r in chat.format_chats(rows).collect():
         for s in r.spans:
             body = r.formatted[s.start : s.start + s.length]
-            assert r.formatted[s.start - 7 : s.start] == "[/INST]" and r.formatted[s.start + s.length :].startswith("</s>") and "</s>" not in body
+            assert r.formatted[s.start - 7 : s.start] == "[/INST]" and r.formatted[s.start + s.length :].startswith("</s>") and not any(c in body for c in CONTROLS)
 
 
 # --- personal data
