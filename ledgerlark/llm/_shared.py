@@ -76,6 +76,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, with underscores added until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs as _row, a number of the row's own, and _doc, all its columns, stored: repeated or null identifiers stay apart, and no name clashes."""
     return stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")))
