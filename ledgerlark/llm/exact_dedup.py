@@ -1,24 +1,24 @@
 """Exact duplicates through a log-structured merge index of text digests.
 
-Each memtable (a slice of the input) is flushed as a run: one row a digest, sorted by
-digest, with a Bloom filter in its Parquet footer. Compaction merges the runs and keeps
-of each digest the identifier that ranks first. Digests that more than one document has
-are hits; a bitmap filter of fixed maximal size picks their texts from a second scan, and
-the texts' bytes are compared before any document is called a copy.
+Memtables of a bounded number of documents are flushed as runs: one row a digest, sorted
+by digest. Compaction merges runs level by level and keeps of each digest the identifier
+that ranks first. Every run has a filter of bounded size, which is probed before the run
+is read: only digests that it lets through are joined. Hits receive byte verification.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import BITMAP, WHITE, bit_is_set, stored
 
-#: Slices of the input that are flushed on their own.
-MEMTABLES = 8
-#: The filter has 16 bits for each hit, but at most 2**27 (16 MB) on any input; beyond, more texts are compared, none fewer.
+#: Documents that a memtable holds, and runs of one level that are merged into one of the next.
+MEMTABLE_ROWS, FANOUT = 1 << 24, 8
+#: A filter has 16 bits for each digest, but at most 2**27 (16 MB) on any input; beyond, more rows are compared, none fewer.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 
 
@@ -34,54 +34,116 @@ def entries(docs: DataFrame) -> DataFrame:
     )
 
 
-def flush(rows: DataFrame, memtables: int = MEMTABLES) -> DataFrame:
-    """The sorted runs of all memtables: run, digest, first (the entry that ranks first) and n."""
-    first = F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    runs = rows.groupBy(F.pmod("_row", F.lit(memtables)).alias("run"), "digest").agg(first, F.count(F.lit(1)).alias("n"))
-    return stored(runs, "run", "digest", options={"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
+def _rank() -> Column:
+    return F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """All runs merged into one: digest, first and n."""
-    return stored(runs.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")), "digest")
+@dataclass(frozen=True)
+class Run:
+    """digest, first (the entry that ranks first) and n, sorted by digest; and its filter."""
 
+    level: int
+    rows: DataFrame
+    bitmaps: DataFrame
+    bits: int
 
-def hit_filter(hits: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """Bitmaps of the hits' digests, at most MOST_FILTER_BITS / 8 bytes together, and their bits."""
-    bits = min(MOST_FILTER_BITS, max(BITMAP, 1 << math.ceil(math.log2(FILTER_BITS * max(n, 1)))))
-    at = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
-    marks = hits.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
-    return marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")), bits
+    def may_hold(self, rows: DataFrame) -> DataFrame:
+        """The rows whose digest the filter lets through; the filter is broadcast, 16 MB at most, so nothing is shuffled."""
+        at = F.pmod(F.xxhash64("digest"), F.lit(self.bits)) + 1
+        marked = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_bit", F.bitmap_bit_position(at))
+        found = marked.join(F.broadcast(self.bitmaps.withColumnRenamed("bucket", "_bucket")), "_bucket")
+        return found.where(bit_is_set(F.col("bitmap"), F.col("_bit"))).select(*rows.columns)
 
 
-def _candidates(docs: DataFrame, hits: DataFrame, n: int) -> DataFrame:
-    """Digest and normalised text of the documents that the filter lets through."""
-    bitmaps, bits = hit_filter(hits, n)
+def run_of(rows: DataFrame, n: int, level: int = 0) -> Run:
+    """A run of stored rows with n digests, with its filter."""
+    bits = min(MOST_FILTER_BITS, max(BITMAP, 1 << math.ceil(math.log2(FILTER_BITS * max(n, 1)))))
     at = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
-    texts = docs.select(normalised(F.col("text")).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    texts = texts.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", F.bitmap_bit_position(at))
-    return texts.join(F.broadcast(bitmaps), "bucket").where(bit_is_set(F.col("bitmap"), F.col("bit"))).select("digest", "norm")
-
-
-def dedup(docs: DataFrame, memtables: int = MEMTABLES) -> DataFrame:
+    marks = rows.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+    return Run(level, rows, stored(marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))), bits)
+
+
+def flush(rows: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> tuple[DataFrame, int]:
+    """The sorted runs of all memtables, and their number: run, digest, first and n."""
+    runs = max(1, math.ceil(rows.count() / memtable_rows))
+    of = F.pmod(F.xxhash64("_row"), F.lit(runs)) if runs > 1 else F.lit(0)
+    filled = rows.groupBy(of.cast("long").alias("run"), "digest").agg(F.min(_rank()).alias("first"), F.count(F.lit(1)).alias("n"))
+    return stored(filled, "run", "digest"), runs
+
+
+def compact(runs: DataFrame, n: int, fanout: int = FANOUT) -> tuple[DataFrame, int]:
+    """n runs merged fanout at a time, level by level, into one (digest, first, n), and the levels it took; of each digest the smallest identifier stays."""
+    level = 0
+    while n > 1:
+        n, level = math.ceil(n / fanout), level + 1
+        merged = runs.groupBy(F.floor(F.col("run") / fanout).alias("run"), "digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+        runs = stored(merged, "run", "digest")
+    return runs.drop("run"), level
+
+
+@dataclass
+class Index:
+    """A log-structured merge index that batches are added to and looked up in."""
+
+    memtable_rows: int = MEMTABLE_ROWS
+    fanout: int = FANOUT
+    runs: list[Run] = field(default_factory=list)
+
+    def add(self, rows: DataFrame) -> None:
+        """File entries. What the memtables flush is merged; runs gather until fanout of one level merge into the next."""
+        merged, level = compact(*flush(rows, self.memtable_rows), self.fanout)
+        self.runs.append(run_of(merged, merged.count(), level))
+        while len(same := [r for r in self.runs if r.level == self.runs[-1].level]) >= self.fanout:
+            both = same[0].rows
+            for r in same[1:]:
+                both = both.unionByName(r.rows)
+            both = stored(both.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")), "digest")
+            self.runs = [r for r in self.runs if r not in same] + [run_of(both, both.count(), same[0].level + 1)]
+
+    def lookup(self, rows: DataFrame) -> DataFrame:
+        """The entries whose digest is in the index, with first and n over all runs; a run is read for digests that its filter lets through only."""
+        found = None
+        for run in self.runs:
+            hit = run.may_hold(rows).join(run.rows, "digest")
+            found = hit if found is None else found.unionByName(hit)
+        if found is None:
+            return rows.limit(0).withColumn("first", _rank()).withColumn("n", F.lit(0).cast("long"))
+        best = F.min("first").alias("first"), F.sum("n").alias("n")
+        return found.groupBy(*rows.columns).agg(*best)
+
+
+def dedup(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS, fanout: int = FANOUT) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when they are identical without white space; null counts as empty. Of
-    equal texts the row with most code points, then the smallest doc_id stays (null ids
-    rank last, of repeated rows one stays). Other columns of docs are not read.
+    Texts are equal when they are identical without white space; null counts as empty, and
+    very long texts are digested whole. Of equal texts the row with most code points, then
+    the smallest doc_id stays (null ids rank last, of repeated rows one stays). An empty
+    table gives no rows. Other columns of docs are not read.
+
+    Digests that more than one document has are hits. Their run's filter picks the rows
+    that are looked up, the others are alone; and it picks the texts of a second scan
+    whose bytes are compared before any document is called a copy.
     """
     docs = docs.select("doc_id", "text")
     rows = stored(entries(docs))
-    index = compact(flush(rows, memtables))
-    hits = index.where("n > 1")
-    n = hits.count()
-    found = rows.join(index, "digest")
-    if n:
-        texts = _candidates(docs, hits, n)
-        compared = texts.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"))
-        unequal = stored(compared.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"))
-        if not unequal.isEmpty():
-            found = _apart(rows, index, docs, unequal)
+    merged, _ = compact(*flush(rows, memtable_rows), fanout)
+    shared = merged.where("n > 1")
+    hits = run_of(shared, shared.count())
+    told = ["doc_id", "digest", "_row", "points", "first", "n"]
+    # A row that the filter stops is alone: it ranks first itself.
+    at = F.pmod(F.xxhash64("digest"), F.lit(hits.bits)) + 1
+    marked = rows.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", F.bitmap_bit_position(at)).join(F.broadcast(hits.bitmaps), "bucket", "left")
+    marked = marked.withColumn("may", F.coalesce(bit_is_set(F.col("bitmap"), F.col("bit")), F.lit(False))).drop("bucket", "bit", "bitmap")
+    alone = marked.where("not may").select("doc_id", "digest", "_row", "points", _rank().alias("first"), F.lit(1).cast("long").alias("n"))
+    looked_up = marked.where("may").join(shared, "digest", "left")
+    looked_up = looked_up.select("doc_id", "digest", "_row", "points", F.coalesce("first", _rank()).alias("first"), F.coalesce("n", F.lit(1)).alias("n"))
+    found = alone.select(*told).union(looked_up.select(*told))
+
+    texts = docs.select(normalised(F.col("text")).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    compared = hits.may_hold(texts).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"))
+    unequal = stored(compared.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"))
+    if not unequal.isEmpty():
+        found = _apart(rows, merged, docs, unequal)
     return found.select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("_row") == F.col("first._row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
