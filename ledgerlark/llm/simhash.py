@@ -1,10 +1,10 @@
 """Near-duplicates by SimHash fingerprints and multi-index hashing.
 
-Two fingerprints differ in at most 2 of 64 bits exactly when, split into segments, some
-value lies within one bit of both. So each fingerprint enumerates the Hamming ball of
-radius 1 within each of its segments, the other segment unchanged, and files itself under
-every value; a value's list holds no more than 65 different fingerprints. Members of a
-list are fetched as matches of its smallest member, and complete distances are verified.
+Two fingerprints that differ in at most 2 of 64 bits differ in at most one bit of one of
+their two segments. Each segment has a table of its values. The Hamming ball of radius 1
+around every value is looked up in it, the fingerprints of the values found are fetched,
+and complete distances decide. Values that very many fingerprints share are split by the
+other segment.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from ._shared import bounded_text_batches, id_and_text, keyed, picked, stored
 
 SHINGLE, MOST_BITS, SEGMENTS = 3, 2, 2
+WIDTH = 64 // SEGMENTS
+#: Comparisons of fingerprints that two segment values may lead to; with more, both segments together are the key.
+LIST_PAIRS = 4096
 #: Shingle hashes that are counted at a time, so a very long text needs no more memory than this.
 BLOCK = 1 << 16
 
@@ -61,18 +64,60 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("_row", "doc_id", "text").mapInArrow(_fingerprints, f"_row long, doc_id {id_type}, mark long")
 
 
+def _filed(marks: DataFrame) -> DataFrame:
+    """mark, segment and value: the tables in which a fingerprint stands, one for each of its segments."""
+    values = [F.shiftrightunsigned("mark", s * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)) for s in range(SEGMENTS)]
+    return marks.select("mark", F.posexplode(F.array(*values)).alias("segment", "value"))
+
+
+def _looked_up(table: DataFrame) -> DataFrame:
+    """segment, value, other, and their counts n, m: the values in a segment's table that lie in the ball around a value, itself included.
+
+    Of two values a bit apart the one without the bit asks, so each pair comes up once.
+    """
+    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unset = F.filter(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda b: F.getbit("value", b) == 0)
+    ball = table.repartition(partitions, "segment", "value").select("segment", "value", "n", F.explode(unset).alias("bit"))
+    asked = ball.select("segment", "value", "n", F.col("value").bitwiseOR(F.expr("shiftleft(1L, bit)")).alias("other"))
+    found = asked.join(table.select("segment", F.col("value").alias("other"), F.col("n").alias("m")), ["segment", "other"])
+    own = table.where("n > 1").select("segment", "value", F.col("value").alias("other"), "n", F.col("n").alias("m"))
+    return own.union(found.select(*own.columns))
+
+
 def links(marks: DataFrame) -> DataFrame:
-    """a < b: pairs of different fingerprints (of marks: mark, distinct) within MOST_BITS bits.
+    """a < b: pairs of different fingerprints (of marks: mark, distinct) within MOST_BITS bits that connect all that are.
 
-    Each list gives one pair for each member but the smallest, not all pairs: any two
-    members are within 2 bits of each other, so the pairs connect what all pairs would.
+    A bit ball of radius MOST_BITS / SEGMENTS around each segment's value is looked up in
+    the segment's table; fingerprints of values found are fetched and compared whole. Where
+    two values have so many fingerprints that comparing them takes more than LIST_PAIRS
+    comparisons, their fingerprints are filed under both segments at once instead (see _crowded).
+    """
+    filed = stored(_filed(marks))
+    table = stored(filed.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")))
+    near = stored(_looked_up(table))
+    few = near.where(F.col("n") * F.col("m") <= LIST_PAIRS)
+    x = filed.select("segment", "value", F.col("mark").alias("x"))
+    y = filed.select("segment", F.col("value").alias("other"), F.col("mark").alias("y"))
+    fetched = few.select("segment", "value", "other").join(x, ["segment", "value"]).join(y, ["segment", "other"])
+    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
+    pairs = fetched.where((F.col("x") != F.col("y")) & (apart <= MOST_BITS)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    many = near.where(F.col("n") * F.col("m") > LIST_PAIRS).select("segment", F.explode(F.array("value", "other")).alias("value")).distinct()
+    crowded = stored(filed.join(many, ["segment", "value"], "left_semi").select("mark").distinct())
+    return pairs.union(_crowded(crowded)).distinct()
+
+
+def _crowded(marks: DataFrame) -> DataFrame:
+    """a < b: links among the fingerprints of crowded values, by the ball of radius 1 in one segment beside the other segment's value.
+
+    Any two within 2 bits share such a value, and a value has 65 fingerprints at most. A
+    list gives one pair for each member but the smallest: members are within 2 bits of
+    each other, so these connect what all pairs would.
     """
-    width = 64 // SEGMENTS
-    balls = [F.col("mark")] + [F.col("mark").bitwiseXOR(F.lit(_signed(1 << (s * width + b)))) for s in range(SEGMENTS) for b in range(width)]
+    balls = [F.col("mark")] + [F.col("mark").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)]
     marks = marks.repartition(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mark")  # each row becomes 65
     probes = marks.select("mark", F.explode(F.array(*balls)).alias("value"))
     lists = probes.groupBy("value").agg(F.min("mark").alias("a"), F.collect_list("mark").alias("members")).where(F.size("members") > 1)
-    pairs = lists.select("a", F.explode("members").alias("b")).where("a < b").distinct()
+    pairs = lists.select("a", F.explode("members").alias("b")).where("a < b")
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)
 
 
@@ -107,7 +152,8 @@ def group(docs: DataFrame) -> DataFrame:
 
     root is the component's smallest fingerprint and tells components apart; ids may be null or repeated. component_id is the smallest doc_id reachable over links, its own included; null ids
     count only where a component has no other. Null and blank texts have fingerprint 0 and
-    link like any other. Repeated rows share their fingerprint. Extra columns are not read.
+    link like any other; of very long texts every shingle counts. Repeated rows and ties share
+    their fingerprint, an empty table has no group, extra columns are not read.
     """
     found = stored(fingerprints(docs))
     marks = stored(found.groupBy("mark").agg(F.min("doc_id").alias("least")))

@@ -47,6 +47,31 @@ def test_exact_tells_colliding_digests_apart(docs, monkeypatch):
     assert sorted(got, key=str) == want
 
 
+def test_index_of_many_memtables_and_later_batches(docs):
+    """Runs of three documents merged two at a time give what one run gives, and what is added later is found."""
+    want = sorted(exact_dedup.dedup(docs).collect(), key=str)
+    assert sorted(exact_dedup.dedup(docs, memtable_rows=3, fanout=2).collect(), key=str) == want
+    index = exact_dedup.Index(memtable_rows=3, fanout=2)
+    seen = []
+    for part in range(4):
+        batch = docs.where(F.col("doc_id") % 4 == part)
+        found = {r.doc_id: r.known for r in index.lookup(exact_dedup.entries(batch)).select("doc_id", F.col("first.doc_id").alias("known")).collect()}
+        norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        for r in batch.collect():
+            best = sorted((-len(t or ""), d) for d, t in seen if norm(t) == norm(r.text))
+            assert found.get(r.doc_id) == (best[0][1] if best else None)
+        seen += [(r.doc_id, r.text) for r in batch.collect()]
+        index.add(exact_dedup.entries(batch))
+    assert len(index.runs) < 4 and all(run.rows.groupBy("digest").count().where("count > 1").isEmpty() for run in index.runs)
+
+
+def test_a_filter_is_probed_before_its_run(docs):
+    index = exact_dedup.Index()
+    index.add(exact_dedup.entries(docs))
+    passed = index.runs[0].may_hold(docs.sparkSession.range(2000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest")))
+    assert passed.count() < 20
+
+
 def test_exact_empty(docs):
     assert exact_dedup.op5(docs.limit(0)).count() == 0
 
@@ -133,7 +158,9 @@ def test_the_stage_finds_every_near_copy(spark):
     assert stage(spark, docs, "").count() == kept.count()
 
 
-def test_links_and_components_by_brute_force(spark):
+@pytest.mark.parametrize("comparisons", [0, 50, 4096])
+def test_links_and_components_by_brute_force(spark, monkeypatch, comparisons):
+    monkeypatch.setattr(simhash, "LIST_PAIRS", comparisons)  # all values crowded, some, none
     marks = sorted({(c ^ (1 << a) ^ (1 << b)) & (1 << 64) - 1 for c in (0, 0xFFFF0000FFFF0000, 12345) for a in range(0, 64, 5) for b in range(0, 64, 7)})
     signed = [simhash._signed(m) for m in marks]
     pairs = simhash.links(spark.createDataFrame([(m,) for m in signed], "mark long"))
@@ -147,6 +174,17 @@ def test_links_and_components_by_brute_force(spark):
     assert {m: roots.get(m, m) for m in signed} == slow
 
 
+def test_segments_fetch_more_than_links(spark):
+    """What the tables find is verified: candidates share a segment to within a bit, and most are no links."""
+    rng = random.Random(3)
+    marks = [simhash._signed(rng.getrandbits(8) << 32 | rng.getrandbits(32)) for _ in range(300)]
+    df = spark.createDataFrame([(m,) for m in set(marks)], "mark long")
+    table = simhash._filed(df).groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = simhash._looked_up(table).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    real = sum(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a in set(marks) for b in set(marks) if a < b)
+    assert found > 10 * real and simhash.links(df).count() == real
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     pairs = spark.range(n - 1).select(((F.col("id") * 7919) % n).alias("a"), (((F.col("id") + 1) * 7919) % n).alias("b"))
