@@ -1,33 +1,37 @@
-"""Score documents with a stupid-backoff bigram model of the whole corpus.
-
-Bigrams go to buckets by a hash of their last word, or, where that word alone makes up a
-share of the corpus, of the whole bigram. A block of documents sends each bucket one row
-with all its bigrams, so row overhead is paid by the block. In its bucket a bigram is
-counted and joined to the counts; partial sums then come together per document.
-
-A bigram seen MIN_COUNT times or more scores log(count / count of its first word), any
-other log(BACKOFF * count of its last word / all).
+"""Score documents with a stupid-backoff bigram model of the whole corpus, each without itself.
+
+A corpus that scores its own documents has seen all their bigrams, so nothing would ever
+back off; therefore a document is scored by the counts of all others. A bigram that
+others hold scores log(count / count of its first word), any other
+log(BACKOFF * count of its last word / all bigrams); no count above 0 is left out.
+
+Words are 64-bit hashes. Bigrams go to buckets by their last word, or by their first where
+the last is one of the corpus's most frequent words; where both are, they stay spread,
+and such pairs, HOT squared at most, are counted by partial sums and broadcast. A block of
+documents sends each bucket one row with all its bigrams. In its bucket a bigram is counted
+and joined to the counts; partial sums then come together per document.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import bounded_text_batches, stored
 
-BACKOFF, MIN_COUNT = 0.4, 2
-#: Bigrams of a bucket on average; a last word with 1 / HOT of all is spread over buckets, and there are at most HOT such.
+BACKOFF = 0.4
+#: Bigrams of a bucket on average; words with 1 / HOT of all are frequent, and there are at most HOT such.
 BUCKET_GRAMS, HOT = 3_000_000, 1000
+#: Buckets at most; beyond, they grow.
+MOST_BUCKETS = 50_000
 #: Words that a batch counter holds before it hands them on.
 COUNTER = 300_000
 
@@ -37,19 +41,19 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _text(b: bytes) -> str:
-    return b.decode("utf-8", "surrogatepass")
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, first (bigrams that it begins) and last (that it ends), over all documents."""
+    """word (its hash), first (bigrams that it begins) and last (that it ends), over all documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, starts, ends = Counter(), Counter(), Counter()  # a document's last word begins no bigram, its first one ends none
 
         def out() -> pa.RecordBatch:
             words = list(held)
-            columns = {"word": list(map(_text, words))} | {n: pa.array([c[w] for w in words], pa.int64()) for n, c in (("n", held), ("starts", starts), ("ends", ends))}
+            columns = {"word": pa.array(_hashes(words))} | {n: pa.array([c[w] for w in words], pa.int64()) for n, c in (("n", held), ("starts", starts), ("ends", ends))}
             held.clear(), starts.clear(), ends.clear()
             return pa.RecordBatch.from_pydict(columns)
 
@@ -64,106 +68,121 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    counts = docs.select("text").mapInArrow(count, "word string, n long, starts long, ends long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
+    counts = docs.select("text").mapInArrow(read, "word long, n long, starts long, ends long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
     return counts.select("word", (F.col("n") - F.col("ends")).alias("first"), (F.col("n") - F.col("starts")).alias("last"))
 
 
-def _bucket_ids(spark: SparkSession, buckets: int) -> list[int]:
-    """One number for each hash partition, so that every bucket has a partition of its own."""
-    ids = spark.range(buckets * 30).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(buckets)).alias("p")).agg(F.min("id").alias("id")).collect()
-    return sorted(r["id"] for r in ids)
+#: Kinds of packed rows: bigrams, those of two frequent words, and documents.
+GRAMS, FREQUENT, DOCUMENTS = 0, 1, 2
+_LISTS = ("first", "last", "doc", "times", "own_first", "own_last")
 
 
 def _packed(doc_id: T.DataType) -> T.StructType:
     """Nothing is null and the arrays are read together, so every reader takes the same columns and Spark shuffles them once."""
-    lists = (("rows", T.LongType()), ("times", T.IntegerType()), ("ids", doc_id))
-    return T.StructType([T.StructField("bucket", T.IntegerType(), False), T.StructField("grams", T.StringType(), False), *(T.StructField(n, T.ArrayType(t), False) for n, t in lists)])
+    lists = [*((n, T.LongType() if n in ("first", "last") else T.IntegerType()) for n in _LISTS), ("ids", doc_id)]
+    return T.StructType([
+        T.StructField("bucket", T.IntegerType(), False), T.StructField("kind", T.IntegerType(), False), T.StructField("base", T.LongType(), False),
+        *(T.StructField(n, T.ArrayType(t), False) for n, t in lists),
+    ])
 
 
-def _pack(docs: DataFrame, ids: list[int], hot: frozenset[bytes]) -> DataFrame:
-    """Rows of a block of documents for a bucket: its bigrams by line, each with its document's row and its times there.
+def _pack(docs: DataFrame, n: int, hot: frozenset[int]) -> DataFrame:
+    """Rows of a block of documents for a bucket: its bigrams with their document (after base), times there, and the times that their words begin and end one there.
 
-    One more row of each block has an empty bigram for every document, with its number of bigrams and its doc_id.
+    One more row of each block has its documents instead, with times their numbers of bigrams.
     """
-    n, place_ids = len(ids), np.array(ids, np.int32)
-    types = pa.schema([("bucket", pa.int32()), ("grams", pa.string()), ("rows", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    frequent = np.array(sorted(hot), np.int64)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, known = batch.column("_row").to_numpy(), defaultdict(count().__next__)  # words by number
-            codes, times, long = [], [], []
-            for text in batch.column("text"):
+            rows, names, known = batch.column("_row").to_numpy(), batch.column("doc_id"), defaultdict(count().__next__)  # words by number
+            parts, long = [], []
+            for i, text in enumerate(batch.column("text")):
                 words = np.array(list(map(known.__getitem__, tokens(text.as_py()))), np.int64)
                 long.append(max(len(words) - 1, 0))
-                code, many = np.unique(words[:-1] << 32 | words[1:], return_counts=True)
-                codes.append(code)
-                times.append(many.astype(np.int32))
-            row, code, many = np.repeat(rows, [len(c) for c in codes]), np.concatenate(codes), np.concatenate(times)
-            first, last = code >> 32, code & 0xFFFFFFFF
-            crc = np.fromiter(map(zlib.crc32, known), np.int64, len(known))
-            spread = np.fromiter((w in hot for w in known), bool, len(known))
-            place = np.where(spread[last], crc[first] * 31 + crc[last], crc[last]) % n
-            order = np.argsort(place, kind="stable")
-            used, starts = np.unique(place[order], return_index=True)
-            ends = pa.array(np.append(starts, len(order)).astype(np.int32))
-            words = pa.array(list(known), pa.binary())
-            grams = pc.binary_join_element_wise(words.take(pa.array(first[order])), words.take(pa.array(last[order])), b" ")
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (row, many)]
-            packed = [pa.array(place_ids[used]), pc.binary_join(pa.ListArray.from_arrays(ends, grams), b"\n").cast(pa.string()), *lists]
-            names = batch.column("doc_id")
-            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(used) + 1, np.int32)), names.slice(0, 0))
-            yield pa.RecordBatch.from_arrays([*packed, none], names=[*types.names, "ids"])
-            last_row = [[int(place_ids[rows[0] % n])], ["\n" * (len(rows) - 1)], [rows.tolist()], [long]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(last_row, types.types, strict=True)), pa.array([names.to_pylist()], pa.list_(names.type))], names=[*types.names, "ids"])
+                code, times = np.unique(words[:-1] << 32 | words[1:], return_counts=True)
+                a, b = code >> 32, code & 0xFFFFFFFF
+                sums = [np.bincount(x, times, 0)[x] if len(x) else x for x in (a, b)]
+                parts.append((a, b, np.full(len(a), i), times, *sums))
+            a, b, doc, *numbers = (np.concatenate(c) for c in zip(*parts, strict=True))
+            value = _hashes(list(known))
+            spread = np.isin(value, frequent)
+            kind = (spread[a] & spread[b]).astype(np.int32) if len(a) else np.zeros(0, np.int32)
+            a_hot, a, b = spread[b] if len(b) else np.zeros(0, bool), value[a.astype(np.int64)], value[b.astype(np.int64)]
+            place = np.where(kind == FREQUENT, (a ^ b) + rows[0], np.where(a_hot, a, b)) % n
+            order = np.lexsort((doc, a, b, kind, place))
+            place, kind = place[order], kind[order]
+            heads = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (kind[1:] != kind[:-1]))[: len(place)])
+            ends = pa.array(np.append(heads, len(order)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order].astype(np.int64 if i < 2 else np.int32))) for i, x in enumerate((a, b, doc, *numbers))]
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(heads) + 1, np.int32)), names.slice(0, 0))
+            base = pa.array(np.full(len(heads), rows[0]), pa.int64())
+            columns = ["bucket", "kind", "base", *_LISTS, "ids"]
+            yield pa.RecordBatch.from_arrays([pa.array(place[heads].astype(np.int32)), pa.array(kind[heads]), base, *lists, none], columns)
+            zeros = [0] * len(rows)
+            given = dict(zip(_LISTS, (zeros, zeros, (rows - rows[0]).tolist(), long, zeros, zeros), strict=True))
+            own = [pa.array([v], pa.list_(pa.int64() if k in ("first", "last") else pa.int32())) for k, v in given.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(rows[0]) % n], pa.int32()), pa.array([DOCUMENTS], pa.int32()), pa.array([rows[0]], pa.int64()), *own, pa.array([names.to_pylist()], pa.list_(names.type))], columns)
 
     return docs.select("_row", "doc_id", "text").mapInArrow(pack, _packed(docs.schema["doc_id"].dataType))
 
 
-def score(docs: DataFrame, bucket_grams: int = BUCKET_GRAMS, hot_share: int = HOT) -> DataFrame:
+def _same(a: str, b: str) -> Column:
+    """a = b, in a form that does not become a join key: joins look up two ints as one long, and the whole values decide."""
+    return (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
+
+
+def score(docs: DataFrame, buckets: int | None = None, hot_share: int = HOT, backoff: float = BACKOFF) -> DataFrame:
     """One row a document: doc_id, n_scored (its bigrams), log_score (their sum) and perplexity.
 
-    Null, empty and one-word texts score no bigram: log_score 0, perplexity null. Counts
-    are of all documents, repeated rows too; extra columns are not read.
+    Null, empty and one-word texts score no bigram: log_score 0, perplexity null. Very long
+    texts are scored whole. Repeated rows are documents of their own, so each is scored by
+    the counts of the others. A last word that no other document has counts as seen once.
+    An empty table gives no rows; extra columns are not read.
     """
     spark = docs.sparkSession
     bounded_text_batches(spark)
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # buckets place the rows of joins on bucket and more
     docs = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
     seen_total = Observation()
-    # A word that ends one bigram only needs no row: a last word that is not among the others has a count of 1.
+    # A word that ends one bigram only needs no row: what is not among the others has a count of 1.
     words = stored(word_counts(docs).observe(seen_total, F.sum("last").alias("total")).where("first > 1 or last > 1"))
     total = seen_total.get["total"] or 0
-    hot = [r["word"] for r in words.where(F.col("last") * hot_share >= total).where("last > 1").select("word").collect()]  # at most hot_share rows
-    ids = _bucket_ids(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bucket_grams + 1))
-    n = len(ids)
-
-    dealt = _pack(docs, ids, frozenset(w.encode("utf-8", "surrogatepass") for w in hot)).repartition(n, "bucket")
-    entries = F.arrays_zip(F.split("grams", "\n").alias("gram"), F.col("rows").alias("_row"), F.col("times").alias("times"), F.col("ids").alias("doc_id"))
-    grams = dealt.select("bucket", F.inline(entries))
-
-    own = F.element_at(F.array(*map(F.lit, ids)), (F.crc32("word") % n + 1).cast("int"))
-    seen = grams.groupBy("bucket", "gram").agg(F.sum("times").alias("n")).where((F.col("n") >= MIN_COUNT) & (F.col("gram") != ""))
-    seen = seen.join(words.select("word", "first"), F.substring_index("gram", " ", 1) == F.col("word"))
-    seen = seen.select("bucket", "gram", "n", "first").repartition(n, "bucket")
-
-    ends = words.where("last > 1").withColumn("b", F.when(F.col("word").isin(*hot), F.array(*map(F.lit, ids))).otherwise(F.array(own)) if hot else F.array(own))
-    ends = ends.select(F.explode(F.col("b").cast("array<int>")).alias("bucket"), F.col("word").alias("end"), F.col("last"))
-    ends = ends.repartition(n, "bucket")
-
-    # Joins on two ints, which Spark looks up as one long; the strings decide.
-    left = grams.withColumn("end", F.substring_index("gram", " ", -1)).withColumn("g", F.hash("gram")).withColumn("e", F.hash("end"))
-    seen = seen.select(F.col("bucket").alias("b1"), F.hash("gram").alias("h1"), F.col("gram").alias("gram1"), "n", "first").hint("shuffle_hash")
-    ends = ends.select(F.col("bucket").alias("b2"), F.hash("end").alias("h2"), F.col("end").alias("end2"), "last").hint("shuffle_hash")
-    c, same = F.col, lambda a, b: (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))  # noqa: E731  not an equality, which would become a join key
-    scored = left.join(seen, (c("bucket") == c("b1")) & (c("g") == c("h1")) & same("gram", "gram1"), "left")
-    scored = scored.join(ends, (c("bucket") == c("b2")) & (c("e") == c("h2")) & same("end", "end2"), "left")
-    backed = F.ln(F.lit(BACKOFF) * F.coalesce("last", F.lit(1)) / F.lit(max(total, 1)))
-    real = F.col("gram") != ""
-    part = F.when(real, F.coalesce(F.ln(F.col("n") / F.col("first")), backed) * F.col("times")).otherwise(0.0)
-    out = scored.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.max(F.when(~real, F.col("times"))).cast("long").alias("n_scored"), F.sum(part).alias("log_score"))
-    return out.select("doc_id", "n_scored", "log_score", F.when(F.col("n_scored") > 0, F.exp(-F.col("log_score") / F.col("n_scored"))).alias("perplexity"))
+    frequent = F.greatest("first", "last") * hot_share >= total
+    hot = words.where(frequent).select("word", "first", "last")
+    known = frozenset(r["word"] for r in hot.collect())  # 2 * hot_share rows at most
+    n = buckets or min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_GRAMS + 1))
+
+    dealt = _pack(docs, n, known).repartitionById(n, "bucket")
+    grams = dealt.select("bucket", "kind", "base", F.inline(F.arrays_zip(*_LISTS, F.col("ids").alias("doc_id"))))
+
+    # Bigrams of one document only are never seen elsewhere.
+    counts = grams.where(F.col("kind") != DOCUMENTS).groupBy("bucket", "kind", "first", "last").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("docs"))
+    counts = stored(counts.where((F.col("docs") > 1) | (F.col("kind") == FREQUENT)))
+    pairs = counts.where(F.col("kind") == FREQUENT).groupBy("first", "last").agg(F.sum("n").alias("whole"))  # at most a row a pair of frequent words
+    counts = counts.join(F.broadcast(pairs), ["first", "last"], "left")
+    counts = counts.join(words.select(F.col("word").alias("first"), F.col("first").alias("begins")), "first")
+    counts = counts.select(F.col("bucket").alias("b1"), F.hash("first", "last").alias("h1"), F.col("first").alias("first1"), F.col("last").alias("last1"), F.coalesce("whole", "n").alias("n"), "begins")
+    counts = counts.repartitionById(n, "b1").hint("shuffle_hash")
+
+    ends = words.where("last > 1").where(~frequent).select(F.pmod("word", F.lit(n)).cast("int").alias("b2"), F.hash("word").alias("h2"), F.col("word").alias("last2"), F.col("last").alias("cold"))
+    ends = ends.repartitionById(n, "b2").hint("shuffle_hash")
+    often = F.broadcast(hot.select(F.col("word").alias("last"), F.col("last").alias("often")))
+
+    left = grams.withColumn("g", F.hash("first", "last")).withColumn("e", F.hash("last"))
+    c = F.col
+    scored = left.join(counts, (c("bucket") == c("b1")) & (c("g") == c("h1")) & _same("first", "first1") & _same("last", "last1"), "left")
+    scored = scored.join(ends, (c("bucket") == c("b2")) & (c("e") == c("h2")) & _same("last", "last2"), "left").join(often, "last", "left")
+    others = c("n") - c("times")
+    held = F.when(others > 0, F.ln(others / (c("begins") - c("own_first"))))
+    backed = F.ln(F.lit(backoff) * F.greatest(F.coalesce("cold", "often", F.lit(1)) - c("own_last"), F.lit(1)) / F.lit(max(total, 1)))
+    real = c("kind") != DOCUMENTS
+    part = F.when(real, F.coalesce(held, backed) * c("times")).otherwise(0.0)
+    row = (c("base") + c("doc")).alias("_row")
+    out = scored.groupBy(row).agg(F.max("doc_id").alias("doc_id"), F.max(F.when(~real, c("times"))).cast("long").alias("n_scored"), F.sum(part).alias("log_score"))
+    return out.select("doc_id", "n_scored", "log_score", F.when(c("n_scored") > 0, F.exp(-c("log_score") / c("n_scored"))).alias("perplexity"))
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -175,9 +194,11 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
 ), g AS (
   SELECT r, ws[i] AS a, ws[i + 1] AS b FROM (SELECT r, ws, unnest(range(1, len(ws))) AS i FROM d)
-), ab AS (SELECT a, b, count(*) AS n FROM g GROUP BY a, b), fa AS (SELECT a, count(*) AS n FROM g GROUP BY a), lb AS (SELECT b, count(*) AS n FROM g GROUP BY b),
+), own AS (SELECT r, a, b, count(*) AS n FROM g GROUP BY r, a, b), own_a AS (SELECT r, a, sum(n) AS n FROM own GROUP BY r, a), own_b AS (SELECT r, b, sum(n) AS n FROM own GROUP BY r, b),
+ab AS (SELECT a, b, sum(n) AS n FROM own GROUP BY a, b), fa AS (SELECT a, sum(n) AS n FROM own GROUP BY a), lb AS (SELECT b, sum(n) AS n FROM own GROUP BY b),
 v AS (
-  SELECT ab.a, ab.b, CASE WHEN ab.n >= 2 THEN ln(ab.n / fa.n) ELSE ln(CAST(0.4 AS DOUBLE) * lb.n / (SELECT count(*) FROM g)) END AS s FROM ab JOIN fa USING (a) JOIN lb USING (b)
-), s AS (SELECT r, count(*) AS n, sum(s) AS s FROM g JOIN v USING (a, b) GROUP BY r)
-SELECT doc_id, coalesce(n, 0) AS n_scored, coalesce(s, CAST(0 AS DOUBLE)) AS log_score, exp(-s / n) AS perplexity FROM d LEFT JOIN s USING (r)
+  SELECT own.r, own.n, CAST(CASE WHEN ab.n > own.n THEN ln((ab.n - own.n) / (fa.n - own_a.n)) ELSE ln(CAST(0.4 AS DOUBLE) * greatest(lb.n - own_b.n, 1) / (SELECT count(*) FROM g)) END AS DOUBLE) AS s
+  FROM own JOIN ab USING (a, b) JOIN fa USING (a) JOIN lb USING (b) JOIN own_a ON own.r = own_a.r AND own.a = own_a.a JOIN own_b ON own.r = own_b.r AND own.b = own_b.b
+), s AS (SELECT r, sum(n) AS n, sum(s * n) AS s FROM v GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_scored, coalesce(s, CAST(0 AS DOUBLE)) AS log_score, exp(-s / n) AS perplexity FROM d LEFT JOIN s USING (r)
 """
