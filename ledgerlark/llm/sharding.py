@@ -5,6 +5,7 @@ pair. They start on shards in turn; in every round each group names the shard wh
 of it lies, its other members ask to move there, and a quota for each pair of shards
 admits as many as keep every shard within its share. Members of a group on one shard are
 alike, so a round joins and moves counts (group, shard, n), however large the group.
+Groups left in pieces where all shards are full then change places with each other.
 Documents without links then fill every shard to its exact share.
 """
 
@@ -89,13 +90,39 @@ def _propagate(counts: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     return counts
 
 
+def _settle(counts: DataFrame, quotas: list[int]) -> DataFrame:
+    """counts after the groups that would fit a shard and still lie on several have changed places.
+
+    Where every shard is full no single move is admitted. So these groups are all taken off
+    their shards and laid one after the other along the room that is free then: of them one
+    a border between two shards stays cut at most, whatever their number.
+    """
+    whole = counts.groupBy("group").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("shards"))
+    loose = stored(whole.where((F.col("shards") > 1) & (F.col("n") <= min(quotas))).select("group", "n"))
+    n = loose.count()
+    if not n:
+        return counts
+    kept = stored(counts.join(loose.select("group"), "group", "left_anti"))
+    room = [q - held for q, held in zip(quotas, _loads(kept, len(quotas)), strict=True)]
+    laid = running_total(loose, [], F.substring("group", 1, hex_digits(n)), [F.col("group")], F.col("n"), "start")
+    end, pieces = F.col("start") + F.col("n"), []
+    for s, size in enumerate(room):
+        low = sum(room[:s])
+        part = F.least(end, F.lit(low + size)) - F.greatest(F.col("start"), F.lit(low))
+        pieces.append(F.struct(F.lit(s).alias("shard"), part.cast("long").alias("n")))
+    placed = laid.select("group", F.explode(F.filter(F.array(*pieces), lambda p: p["n"] > 0)).alias("p")).select("group", "p.shard", "p.n")
+    return stored(kept.select("group", "shard", "n").union(placed))
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """One row a document of docs (_row, doc_id, text): _row, doc_id, size, text_crc32, shard, slot.
 
     Counts of rows of any two shards differ by one at most. Null texts have size 8 and no
-    links; empty texts are equal to each other. A group larger than a shard's share covers
-    as few shards as the quotas let it. Repeated rows are equal texts. Slots run from 0
-    without gaps on each shard; with fewer rows than shards some shards are empty.
+    links; empty texts are equal to each other, very long ones are digested whole. A group
+    larger than a shard's share covers as few shards as the quotas let it; of the others
+    shards - 1 are cut at most. Repeated rows are equal texts, ties are broken by digests.
+    Slots run from 0 without gaps on each shard; with fewer rows than shards some shards
+    are empty, and all of an empty table. Other columns are not read.
     """
     nodes = stored(_nodes(docs))
     # Stored, so that the join below has plain shuffles on both sides and Spark can split a group that many rows have.
@@ -110,7 +137,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     started = running_total(linked, [], bucket, order, one, "turn").select("group", (F.col("turn") % shards).cast("int").alias("shard"))
     counts = stored(started.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")))
     if tied:
-        counts = _propagate(counts, quotas, rounds)
+        counts = _settle(_propagate(counts, quotas, rounds), quotas)
     loads = _loads(counts, shards)
 
     by_group = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
