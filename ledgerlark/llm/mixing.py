@@ -23,10 +23,10 @@ BUDGET, CAP = 1.5, 2
 
 
 def _queued(salt: str) -> list[Column]:
-    """_size, a document's words, and _place, its shuffled place in the queue."""
+    """_size, a document's words, and _place, its shuffled place in the queue (by its text where it has no doc_id)."""
     return [
         F.coalesce(F.regexp_count("text", F.lit(NOT_WHITE)), F.lit(0)).cast("long").alias("_size"),
-        F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_place"),
+        F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))).alias("_place"),
     ]
 
 
@@ -95,9 +95,11 @@ def schedule(docs: DataFrame, salt: str = "mix") -> DataFrame:
 
     docs has doc_id, text and source. Size is the number of words; null and blank texts
     count 0 and are not taken. A null source is a source of its own, the last. Repeated
-    rows are documents of their own. An empty table gives an empty mix. Reruns agree: the
-    shuffle is a digest of doc_id and `salt`. Per source only two queue places are kept,
-    so texts are never shuffled.
+    rows are documents of their own, though alike in place: ties of place, doc_id and size
+    are taken or left together. Very long texts are counted whole. An empty table gives an
+    empty mix. Reruns agree: the shuffle is a digest of doc_id (null: of the text) and
+    `salt`. Per source only two queue places are kept, so texts are never shuffled. Columns
+    of docs are kept apart in _doc, so their names cannot clash.
     """
     queue = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", *_queued(salt))
     sizes = stored(queue.drop("_doc"))
@@ -126,7 +128,7 @@ def op1(docs: DataFrame) -> DataFrame:
 SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS place
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM sized GROUP BY source
