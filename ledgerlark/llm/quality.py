@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_text_batches, stored
+from ._shared import bounded_text_batches, keyed, picked, stored
 
 #: Bound of the labelled sample that the classifiers are fitted on, drawn by a digest of doc_id.
 MOST_LABELLED = 20_000
@@ -107,7 +107,7 @@ _FEATURES = "_row long, doc_id {0}, source string, lang string, n_chars long, x
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, the metadata columns and x, the text features, of every document."""
+    """_row, doc_id, the metadata columns and x, the text features, of every document of docs (which has a _row)."""
     bounded_text_batches(docs.sparkSession)
     kinds = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 
@@ -117,7 +117,7 @@ def features(docs: DataFrame) -> DataFrame:
             arrays = [b.column(c) for c in ("_row", "doc_id", "source", "lang", "n_chars")]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(x, pa.list_(pa.float32()))], ["_row", "doc_id", "source", "lang", "n_chars", "x"])
 
-    columns = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"), "text")
+    columns = docs.select("_row", "doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"), "text")
     return columns.mapInArrow(read, _FEATURES.format(kinds))
 
 
@@ -151,11 +151,21 @@ def _drawn(rows: DataFrame, n: int, of: int) -> DataFrame:
     return rows.withColumn("_u", u).where(F.col("_u") <= 1.5 * n / max(of, 1)).orderBy("_u", "_row").limit(n).drop("_u")
 
 
-def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> tuple[Classifier | None, DataFrame]:
-    """The classifier (None where labels lack a class) and the stored features of all documents.
+def _calibrating(y: np.ndarray) -> np.ndarray:
+    """Every fifth document of each class, or its last one where a class has fewer."""
+    last = np.zeros(len(y), bool)
+    for v in (0, 1):
+        at = np.flatnonzero(y == v)
+        last[at[min(4, max(len(at) - 1, 0)) :: 5]] = True
+    return last
+
+
+def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, handed: int = HANDED) -> tuple[Classifier | None, DataFrame]:
+    """The classifier (None where a class has fewer than two labelled documents) and the stored features of all documents of docs (which has a _row).
 
     Labels of a doc_id are averaged; halves count as 1. Every fifth labelled document of
-    the sample only calibrates.
+    each class of the sample only calibrates. A view hands over `handed` pseudo-labels a
+    class and round at most, drawn from all documents that it is sure of.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     data = stored(features(docs).join(marks, "doc_id", "left"))
@@ -163,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> tuple[Cla
     known = data.where("y is not null")
     held = _plain(_drawn(known, MOST_LABELLED, known.count()).select(*wanted).collect())
     y = held["y"].to_numpy(float)
-    last = np.arange(len(held)) % 5 == 4
+    last = _calibrating(y)
     if any(len(set(y[s])) < 2 for s in (last, ~last)):
         return None, data
     x, m = _stack(held)
@@ -173,9 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> tuple[Cla
         open_ = _scored(data.where("y is null"), *view)
         sides = [(of, at, v) for of in ("text", "meta") for at, v in ((F.col(f"p.{of}") >= SURE, 1.0), (F.col(f"p.{of}") <= 1 - SURE, 0.0))]
         counts = open_.agg(*[F.count_if(at) for _, at, _ in sides]).first()
-        sure = [_drawn(open_.where(at), HANDED, n).withColumn("y", F.lit(v)).select(F.lit(of).alias("of"), *wanted) for (of, at, v), n in zip(sides, counts, strict=True) if n]
-        handed = reduce(DataFrame.union, sure).collect() if sure else []  # at most 4 * HANDED rows
-        new = [_plain([r for r in handed if r["of"] == of]) for of in ("meta", "text")]
+        sure = [_drawn(open_.where(at), handed, n).withColumn("y", F.lit(v)).select(F.lit(of).alias("of"), *wanted) for (of, at, v), n in zip(sides, counts, strict=True) if n]
+        told = reduce(DataFrame.union, sure).collect() if sure else []  # at most 4 * handed rows
+        new = [_plain([r for r in told if r["of"] == of]) for of in ("meta", "text")]
         grown = [pd.concat([old, got]).drop_duplicates("_row") if len(got) else old for old, got in zip(taught, new, strict=True)]
         done = all(len(a) == len(b) for a, b in zip(taught, grown, strict=True))
         taught = grown
@@ -190,10 +200,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: doc_id, text_score, meta_score, quality and keep.
 
     Scores are probabilities of good quality; keep is quality of KEEP or more. Null and
-    empty texts are scored by their features like any other. Without labels of both classes
-    nothing can be learned: scores are null and all documents are kept.
+    empty texts are scored by their features like any other, very long ones whole, repeated
+    rows each by itself; ties do not arise. Without two labelled documents of each class
+    nothing can be learned: scores are null and all documents are kept. An empty table
+    gives no rows; other columns are not read.
     """
-    model, data = train(docs, labels)
+    model, data = train(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "lang", "n_chars", "text"), labels)
     return _apply(data, model).select("doc_id", F.col("s.text").alias("text_score"), F.col("s.meta").alias("meta_score"), F.col("s.quality").alias("quality"), (F.col("s.quality") >= KEEP if model else F.lit(True)).alias("keep"))
 
 
@@ -211,14 +223,9 @@ def _apply(data: DataFrame, model: Classifier | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects; texts are scored where they lie, not shuffled."""
-    model, _ = train(docs, labels)
+    """docs, with all its columns, without those that the classifier rejects; their stored features are scored, so texts are read by Python once and not shuffled."""
+    rows = keyed(docs)
+    model, data = train(rows.select("_row", "_doc.doc_id", "_doc.source", "_doc.lang", "_doc.n_chars", "_doc.text"), labels)
     if model is None:
         return docs
-
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series, source: pd.Series, lang: pd.Series, n: pd.Series) -> pd.Series:
-        x, m = _stack(_frame(pd.Series([text_features(t) for t in text], dtype=object), source, lang, n))
-        return pd.Series(model.scores(x, m)[2] >= KEEP)
-
-    return docs.where(good("text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")))
+    return picked(rows, _apply(data, model).where(F.col("s.quality") < KEEP), keep=False).select("_doc.*")
