@@ -5,11 +5,11 @@ back off; therefore a document is scored by the counts of all others. A bigram t
 others hold scores log(count / count of its first word), any other
 log(BACKOFF * count of its last word / all bigrams); no count above 0 is left out.
 
-Words are 64-bit hashes. Bigrams go to buckets by their last word, or by their first where
-the last is one of the corpus's most frequent words; where both are, they stay spread,
-and such pairs, HOT squared at most, are counted by partial sums and broadcast. A block of
-documents sends each bucket one row with all its bigrams. In its bucket a bigram is counted
-and joined to the counts; partial sums then come together per document.
+Words are told apart by 64-bit hashes. Bigrams go to buckets by their last word, or by
+their first where the last is one of the corpus's most frequent words; where both are,
+they stay spread, and the buckets' counts are summed. A block of documents sends each
+bucket one row with all its bigrams. In its bucket a bigram is counted and joined to the
+counts; partial sums then come together per document.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +43,8 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    """Spark's xxhash64 of words."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -72,26 +74,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counts.select("word", (F.col("n") - F.col("ends")).alias("first"), (F.col("n") - F.col("starts")).alias("last"))
 
 
-#: Kinds of packed rows: bigrams, those of two frequent words, and documents.
+#: Kinds of packed entries: bigrams, those of two frequent words, and documents.
 GRAMS, FREQUENT, DOCUMENTS = 0, 1, 2
-_LISTS = ("first", "last", "doc", "times", "own_first", "own_last")
+_NUMBERS = ("kind", "times", "own_first", "own_last")
 
 
 def _packed(doc_id: T.DataType) -> T.StructType:
-    """Nothing is null and the arrays are read together, so every reader takes the same columns and Spark shuffles them once."""
-    lists = [*((n, T.LongType() if n in ("first", "last") else T.IntegerType()) for n in _LISTS), ("ids", doc_id)]
-    return T.StructType([
-        T.StructField("bucket", T.IntegerType(), False), T.StructField("kind", T.IntegerType(), False), T.StructField("base", T.LongType(), False),
-        *(T.StructField(n, T.ArrayType(t), False) for n, t in lists),
-    ])
+    """Nothing is null and every reader takes all columns, so Spark shuffles them once."""
+    lists = [("docs", T.ShortType()), *((n, T.IntegerType()) for n in _NUMBERS), ("ids", doc_id)]
+    plain = [("bucket", T.IntegerType()), ("base", T.LongType()), ("firsts", T.StringType()), ("lasts", T.StringType())]
+    return T.StructType([T.StructField(n, t, False) for n, t in plain] + [T.StructField(n, T.ArrayType(t), False) for n, t in lists])
 
 
 def _pack(docs: DataFrame, n: int, hot: frozenset[int]) -> DataFrame:
-    """Rows of a block of documents for a bucket: its bigrams with their document (after base), times there, and the times that their words begin and end one there.
+    """Rows of a block of documents for a bucket: its bigrams as two texts of a word a line, with their document (after base), times there, and the times that their words begin and end one there.
 
-    One more row of each block has its documents instead, with times their numbers of bigrams.
+    Sorted by last and first word, so the shuffle compresses. One more row of each block
+    has its documents instead, with times their numbers of bigrams.
     """
     frequent = np.array(sorted(hot), np.int64)
+    columns = ["bucket", "base", "firsts", "lasts", "docs", *_NUMBERS, "ids"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,31 +106,38 @@ def _pack(docs: DataFrame, n: int, hot: frozenset[int]) -> DataFrame:
                 long.append(max(len(words) - 1, 0))
                 code, times = np.unique(words[:-1] << 32 | words[1:], return_counts=True)
                 a, b = code >> 32, code & 0xFFFFFFFF
-                sums = [np.bincount(x, times, 0)[x] if len(x) else x for x in (a, b)]
+                sums = [_sums(words[:-1], a), _sums(words[1:], b)]
                 parts.append((a, b, np.full(len(a), i), times, *sums))
-            a, b, doc, *numbers = (np.concatenate(c) for c in zip(*parts, strict=True))
+            a, b, doc, times, own_a, own_b = (np.concatenate(c) for c in zip(*parts, strict=True))
             value = _hashes(list(known))
             spread = np.isin(value, frequent)
-            kind = (spread[a] & spread[b]).astype(np.int32) if len(a) else np.zeros(0, np.int32)
-            a_hot, a, b = spread[b] if len(b) else np.zeros(0, bool), value[a.astype(np.int64)], value[b.astype(np.int64)]
-            place = np.where(kind == FREQUENT, (a ^ b) + rows[0], np.where(a_hot, a, b)) % n
-            order = np.lexsort((doc, a, b, kind, place))
-            place, kind = place[order], kind[order]
-            heads = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (kind[1:] != kind[:-1]))[: len(place)])
+            both = spread[a] & spread[b]
+            slot = np.where(both, (value[a] ^ value[b]) + rows[0], np.where(spread[b], value[a], value[b])) % n * 2 + both
+            small = len(known) < 1 << 21
+            order = np.argsort(slot << 42 | b << 21 | a) if small else np.lexsort((a, b, slot))
+            slot = slot[order]
+            heads = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])[: len(slot)])
             ends = pa.array(np.append(heads, len(order)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order].astype(np.int64 if i < 2 else np.int32))) for i, x in enumerate((a, b, doc, *numbers))]
+            words = pa.array(list(known), pa.binary())
+            lines = [pc.binary_join(pa.ListArray.from_arrays(ends, words.take(pa.array(x[order]))), b"\n").cast(pa.string()) for x in (a, b)]
+            numbers = [(doc[order], np.int16), (slot % 2, np.int32), *((x[order], np.int32) for x in (times, own_a, own_b))]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(t))) for x, t in numbers]
             none = pa.ListArray.from_arrays(pa.array(np.zeros(len(heads) + 1, np.int32)), names.slice(0, 0))
             base = pa.array(np.full(len(heads), rows[0]), pa.int64())
-            columns = ["bucket", "kind", "base", *_LISTS, "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(place[heads].astype(np.int32)), pa.array(kind[heads]), base, *lists, none], columns)
-            zeros = [0] * len(rows)
-            given = dict(zip(_LISTS, (zeros, zeros, (rows - rows[0]).tolist(), long, zeros, zeros), strict=True))
-            own = [pa.array([v], pa.list_(pa.int64() if k in ("first", "last") else pa.int32())) for k, v in given.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([int(rows[0]) % n], pa.int32()), pa.array([DOCUMENTS], pa.int32()), pa.array([rows[0]], pa.int64()), *own, pa.array([names.to_pylist()], pa.list_(names.type))], columns)
+            yield pa.RecordBatch.from_arrays([pa.array((slot[heads] // 2).astype(np.int32)), base, *lines, *lists, none], columns)
+            zeros, blank = [0] * len(rows), pa.array(["\n" * (len(rows) - 1)])
+            own = [pa.array([(rows - rows[0]).tolist()], pa.list_(pa.int16())), *(pa.array([v], pa.list_(pa.int32())) for v in ([DOCUMENTS] * len(rows), long, zeros, zeros))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(rows[0]) % n], pa.int32()), pa.array([rows[0]], pa.int64()), blank, blank, *own, pa.array([names.to_pylist()], pa.list_(names.type))], columns)
 
     return docs.select("_row", "doc_id", "text").mapInArrow(pack, _packed(docs.schema["doc_id"].dataType))
 
 
+def _sums(words: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How often each wanted word is among the words."""
+    seen, n = np.unique(words, return_counts=True)
+    return n[np.searchsorted(seen, wanted)] if len(wanted) else wanted
+
+
 def _same(a: str, b: str) -> Column:
     """a = b, in a form that does not become a join key: joins look up two ints as one long, and the whole values decide."""
     return (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
@@ -151,27 +160,30 @@ def score(docs: DataFrame, buckets: int | None = None, hot_share: int = HOT, bac
     words = stored(word_counts(docs).observe(seen_total, F.sum("last").alias("total")).where("first > 1 or last > 1"))
     total = seen_total.get["total"] or 0
     frequent = F.greatest("first", "last") * hot_share >= total
-    hot = words.where(frequent).select("word", "first", "last")
+    hot = words.where(frequent).select("word", "last")
     known = frozenset(r["word"] for r in hot.collect())  # 2 * hot_share rows at most
     n = buckets or min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_GRAMS + 1))
 
     dealt = _pack(docs, n, known).repartitionById(n, "bucket")
-    grams = dealt.select("bucket", "kind", "base", F.inline(F.arrays_zip(*_LISTS, F.col("ids").alias("doc_id"))))
-
-    # Bigrams of one document only are never seen elsewhere.
-    counts = grams.where(F.col("kind") != DOCUMENTS).groupBy("bucket", "kind", "first", "last").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("docs"))
-    counts = stored(counts.where((F.col("docs") > 1) | (F.col("kind") == FREQUENT)))
-    pairs = counts.where(F.col("kind") == FREQUENT).groupBy("first", "last").agg(F.sum("n").alias("whole"))  # at most a row a pair of frequent words
-    counts = counts.join(F.broadcast(pairs), ["first", "last"], "left")
-    counts = counts.join(words.select(F.col("word").alias("first"), F.col("first").alias("begins")), "first")
-    counts = counts.select(F.col("bucket").alias("b1"), F.hash("first", "last").alias("h1"), F.col("first").alias("first1"), F.col("last").alias("last1"), F.coalesce("whole", "n").alias("n"), "begins")
+    lists = [F.split("firsts", "\n").alias("first"), F.split("lasts", "\n").alias("last"), F.col("docs").alias("doc"), *(F.col(x).alias(x) for x in _NUMBERS), F.col("ids").alias("doc_id")]
+    hashed = lambda df: df.withColumns({"first": F.xxhash64("first"), "last": F.xxhash64("last")})
+
+    # Bigrams of one document only are never seen elsewhere. Counts of two frequent words come together from all buckets.
+    counts = hashed(dealt.select("bucket", F.inline(F.arrays_zip(*lists, F.array("base").alias("base")))))
+    counts = counts.groupBy("bucket", "kind", "first", "last").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("docs"))
+    counts = counts.where(((F.col("docs") > 1) & (F.col("kind") == GRAMS)) | (F.col("kind") == FREQUENT)).repartition(n, "first")
+    counts = counts.withColumn("n", F.sum("n").over(Window.partitionBy("first", "last")))
+    words = words.select(F.col("word"), F.col("first").alias("begins"), F.col("last").alias("ends"))
+    counts = counts.join(words.select(F.col("word").alias("first"), "begins"), "first")
+    counts = counts.select(F.col("bucket").alias("b1"), F.hash("first", "last").alias("h1"), F.col("first").alias("first1"), F.col("last").alias("last1"), "n", "begins")
     counts = counts.repartitionById(n, "b1").hint("shuffle_hash")
 
-    ends = words.where("last > 1").where(~frequent).select(F.pmod("word", F.lit(n)).cast("int").alias("b2"), F.hash("word").alias("h2"), F.col("word").alias("last2"), F.col("last").alias("cold"))
+    rare = words.where("ends > 1").join(F.broadcast(hot.select("word")), "word", "left_anti")
+    ends = rare.select(F.pmod("word", F.lit(n)).cast("int").alias("b2"), F.hash("word").alias("h2"), F.col("word").alias("last2"), F.col("ends").alias("cold"))
     ends = ends.repartitionById(n, "b2").hint("shuffle_hash")
     often = F.broadcast(hot.select(F.col("word").alias("last"), F.col("last").alias("often")))
 
-    left = grams.withColumn("g", F.hash("first", "last")).withColumn("e", F.hash("last"))
+    left = hashed(dealt.select("bucket", "base", F.inline(F.arrays_zip(*lists)))).withColumn("g", F.hash("first", "last")).withColumn("e", F.hash("last"))
     c = F.col
     scored = left.join(counts, (c("bucket") == c("b1")) & (c("g") == c("h1")) & _same("first", "first1") & _same("last", "last1"), "left")
     scored = scored.join(ends, (c("bucket") == c("b2")) & (c("e") == c("h2")) & _same("last", "last2"), "left").join(often, "last", "left")
