@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Units of service levels in days; fixed values.
-PERIOD_DAYS = {"h": 1 / 24, "hour": 1 / 24, "hours": 1 / 24, "d": 1, "day": 1, "days": 1, "w": 7, "week": 7, "weeks": 7, "m": 30, "month": 30, "months": 30, "y": 365, "year": 365, "years": 365}
+PERIOD_DAYS = {"h": 1 / 24, "hour": 1 / 24, "hours": 1 / 24, "d": 1, "day": 1, "days": 1, "w": 7, "week": 7, "weeks": 7, "y": 365, "year": 365, "years": 365}
 
 
 def _digit(s: Column, i: int) -> Column:
@@ -14,7 +14,7 @@ def _digit(s: Column, i: int) -> Column:
 
 
 def is_tax_number(s: Column) -> Column:
-    """Whether a string is a 10-digit tax number with a right check digit."""
+    """Whether a string is a 10-digit tax number with a right check digit; the rule of the check digit is fixed."""
 
     def part(i: int) -> Column:
         moved = (_digit(s, i + 1) + (9 - i)) % 10
@@ -25,7 +25,7 @@ def is_tax_number(s: Column) -> Column:
 
 
 def is_citizen_number(s: Column) -> Column:
-    """Whether a string is an 11-digit citizen number with two right check digits."""
+    """Whether a string is an 11-digit citizen number with two right check digits; their rule is fixed."""
     odd, even = sum(_digit(s, i) for i in (1, 3, 5, 7, 9)), sum(_digit(s, i) for i in (2, 4, 6, 8))
     tenth = F.pmod(odd * 7 - even, F.lit(10)) == _digit(s, 10)
     last = (odd + even + _digit(s, 10)) % 10 == _digit(s, 11)
@@ -51,12 +51,17 @@ def period_days(value: Column, unit: Column) -> Column:
     return out
 
 
-def check_category(check_type: Column) -> Column:
-    """What a check is about, for a catalogue: schema, uniqueness, completeness or custom."""
-    return (
-        F.when(check_type.isin("field_is_present", "field_type", "field_physical_type"), "schema").when(check_type.isin("field_unique", "field_primary_key"), "uniqueness")
-        .when(check_type.isin("field_required", "field_not_null"), "completeness").otherwise("custom")
-    )
+#: A catalogue's categories of checks, by check type and by dimension; fixed values. All other checks assert something.
+SCHEMA_CHECKS = ("field_is_present", "field_physical_type", "field_type")
+CATEGORIES = {"timeliness": "FRESHNESS_ANOMALY", "coverage": "VOLUME_ANOMALY"}
+
+
+def check_category(check_type: Column, dimension: Column) -> Column:
+    """What a catalogue counts a check as."""
+    out = F.lit("ASSERTION")
+    for name, category in CATEGORIES.items():
+        out = F.when(dimension == name, category).otherwise(out)
+    return F.when(check_type.isin(*SCHEMA_CHECKS), "SCHEMA_CHANGE").otherwise(out)
 
 
 def epoch_ms(ts: Column) -> Column:

@@ -40,7 +40,7 @@ def _needed(params: Mapping[str, Any], *names: str) -> list[Any]:
 
 
 def _accepted(col: Column, params: Mapping[str, Any]) -> Column:
-    values = [v for v in params.get("values") or () if str(v).strip()]
+    values = [v for v in params.get("values") or () if str(v) != ""]
     if not values:
         raise ValueError("accepted_values needs at least one value")
     return ~col.isin(*values)
@@ -64,7 +64,7 @@ def _not_in_the_future(col: Column, params: Mapping[str, Any]) -> Column:
     return col > (F.lit(day).cast("date") if day else F.current_date())
 
 
-#: Rules about single rows. foreign_key and unique look beyond the row; see `failing`.
+#: Rules about single rows; their descriptions are fixed values, as results carry them. foreign_key and unique look beyond the row.
 KINDS: dict[str, RuleKind] = {
     k.kind: k
     for k in (

@@ -46,3 +46,8 @@ def paired(log: DataFrame, keys: list[str], seq: str, kind: str, columns: list[s
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"_b.{c}").cast("string").alias("before"), F.col(c).cast("string").alias("after"), (~F.col(f"_b.{c}").eqNullSafe(F.col(c))).alias("differs")) for c in columns]
     changed = F.filter(F.array(*cells), lambda x: x["differs"])
     return rows.where("_k = 'UPDATE_BEFORE'").select(*keys, seq, F.inline(changed)).drop("differs")
+
+
+def newest(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last n rows of an order, the newest first."""
+    return rows.orderBy(*[F.col(c).desc() for c in order]).limit(n)

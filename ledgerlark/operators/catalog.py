@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +26,24 @@ def unresolved(edges: DataFrame, contracts: DataFrame) -> DataFrame:
     return edges.where(~F.col("src").startswith("//")).join(contracts.select(F.col("contract_id").alias("src")), "src", "left_anti")
 
 
-def downstream(edges: DataFrame, most_steps: int = 50) -> DataFrame:
-    """origin, node, steps: everything that each node reaches, by the fewest steps; cycles end.
+def downstream(edges: DataFrame) -> DataFrame:
+    """origin, node, steps: everything that each node reaches, by the fewest steps, however many; cycles end.
 
-    Every round extends only the pairs that the last one found.
+    Every round extends only the pairs that the last one found, until it finds no new one.
     """
+    context = edges.sparkSession.sparkContext
+    if not context.getCheckpointDir() and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlark-"))
     edges = edges.select("src", "dst").where("src <> dst").distinct()
     found = edges.select(F.col("src").alias("origin"), F.col("dst").alias("node"), F.lit(1).alias("steps"))
     new = found
-    for step in range(2, most_steps + 1):
+    for step in count(2):
         ahead = new.join(edges, new["node"] == edges["src"]).select("origin", F.col("dst").alias("node")).where("origin <> node").distinct()
         new = ahead.join(found.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("steps", F.lit(step))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            new = new.checkpoint()  # else every round would work out all rounds before it
+        new = new.checkpoint()  # else every round would work out all rounds before it
         if new.isEmpty():
             return found
         found = found.unionByName(new)
-    return found
 
 
 def foreign_keys(properties: DataFrame) -> DataFrame:
@@ -110,5 +113,5 @@ def test_runs(results: DataFrame) -> DataFrame:
     outcome = F.when(F.col("status") == "pass", "SUCCESS").when(F.col("status") == "fail", "FAILED").otherwise("BROKEN")
     return results.select(
         F.concat(F.lit("//test/"), "check_id").alias("test"), F.concat(F.lit("//test/"), "check_id", F.lit("/run/"), F.col("run_at").cast("string")).alias("run"), outcome.alias("outcome"),
-        check_category(F.col("check_type")).alias("category"), F.when(F.col("status") == "fail", failure_reason(F.col("failed_rows"), F.col("total_rows"), F.col("dimension"))).alias("reason"),
+        check_category(F.col("check_type"), F.col("dimension")).alias("category"), F.when(F.col("status") == "fail", failure_reason(F.col("failed_rows"), F.col("total_rows"), F.col("dimension"))).alias("reason"),
     )

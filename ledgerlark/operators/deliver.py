@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -37,22 +39,23 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], fields: Seq
 
     source has keys, fields and `_changed`. Of a row that is there only the fields that
     the revision names are written. A new one is inserted when the revision names all
-    (`*`) or a key; always for insert_always. A source row without a key of the target
-    may find its row by link_by: first rows are matched by key, then those left by link,
-    so no join has an OR.
+    (`*`) or a key; always for insert_always. A source row without keys that may be linked
+    (`_link`) takes the keys of the target row with the same link_by values; rows that
+    have keys are matched by them alone, so no join has an OR.
     """
     constants = dict(constants or {})
     src = source.withColumns({k: F.lit(v) for k, v in constants.items()})
     on = [*keys, *constants]
     src = src.select(*[F.col(c).alias(f"s_{c}") for c in [*on, *fields]], F.col("_changed").alias("s__changed"), *([F.col("_link").alias("s__link")] if link_by else []))
     if link_by:
-        free = src.where(F.coalesce(F.col("s__link"), F.lit(False)))
+        free = F.coalesce(F.col("s__link"), F.lit(False))
         for k in keys:
-            free = free.where(F.col(f"s_{k}").isNull())
-        hits = free.join(target.select(*[F.col(c).alias(f"t_{c}") for c in {*keys, *link_by}]), [F.col(f"s_{c}") == F.col(f"t_{c}") for c in link_by])
-        linked = hits.select(*[F.col(f"t_{k}").alias(f"s_{k}") if k in keys else F.col(f"s_{k}") for k in [*on, *fields]], "s__changed", "s__link")
-        rest = src.join(hits.select(*[F.col(f"s_{c}") for c in link_by]).distinct(), [f"s_{c}" for c in link_by], "left_anti")
-        src = rest.unionByName(linked.select(*rest.columns))
+            free = free & F.col(f"s_{k}").isNull()
+        rows = [F.col(f"t_{c}") == F.lit(v) for c, v in constants.items()]
+        found = target.select(*[F.col(c).alias(f"t_{c}") for c in {*on, *link_by}])
+        hits = src.where(free).join(found, [F.col(f"s_{c}") == F.col(f"t_{c}") for c in link_by] + rows, "left")
+        linked = hits.select(*[F.coalesce(f"t_{k}", f"s_{k}").alias(f"s_{k}") if k in keys else F.col(f"s_{k}") for k in [*on, *fields]], "s__changed", "s__link")
+        src = src.where(~free).unionByName(linked.select(*src.columns))
     names_key = F.col("s__changed") == "*"
     for k in keys:
         names_key = names_key | touched(k, "s__changed")
@@ -75,9 +78,11 @@ def delete(target: DataFrame, gone: DataFrame, keys: Sequence[str], constants: M
 
 
 def reconcile(wanted: DataFrame, have: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """keys, action (add, change, delete) and the wanted fields: what turns `have` into `wanted`."""
+    """keys, action (add, change, delete) and the wanted fields: what turns `have` into `wanted`. Null keys are equal."""
     a = wanted.select(*keys, F.struct(*fields).alias("_want"))
     b = have.select(*keys, F.struct(*fields).alias("_have"))
-    both = a.join(b, list(keys), "full_outer")
+    b = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    both = a.join(b, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "full_outer")
+    both = both.withColumns({k: F.when(F.col("_want").isNull(), F.col(f"_{k}")).otherwise(F.col(k)) for k in keys})
     action = F.when(F.col("_have").isNull(), "add").when(F.col("_want").isNull(), "delete").when(~F.col("_want").eqNullSafe(F.col("_have")), "change")
     return both.withColumn("action", action).where("action is not null").select(*keys, "action", *[F.col(f"_want.{f}").alias(f) for f in fields])

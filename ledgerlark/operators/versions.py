@@ -75,10 +75,10 @@ def diff(dimension: DataFrame, key: str, attributes: list[str]) -> DataFrame:
 
 
 def overlaps(dimension: DataFrame, key: str) -> DataFrame:
-    """Versions that begin before the one before has ended."""
-    order = Window.partitionBy(key).orderBy("valid_from")
-    rows = dimension.withColumn("_until", F.lag("valid_to").over(order)).withColumn("_n", F.row_number().over(order))
-    return rows.where((F.col("_n") > 1) & (F.col("_until").isNull() | (F.col("_until") > F.col("valid_from")))).drop("_until", "_n")
+    """Versions that begin before any earlier one of their key has ended; a version without an end has none."""
+    earlier = Window.partitionBy(key).orderBy("valid_from", F.col("valid_to").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    until = F.max(F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))).over(earlier)
+    return dimension.withColumn("_until", until).where(F.col("_until") > F.col("valid_from")).drop("_until")
 
 
 def staged(orders: DataFrame, customer: str, status: str) -> DataFrame:

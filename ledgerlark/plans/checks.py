@@ -8,7 +8,8 @@ hand-written queries, get a query each. Results come out as one row a check.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -31,7 +32,10 @@ RESULT = (
 
 @dataclass(frozen=True)
 class Check:
-    """key, the table it is about, and one of: failing, a predicate of broken rows; counted, a query for (failed); query, SQL for one number."""
+    """key, the table it is about, and one of: failing, a predicate of broken rows; columns, a key without duplicates (present: or gaps); counted, a query for (failed); query, SQL for one number.
+
+    parents are the other tables that it reads, whole.
+    """
 
     key: str
     table: str
@@ -41,9 +45,12 @@ class Check:
     field: str | None = None
     scope: str = "window"
     failing: Column | None = None
+    columns: tuple[str, ...] = ()
+    present: bool = False
     counted: Callable[[Tables], DataFrame] | None = None
     query: str | None = None
     must_be: float = 0
+    parents: tuple[str, ...] = ()
 
 
 def rule(kind: str, table: str, column: str, params: Mapping[str, Any] | None = None, scope: str | None = None, key: str | None = None, dimension: str | None = None) -> Check:
@@ -55,7 +62,7 @@ def rule(kind: str, table: str, column: str, params: Mapping[str, Any] | None =
         return Check(**base, scope=scope or "table", counted=lambda t: rules.duplicates(t[table], columns).select(F.col("keys").alias("failed")))
     if kind == "foreign_key":
         count = lambda t: rules.foreign_key(t[table], column, t[params["table"]], params["column"]).agg(F.count(F.lit(1)).alias("failed"))
-        return Check(**base, scope=scope or "window", counted=count)
+        return Check(**base, scope=scope or "window", counted=count, parents=(params["table"],))
     return Check(**base, scope=scope or "window", failing=rules.predicate(kind, column, params))
 
 
@@ -75,14 +82,19 @@ def derived(model: Model) -> list[Check]:
 
 def _no_duplicates(key: str, table: str, kind: str, columns: Sequence[str], present: bool) -> Check:
     """failed: rows that share their key, and for a primary key rows that lack a part of it."""
+    return Check(key, table, kind, "uniqueness", f"{', '.join(columns)} must be unique", ", ".join(columns), "table", columns=tuple(columns), present=present)
 
-    def count(tables: Tables) -> DataFrame:
-        n, missing = F.count(F.lit(1)), reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-        groups = tables[table].groupBy(*columns).agg(n.alias("n"))
-        broken = F.when(missing, F.col("n") if present else F.lit(0)).when(F.col("n") > 1, F.col("n")).otherwise(0)
-        return groups.agg(F.coalesce(F.sum(broken), F.lit(0)).cast("long").alias("failed"))
 
-    return Check(key, table, kind, "uniqueness", f"{', '.join(columns)} must be unique", ", ".join(columns), "table", counted=count)
+def _keyed(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """key, failed, total of all checks on one key, from one grouping."""
+    columns = checks[0].columns
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).select("n", missing.alias("missing"))
+    shared = F.when(F.col("n") > 1, F.col("n")).otherwise(0)
+    broken = [F.coalesce(F.sum(F.when(F.col("missing"), F.col("n") if c.present else F.lit(0)).otherwise(shared)), F.lit(0)).alias(f"f{i}") for i, c in enumerate(checks)]
+    row = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *broken)
+    cells = F.array(*[F.struct(F.lit(c.key).alias("key"), F.col(f"f{i}").alias("failed")) for i, c in enumerate(checks)])
+    return row.select("total", F.inline(cells)).select("key", "failed", "total")
 
 
 def schema_rows(spark: SparkSession, model: Model, df: DataFrame) -> DataFrame:
@@ -116,51 +128,112 @@ def _fused(df: DataFrame, checks: Sequence[Check], by: Sequence[str] = ()) -> Da
     return row.select(*by, "total", F.inline(cells)).select(*by, "key", "failed", "total")
 
 
+@contextmanager
+def _named(tables: Tables) -> Iterator[None]:
+    """The tables as temporary views of their names; the session's own views of these names come back."""
+    spark = next(iter(tables.values())).sparkSession
+    own = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in tables if name in own}
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    try:
+        yield
+    finally:
+        for name in tables:
+            before[name].createOrReplaceTempView(name) if name in before else spark.catalog.dropTempView(name)
+
+
+def _number(check: Check, tables: Tables) -> DataFrame:
+    """failed of a hand-written query: 0 where its number is the wanted one, else the number."""
+    with _named(tables):
+        found = next(iter(tables.values())).sparkSession.sql(check.query)
+    value = F.col(f"`{found.columns[0]}`").cast("double")
+    failed = F.when(value == check.must_be, 0).otherwise(F.greatest(F.coalesce(value, F.lit(1.0)), F.lit(1.0))).cast("long")
+    return found.limit(1).select(failed.alias("failed"))
+
+
+def _part(checks: Sequence[Check], tables: Tables) -> DataFrame:
+    """key, failed, total (null for a query of its own) of checks that one query measures."""
+    first = checks[0]
+    if first.table not in tables:
+        raise KeyError(f"no relation {first.table}")
+    if first.failing is not None:
+        out = _fused(tables[first.table], checks)
+    elif first.columns:
+        out = _keyed(tables[first.table], checks)
+    else:
+        found = _number(first, tables) if first.query else first.counted(tables)
+        out = found.select(F.lit(first.key).alias("key"), "failed", F.lit(None).alias("total"))
+    return out.select("key", F.col("failed").cast("long"), F.col("total").cast("long"))
+
+
+def _reason(e: Exception) -> str:
+    return (str(e).splitlines() or [type(e).__name__])[0][:500]
+
+
 def measure(checks: Iterable[Check], window: Tables, whole: Tables | None = None) -> DataFrame:
     """key, failed, total and error of each check, over the day's rows or, by its scope, the whole tables.
 
-    A check whose plan cannot be made has an error instead of a count.
+    Checks of a table and scope share their aggregate, those on one key their grouping, and
+    a table is counted once. All are run as one job, a row a check; where that fails each is run
+    by itself, and the one that cannot be planned or breaks while it runs has an error instead.
     """
     checks, whole = list(checks), whole or window
-    spark = next(iter(window.values())).sparkSession
-    parts, broken = [], []
-    groups: dict[tuple[str, str], list[Check]] = {}
+    spark = next(iter((whole or window).values())).sparkSession
+    groups: dict[tuple, list[Check]] = {}
     for c in checks:
-        tables = whole if c.scope == "table" else window
-        if c.failing is not None:
-            groups.setdefault((c.table, c.scope), []).append(c)
-            continue
+        alone = () if c.failing is not None or c.columns else (c.key,)
+        groups.setdefault((c.scope, c.table, c.failing is not None, c.columns, alone), []).append(c)
+    tables = {"table": whole, "window": window}
+    rows: dict[str, tuple] = {}
+
+    def plan(group: list[Check]) -> DataFrame | None:
         try:
-            if c.query:
-                for name, df in tables.items():
-                    df.createOrReplaceTempView(name)
-                found = spark.sql(c.query)
-                value = F.col(f"`{found.columns[0]}`").cast("double")
-                failed = F.when(value == c.must_be, 0).otherwise(F.greatest(F.coalesce(value, F.lit(1.0)), F.lit(1.0))).cast("long")
-                found = found.limit(1).select(failed.alias("failed"))
-            else:
-                found = c.counted(tables)
-            total = tables[c.table].agg(F.count(F.lit(1)).alias("total"))
-            parts.append(found.select(F.lit(c.key).alias("key"), F.col("failed").cast("long")).crossJoin(total))  # one row each
+            parents = {p for c in group for p in c.parents}
+            if parents - set(whole):
+                raise KeyError(f"no relation {', '.join(sorted(parents - set(whole)))}")
+            return _part(group, {**tables[group[0].scope], **{p: whole[p] for p in parents}})
         except (PySparkException, KeyError) as e:
-            broken.append((c.key, str(e).splitlines()[0][:500]))
-    for (table, scope), group in groups.items():
-        df = (whole if scope == "table" else window).get(table)
-        fits = []
-        for c in group:
-            try:
-                if df is None:
-                    raise KeyError(f"no relation {table}")
-                _ = df.select(c.failing)
-                fits.append(c)
-            except (PySparkException, KeyError) as e:
-                broken.append((c.key, str(e).splitlines()[0][:500]))
-        if fits:
-            parts.append(_fused(df, fits))
-    parts = [p.select("key", "failed", F.col("total").cast("long"), F.lit(None).cast("string").alias("error")) for p in parts]
-    if broken:
-        parts.append(spark.createDataFrame([(k, None, None, e) for k, e in broken], "key string, failed long, total long, error string"))
-    return reduce(DataFrame.unionByName, parts)
+            if len(group) == 1:
+                rows[group[0].key] = (None, None, _reason(e))
+            return None
+
+    def run(parts: list[tuple[list[Check], DataFrame]]) -> None:
+        try:
+            for r in reduce(DataFrame.unionByName, [df for _, df in parts]).collect():  # a row a check
+                rows[r["key"]] = (r["failed"], r["total"], None)
+        except PySparkException as e:
+            if len(parts) > 1:
+                for part in parts:
+                    run([part])
+            elif len(parts[0][0]) > 1:
+                for c in parts[0][0]:
+                    if df := plan([c]):
+                        run([([c], df)])
+            else:
+                rows[parts[0][0][0].key] = (None, None, _reason(e))
+
+    parts = []
+    for group in groups.values():
+        if df := plan(group):
+            parts.append((group, df))
+        elif len(group) > 1:
+            parts += [([c], df) for c in group if (df := plan([c]))]
+    counted = {(c.scope, c.table) for c in checks if c.failing is not None or c.columns}
+    for scope, table in {(c.scope, c.table) for c in checks} - counted:
+        if table in tables[scope]:
+            key = f"#{scope}.{table}"
+            total = tables[scope][table].agg(F.count(F.lit(1)).alias("total")).select(F.lit(key).alias("key"), F.lit(None).cast("long").alias("failed"), "total")
+            parts.append(([Check(key, table, "count", None, key)], total))
+    if parts:
+        run(parts)
+    totals = {(c.scope, c.table): rows[c.key][1] for c in checks if rows.get(c.key, (None,) * 2)[1] is not None}
+    totals |= {(c.scope, c.table): rows[f"#{c.scope}.{c.table}"][1] for c in checks if f"#{c.scope}.{c.table}" in rows}
+    told = []
+    for c in checks:
+        failed, total, error = rows.get(c.key, (None, None, "gave no row"))
+        told.append((c.key, failed, None if error else total if total is not None else totals.get((c.scope, c.table), 0), error))
+    return spark.createDataFrame(told, "key string, failed long, total long, error string")
 
 
 def results(contract_id: str, checks: Iterable[Check], measured: DataFrame, run_at: dt.date | str | Column, mode: str = "incremental") -> DataFrame:
@@ -190,8 +263,12 @@ def run(contract: Contract, read: Callable[[str], DataFrame], as_of: dt.date | s
         spark = pyspark.sql.SparkSession.getActiveSession()
         row = (dt.date.fromisoformat(str(as_of)), f"{contract.id}.window_missing", contract.id, "unknown", "error", 0, 0, 0.0, mode, "window", "general", None, str(e))
         return spark.createDataFrame([row], RESULT)
-    names = {c.table for c in checks} | set(window)
-    whole = {n: read(n) for n in names if n in window}
+    whole = {n: read(n) for n in window}
+    for parent in {p for c in checks for p in c.parents} - set(whole):
+        try:
+            whole[parent] = read(parent)
+        except (LookupError, PySparkException):
+            pass  # its checks become errors
     return results(contract.id, checks, measure(checks, window, whole), as_of, mode)
 
 

@@ -11,7 +11,10 @@ from .scoring import latest
 
 
 class ResultStore:
-    """Parquet tables under a folder. check_results, contract_scores and column_profile are partitioned by month, day, window and contract."""
+    """Parquet tables under a folder. check_results, contract_scores and column_profile are partitioned by month, day, window and contract.
+
+    A table that is rewritten has versions, and a file of its name with `.at` that says which one holds.
+    """
 
     DAY = ["run_month", "run_at", "run_window", "contract_id"]
 
@@ -21,14 +24,26 @@ class ResultStore:
     def replace_day(self, table: str, rows: DataFrame) -> None:
         """Write rows; of every (day, window, contract) among them, nothing older is left."""
         rows = rows.withColumn("run_month", F.date_format("run_at", "yyyy-MM"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.DAY).parquet(f"{self.folder}/{table}")
+        rows.repartition(*self.DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.DAY).parquet(f"{self.folder}/{table}")
+
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, table: str) -> str:
+        """The folder of the table's rows: its own, or the version that its pointer names."""
+        path, fs = self._fs()
+        pointer = path(f"{self.folder}/{table}.at")
+        if not fs.exists(pointer):
+            return f"{self.folder}/{table}"
+        return f"{self.folder}/{self.spark.read.text(pointer.toString()).first()[0]}"
 
     def append(self, table: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.folder}/{table}")
+        rows.write.mode("append").parquet(self._path(table))
 
     def read(self, table: str) -> DataFrame:
         """The table with run_at as a date; filters on run_month and run_at prune its partitions."""
-        df = self.spark.read.parquet(f"{self.folder}/{table}")
+        df = self.spark.read.parquet(self._path(table))
         return df.withColumn("run_at", F.col("run_at").cast("date")) if "run_month" in df.columns else df
 
     def last_word(self, table: str, keys: list[str], order: str) -> DataFrame:
@@ -36,14 +51,16 @@ class ResultStore:
         return latest(self.read(table), keys, order)
 
     def rewrite(self, table: str, rows: DataFrame) -> None:
-        """Put rows in place of the table. They may be read from it: the new files are complete before the old ones go."""
-        new, old, at = f"{self.folder}/.{table}-{uuid.uuid4().hex}", f"{self.folder}/.{table}-old-{uuid.uuid4().hex}", f"{self.folder}/{table}"
-        rows.write.parquet(new)
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = path(at).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(path(at)):
-            fs.rename(path(at), path(old))
-        fs.rename(path(new), path(at))
+        """Put rows in place of the table, from which they may be read: a new version is written whole, then the pointer is switched, then the old one goes.
+
+        A reader or a crash in between finds the old version or the new one, never none.
+        """
+        old, new = self._path(table), f"{table}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{new}")
+        path, fs = self._fs()
+        out = fs.create(path(f"{self.folder}/{table}.at"), True)
+        out.write(bytearray(f"{new}\n".encode()))
+        out.close()
         fs.delete(path(old), True)
 
     def prune(self, table: str, column: str, cutoff: str) -> None:

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import cdc, classify, deliver, rollup, sample, versions
+from ledgerlark.operators import catalog, cdc, classify, deliver, rollup, sample, versions
 from ledgerlark.plans import flows
 from ledgerlark.plans.results import ResultStore
 from ledgerlark.streaming import flows as streams
@@ -201,3 +201,22 @@ def test_flow_streams(spark, tmp_path):
     streams.run_once(lambda: streams.keep_totals(spark.readStream.schema(ch.schema).parquet(f"{at}/ch"), store, "lines", "totals", ["id"], {"k": "g"}, {"s": "sum(x)"}, f"{at}/c3", once=True))
     assert sorted(map(tuple, store.read("totals").collect())) == [("a", 5), ("b", 7)]
     assert streams.problems(spark) == [] and len(streams.replication_problems([{"contract": "a", "copying": ["t"]}, {"streaming": False}, {"reachable": False}, {}])) == 3
+
+
+def test_lineage_of_a_long_chain_is_whole(spark):
+    edges = spark.createDataFrame([(f"t{i}", f"t{i + 1}", "derived") for i in range(8)] + [("a", "b", "derived"), ("b", "a", "derived")], catalog.EDGE)
+    got = catalog.downstream(edges)
+    assert got.where("origin like 't%'").count() == 36 and got.agg({"steps": "max"}).first()[0] == 8
+
+
+def test_merge_by_link_loses_no_row_with_a_key(spark):
+    target = spark.createDataFrame([(1, "x", "old"), (5, "y", "old")], "k int, link string, v string")
+    told = spark.createDataFrame([(5, "x", "by key", ",v,", False), (None, "x", "by link", ",v,", True), (None, "x", "may not", ",v,", False)], "k int, link string, v string, _changed string, _link boolean")
+    got = {r.k: (r.v, r._action) for r in deliver.merge(target, told, ["k"], ["v", "link"], link_by=["link"]).collect()}
+    assert got == {1: ("by link", "update"), 5: ("by key", "update")}
+
+
+def test_versions_inside_a_longer_one_overlap(spark):
+    day = "valid_from date, valid_to date"
+    rows = spark.createDataFrame([("a", *map(dt.date.fromisoformat, x)) for x in (("2024-01-01", "2024-12-01"), ("2024-02-01", "2024-03-01"), ("2024-06-01", "2024-07-01"), ("2024-12-01", "2025-01-01"))], f"k string, {day}")
+    assert {r.valid_from.month for r in versions.overlaps(rows, "k").collect()} == {2, 6}

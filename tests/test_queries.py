@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerlark import queries
+from ledgerlark import queries, queries_plans  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
