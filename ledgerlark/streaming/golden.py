@@ -197,12 +197,23 @@ _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
 def replay(inbox: DataFrame, entity: Entity) -> DataFrame:
-    """Outcome and golden revision of every inbox row (key, seq, system, row_kind, source_ms, row as JSON, unmapped as JSON), in a batch."""
+    """Outcome and golden revision of every inbox row (key, seq, system, row_kind, source_ms, row as JSON, unmapped as JSON), in a batch.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_rows(Golden(), entity, pdf["key"].iloc[0], pdf), columns=_COLUMNS)
+    A key's rows pass one task in order, which holds the key's state and a batch of rows, not its history.
+    """
 
-    return inbox.groupBy("key").applyInPandas(run, OUT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, g = object(), Golden()
+        for pdf in batches:
+            out = []
+            for k, rows in pdf.groupby("key", sort=False, dropna=False):
+                k = None if pd.isna(k) else k
+                if k != key:
+                    key, g = k, Golden()
+                out += _rows(g, entity, k, rows)
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    return inbox.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, OUT)
 
 
 def stream(inbox: DataFrame, entity: Entity) -> DataFrame:
