@@ -399,3 +399,77 @@ def second_pass(spark, d):
     first = _results(spark, d).where(F.col("run_at") == DAY).select("check_id", "failed_rows")
     again = spark.createDataFrame([("sales.orders.price", 7)], "check_id string, failed_rows long")
     return checks.replaced_by_key(first, again)
+
+
+# --- the life of a crosswalk
+
+_WALK = golden.Crosswalk({"shop": "code"}, ("name",), ("name",))
+
+
+def _walk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows of a shop, golden records, what the shop was sent, and tombstones. The shop's codes are the customers' keys with a minus."""
+    k, c = F.col("c_custkey"), _t(spark, d, "customer")
+    name = F.when(k % 4 == 0, "shared").otherwise(F.col("c_name"))
+    rows = c.select((-k).alias("code"), F.when(k % 10 != 0, name).alias("name"), F.col("c_mktsegment").alias("segment"))
+    records = c.where("c_custkey % 6 <> 5").select(k.alias("key"), F.when(k % 3 == 0, -k).alias("code"), name.alias("name"))
+    sent = c.where("c_custkey % 8 = 4").select(k.alias("key"), F.inline(F.array(F.struct(F.lit("name").alias("field"), name.alias("value")), F.struct(F.lit("code2").alias("field"), k.cast("string").alias("value")))))
+    gone = c.where("c_custkey % 6 = 5 and c_custkey % 4 <> 0").select((-k).alias("code"), (k + 1_000_000_000).alias("key"))
+    return rows.withColumn("code2", (-F.col("code")).cast("string")), records, sent, gone
+
+
+_CW = """w AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'shared' ELSE c_name END AS n FROM customer), r AS (SELECT -k AS code, CASE WHEN k % 10 <> 0 THEN n END AS name, k FROM w), g AS (SELECT k AS key, CASE WHEN k % 3 = 0 THEN -k END AS code, n AS name FROM w WHERE k % 6 <> 5),
+l AS (SELECT name, count(*) AS c, min(key) AS one, bool_or(code IS NOT NULL) AS taken FROM g GROUP BY 1),
+a AS (SELECT r.code, r.k AS key FROM r JOIN g ON g.key = r.k WHERE r.k % 8 = 4 AND g.code IS NULL AND r.name IS NOT NULL),
+x AS (SELECT r.code, q.key AS known, CASE WHEN r.k % 6 = 5 AND r.k % 4 <> 0 THEN r.k + 1000000000 END AS gone, a.key AS answers, one, CASE WHEN r.name IS NULL THEN 'part' WHEN c > 1 THEN 'ambiguous' WHEN taken THEN 'taken' END AS why FROM r LEFT JOIN g q ON q.code = r.code LEFT JOIN l ON l.name = r.name LEFT JOIN a ON a.code = r.code),
+p AS (SELECT code, coalesce(known, CASE WHEN why IS NULL THEN one END, gone, answers) AS key, CASE WHEN coalesce(known, CASE WHEN why IS NULL THEN one END, gone, answers) IS NULL THEN why END AS held FROM x)"""
+
+
+@query(f"WITH {_CW} SELECT * FROM p")
+def crosswalk_placed(spark, d):
+    """Rows find their record by code, by link, by a deleted record's code, or as the answer to a delivery; the rest are new or held."""
+    rows, records, sent, gone = _walk(spark, d)
+    return golden.place(rows, records, _WALK, "shop", sent, ["name", "code2"], gone).select("code", "key", "held")
+
+
+@query(f"WITH {_CW} SELECT key, count(*) OVER (PARTITION BY name) = 1 AS linkable FROM g")
+def crosswalk_linkable(spark, d):
+    _, records, _, _ = _walk(spark, d)
+    return golden.linkable(records, ["name"]).select("key", "linkable")
+
+
+@query(f"""WITH {_CW}, h AS (SELECT code FROM p WHERE held IS NOT NULL), d AS (SELECT code, CASE WHEN code % 5 = 0 THEN NULL WHEN code % 7 = 0 THEN 5000000000 ELSE -code END AS key FROM h)
+SELECT d.code, d.key, CASE WHEN d.key IS NOT NULL AND g.key IS NULL THEN 'no such record' WHEN g.code <> d.code THEN 'the record has another key' END AS refused FROM d LEFT JOIN g USING (key)""")
+def crosswalk_linked(spark, d):
+    """A person's decisions on held rows, and those that cannot stand."""
+    rows, records, sent, gone = _walk(spark, d)
+    held = golden.place(rows, records, _WALK, "shop", sent, ["name", "code2"], gone).where("held is not null").select("code", "held")
+    code = F.col("code")
+    decisions = held.select("code", F.when(code % 5 == 0, None).when(code % 7 == 0, 5_000_000_000).otherwise(-code).alias("key"))
+    return golden.linked(held, decisions, records, "code").select("code", "key", "refused")
+
+
+@query("""SELECT code, system, row_number() OVER (PARTITION BY code ORDER BY CAST(a IS NULL AS INTEGER) + CAST(b IS NULL AS INTEGER), system) AS nth FROM (
+SELECT c_custkey // 3 AS code, c_name AS system, CASE WHEN c_custkey % 2 = 0 THEN 1 END AS a, CASE WHEN c_custkey % 3 = 0 THEN 1 END AS b FROM customer)""")
+def crosswalk_replay_order(spark, d):
+    """Held rows of one code, the owner's first."""
+    k = F.col("c_custkey")
+    held = _t(spark, d, "customer").select(F.floor(k / 3).alias("code"), F.col("c_name").alias("system"), F.when(k % 2 == 0, 1).alias("a"), F.when(k % 3 == 0, 1).alias("b"))
+    return golden.replay_order(held, ["a", "b"], "code").select("code", "system", "nth")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '{"name":"' || c_name || '","segment":' || CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '"' || c_mktsegment || '"' END || '}' ELSE '{"name":"' || c_name || '"}' END AS row FROM customer""")
+def inbox_declared(spark, d):
+    """Only the fields that a flow declares are values, nulls among them."""
+    k = F.col("c_custkey")
+    inbox = _t(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.when(k % 3 != 0, F.col("c_mktsegment")).alias("segment"), F.when(k % 2 == 0, "name,segment").otherwise("name").alias("fields"))
+    return golden.declared(inbox, ["name", "segment"]).select("c_custkey", "row")
+
+
+@query("SELECT CAST(seq AS BIGINT) AS seq, outcome FROM (VALUES " + _text([x for x in _DECIDED if x[1] != "unchanged"] + [(12, "applied")]) + ") v(seq, outcome)")
+def inbox_history(spark, d):
+    """What changed nothing leaves no trace in the inbox."""
+    import json
+
+    more = [("1", 11, "billing", "UPDATE_AFTER", 5_000, json.dumps({"name": "Eva", "city": "Oslo", "tier": "gold"}), None), ("1", 12, "billing", "UPDATE_AFTER", 9_000, json.dumps({"name": "Eva", "city": "Kiel", "tier": "gold"}), None), ("1", 13, "billing", "UPDATE_AFTER", 9_500, json.dumps({"name": "Eva", "city": "Kiel", "tier": "gold"}), None)]
+    inbox = _small_inbox(spark)
+    return golden.inbox_history(golden.replay(inbox.unionByName(spark.createDataFrame(more, inbox.schema)), _ENTITY)).where("outcome <> 'echo' or seq < 11").select("seq", "outcome")

@@ -285,6 +285,73 @@ def resolve(rows: DataFrame, golden: DataFrame, walk: Crosswalk, system: str) ->
     return out.select(*rows.columns, key.alias("key"), why.alias("held"))
 
 
+def awaited(rows: DataFrame, expected: DataFrame, golden: DataFrame, code: str, fields: Sequence[str]) -> DataFrame:
+    """code and key of rows that answer a delivery: one record without this code awaits nothing but what the row says.
+
+    expected has key, field and value (text) of all that the system was sent and has not
+    answered; several values of a field may be awaited, any of them will do. A record whose
+    deletion is awaited (field `*`) is answered by no row.
+    """
+    said = rows.select(code, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])))
+    wanted = expected.groupBy("key").agg(F.count_distinct("field").alias("_wanted"), F.bool_or(F.col("field") == ALL).alias("_gone")).where("not _gone")
+    e = expected.select("key", F.col("field").alias("_field"), F.col("value").alias("_value"))
+    met = said.join(e, (F.col("field") == F.col("_field")) & F.col("value").eqNullSafe(F.col("_value"))).groupBy(code, "key").agg(F.count_distinct("field").alias("_met"))
+    free = golden.where(F.col(code).isNull()).select("key")
+    hits = met.join(wanted, "key").where("_met = _wanted").join(free, "key", "left_semi")
+    return hits.groupBy(code).agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("key")).where("_n = 1").select(code, "key")
+
+
+def place(rows: DataFrame, golden: DataFrame, walk: Crosswalk, system: str, expected: DataFrame, fields: Sequence[str], tombstones: DataFrame | None = None) -> DataFrame:
+    """resolve(), and what comes after it: rows of deleted records keep their key (tombstones: code and key), and rows that would be held or made new records but answer a delivery go to its record."""
+    code = walk.codes[system]
+    found = resolve(rows, golden, walk, system).withColumnsRenamed({"key": "_key", "held": "_held"})
+    answers = awaited(rows, expected, golden, code, fields).select(F.col(code).alias("_code"), F.col("key").alias("_answers"))
+    out = found.join(answers, F.col(code) == F.col("_code"), "left").drop("_code")
+    gone = F.lit(None)
+    if tombstones is not None:
+        dead = tombstones.groupBy(F.col(code).alias("_code")).agg(F.max("key").alias("_gone"))
+        out, gone = out.join(dead, F.col(code) == F.col("_code"), "left"), F.col("_gone")
+    key = F.coalesce("_key", gone, "_answers")
+    return out.select(*rows.columns, key.alias("key"), F.when(key.isNull(), F.col("_held")).alias("held"))
+
+
+def linkable(golden: DataFrame, link_by: Sequence[str]) -> DataFrame:
+    """golden and linkable: whether other systems may find a record by its link columns, that is, no other record has the same."""
+    others = golden.where(" and ".join(f"{c} is not null" for c in link_by)).groupBy(*link_by).agg(F.count(F.lit(1)).alias("_n"))
+    return golden.join(others, list(link_by), "left").select(*golden.columns, F.coalesce(F.col("_n") == 1, F.lit(True)).alias("linkable"))
+
+
+def linked(held: DataFrame, decisions: DataFrame, golden: DataFrame, code: str) -> DataFrame:
+    """held rows that a person decided on: key, and refused, why the decision cannot stand (null where it does).
+
+    decisions has the code and key, null for a record of its own.
+    """
+    g = golden.select(F.col("key").alias("_record"), F.col(code).alias("_taken"))
+    out = held.join(decisions.select(F.col(code).alias("_code"), "key"), F.col(code) == F.col("_code")).join(g, F.col("key") == F.col("_record"), "left")
+    why = F.when(F.col("key").isNotNull() & F.col("_record").isNull(), "no such record").when(F.col("_taken") != F.col(code), "the record has another key")
+    return out.select(*held.columns, "key", why.alias("refused"))
+
+
+def replay_order(held: DataFrame, required: Sequence[str], code: str) -> DataFrame:
+    """held and nth: the order in which rows under one code are taken again, those that have most of what a record requires first, so its owner makes it."""
+    lacks = F.lit(0)
+    for r in required:
+        lacks = lacks + F.col(r).isNull().cast("int")
+    return held.withColumn("nth", F.row_number().over(Window.partitionBy(code).orderBy(lacks, "system")))
+
+
+def declared(inbox: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """inbox with row, the JSON of those columns that `fields` declares: what a flow does not carry is no value, a null that it carries is one."""
+    cells = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])
+    own = F.map_filter(cells, lambda k, _: F.array_contains(F.split("fields", ","), k))
+    return inbox.withColumn("row", F.to_json(own, {"ignoreNullFields": "false"})).drop(*columns)
+
+
+def inbox_history(decided: DataFrame) -> DataFrame:
+    """The decided rows that something came of; those that changed nothing are no history."""
+    return decided.where("outcome <> 'unchanged'")
+
+
 def candidates(held: DataFrame, golden: DataFrame, link_by: Sequence[str]) -> DataFrame:
     """Held rows with the records that they might be, by equal link columns as text."""
     g = golden.select("key", *[F.col(c).cast("string").alias(f"_{c}") for c in link_by])
