@@ -69,7 +69,7 @@ def epoch_ms(ts: Column) -> Column:
 
 
 #: Phrases of messages by language; a phrase that is not listed is shown as it is.
-PHRASES = {"tr": {"SLA missed": "SLA kaçırıldı", "Newly failing": "Yeni başarısız", "contracts": "sözleşme"}}
+PHRASES = {"tr": {"SLA missed": "SLA kaçırıldı", "Newly failing in": "Yeni başarısız:", "contracts": "sözleşme", "Contract quality": "Sözleşme kalitesi"}}
 
 
 def phrase(text: str, language: str = "en") -> str:

@@ -46,6 +46,19 @@ def downstream(edges: DataFrame) -> DataFrame:
         found = found.unionByName(new)
 
 
+def placed(edges: DataFrame, tables: DataFrame) -> DataFrame:
+    """job, direction (in, out), server and tables of the flows' edges (src, dst, job): tables of one server stand together, those on no server under null. tables has table_name and server."""
+    ends = edges.select("job", F.lit("in").alias("direction"), F.col("src").alias("table_name")).union(edges.select("job", F.lit("out"), "dst"))
+    found = ends.distinct().join(tables.select("table_name", "server"), "table_name", "left")
+    return found.groupBy("job", "direction", "server").agg(F.array_sort(F.collect_set("table_name")).alias("tables"))
+
+
+def query_examples(spark: SparkSession, contracts: Iterable[Contract]) -> DataFrame:
+    """A contract's hand-written rules as examples of queries on its tables, and the dimensions they are about."""
+    rows = [(c.id, m.name, q.description, q.query, q.dimension) for c in contracts for m in c.models for q in m.quality]
+    return spark.createDataFrame(rows, "contract_id string, table_name string, title string, query string, dimension string")
+
+
 def foreign_keys(properties: DataFrame) -> DataFrame:
     """contract_id, table_name, column_name, to_table, to_column of every declared foreign key."""
     refs = properties.select("contract_id", "table_name", "column_name", F.explode("refs").alias("ref"))

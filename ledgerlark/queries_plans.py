@@ -473,3 +473,36 @@ def inbox_history(spark, d):
     more = [("1", 11, "billing", "UPDATE_AFTER", 5_000, json.dumps({"name": "Eva", "city": "Oslo", "tier": "gold"}), None), ("1", 12, "billing", "UPDATE_AFTER", 9_000, json.dumps({"name": "Eva", "city": "Kiel", "tier": "gold"}), None), ("1", 13, "billing", "UPDATE_AFTER", 9_500, json.dumps({"name": "Eva", "city": "Kiel", "tier": "gold"}), None)]
     inbox = _small_inbox(spark)
     return golden.inbox_history(golden.replay(inbox.unionByName(spark.createDataFrame(more, inbox.schema)), _ENTITY)).where("outcome <> 'echo' or seq < 11").select("seq", "outcome")
+
+
+# --- jobs, their settings and what a catalogue shows of them
+
+
+@query("SELECT * FROM (VALUES ('trigger', '10000 milliseconds'), ('maxOffsetsPerTrigger', '300'), ('slow', 'f: batch 7 took 90000 ms, more than 60000')) v(about, said)")
+def flow_settings(spark, d):
+    """A job's settings reach its stream: how often it runs, how many rows a batch may have, how long one may take."""
+    flow = _flow(job={"checkpointInterval": 10_000, "rowsPerSecond": 30, "checkpointTimeout": 60_000})
+    rows = [("trigger", streams.trigger(flow)["processingTime"]), *streams.reader_options(flow).items(), *(("slow", s) for s in streams.slow_batches(flow, {6: 5_000, 7: 90_000}))]
+    return spark.createDataFrame(rows, "about string, said string")
+
+
+@query("""SELECT job, direction, CASE WHEN n = 'nation' THEN NULL WHEN left(n, 1) IN ('c', 'o') THEN 'erp' ELSE 'lake' END AS server, string_agg(n, ',' ORDER BY n) AS tables
+FROM (SELECT DISTINCT job, direction, n FROM (VALUES ('j1', 'in', 'orders'), ('j1', 'in', 'customer'), ('j1', 'out', 'lineitem'), ('j2', 'in', 'nation'), ('j2', 'in', 'part'), ('j2', 'out', 'lineitem')) v(job, direction, n)) GROUP BY 1, 2, 3""")
+def lineage_by_server(spark, d):
+    """Tables of a flow's job by server; a table that is on none is named all the same."""
+    edges = spark.createDataFrame([("orders", "lineitem", "j1"), ("customer", "lineitem", "j1"), ("nation", "lineitem", "j2"), ("part", "lineitem", "j2")], "src string, dst string, job string")
+    tables = spark.createDataFrame([("orders", "erp"), ("customer", "erp"), ("lineitem", "lake"), ("part", "lake")], "table_name string, server string")
+    return catalog.placed(edges, tables).select("job", "direction", "server", F.array_join("tables", ",").alias("tables"))
+
+
+@query("SELECT 'sales.orders' AS contract_id, 'orders' AS table_name, 'finished orders cost something' AS title, 'select count(*) from orders where o_orderstatus = ''F'' and o_totalprice < 5000' AS query, 'consistency' AS dimension")
+def rule_examples(spark, d):
+    return catalog.query_examples(spark, [ORDERS, CUSTOMERS])
+
+
+@query("SELECT * FROM (VALUES ('en', 'Contract quality 1998-03-02, 2 contracts', '- SLA missed: sales.orders, score 0.5000 is under 0.90'), ('tr', 'Sözleşme kalitesi 1998-03-02, 2 sözleşme', '- SLA kaçırıldı: sales.orders, score 0.5000 is under 0.90')) v(language, head, line)")
+def alert_languages(spark, d):
+    breached = spark.createDataFrame([("sales.orders", 0.5, 0.9, 0)], "contract_id string, score double, sla_min double, checks_errored long")
+    new = spark.createDataFrame([], "contract_id string, name string")
+    rows = [(x, *scoring.message(DAY, 2, breached, new, language=x).split("\n")) for x in ("en", "tr")]
+    return spark.createDataFrame(rows, "language string, head string, line string")

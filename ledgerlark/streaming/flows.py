@@ -19,6 +19,18 @@ def trigger(flow: Flow) -> dict[str, str]:
     return {"processingTime": f"{ms} milliseconds"}
 
 
+def reader_options(flow: Flow) -> dict[str, str]:
+    """What a source may hand a batch, by the flow's rowsPerSecond and how often it runs: rows for logs, which count them."""
+    rows, ms = flow.job.get("rowsPerSecond"), int(trigger(flow)["processingTime"].split()[0])
+    return {"maxOffsetsPerTrigger": str(max(1, rows * ms // 1000))} if rows else {}
+
+
+def slow_batches(flow: Flow, durations: Mapping[int, int]) -> list[str]:
+    """A sentence for each batch (number to milliseconds, from a query's progress) that took longer than the flow's checkpointTimeout."""
+    most = flow.job.get("checkpointTimeout")
+    return [f"{flow.id}: batch {n} took {ms} ms, more than {most}" for n, ms in durations.items() if most and ms > most]
+
+
 def into_inbox(changes: DataFrame, flow: Flow, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append a stream of changes to the inbox of the flow's target."""
     writer = inbox_rows(changes, flow).withColumn("landed_at", F.current_timestamp()).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
