@@ -64,6 +64,28 @@ def check_category(check_type: Column, dimension: Column) -> Column:
     return F.when(check_type.isin(*SCHEMA_CHECKS), "SCHEMA_CHANGE").otherwise(out)
 
 
+def _members(json: Column) -> Column:
+    return F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def json_merged(left: Column, right: Column) -> Column:
+    """A flat JSON object with another one's members put in; of a name that both have the right one's value stays. Values are text."""
+    a, b = _members(left), _members(right)
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b), {"ignoreNullFields": "false"})
+
+
+def json_without(json: Column, *names: str) -> Column:
+    """A flat JSON object without some members. Values are text."""
+    return F.to_json(F.map_filter(_members(json), lambda k, _: ~k.isin(*names)), {"ignoreNullFields": "false"})
+
+
+def json_object_of(name: Column, value: Column) -> Column:
+    """An aggregate: a group's names and values as one JSON object, in order of the names; of equal names the greatest value stays."""
+    pairs = F.array_sort(F.collect_set(F.struct(name.cast("string").alias("k"), value.cast("string").alias("v"))))
+    last = F.filter(pairs, lambda p, i: F.coalesce(F.get(pairs, i + 1)["k"] != p["k"], F.lit(True)))
+    return F.to_json(F.map_from_entries(last), {"ignoreNullFields": "false"})
+
+
 def epoch_ms(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 

@@ -69,17 +69,18 @@ def resume(watermark: int | None, first_kept: int | None, last: int | None) -> s
 
 
 def generated(df: DataFrame, existing: DataFrame, column: str, key: str, at: str | None = None) -> DataFrame:
-    """df with a number of its own for each new row, after the largest there is, in order of a numeric key.
+    """df with a number of its own for each new row, after the largest there is, in order of a numeric key; rows of one key are in order of a digest of all their columns.
 
     Ranges of the key are numbered on their own and moved by the rows before them, so no
     task orders all rows, and numbers are the same on every retry.
     """
+    columns = df.columns
     top = existing.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
     cuts = df.agg(F.percentile_approx(key, [i / 200 for i in range(1, 200)], 10_000)).first()[0] or []
     df = df.withColumn("_part", F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(key))), F.lit(0)) if cuts else F.lit(0))
     sizes = df.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 200 rows
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(key, F.xxhash64(*columns)))
     out = df.withColumn("_nth", nth).join(sizes.select("_part", before.alias("_before")), "_part")
     out = out.withColumn(column, (F.lit(top) + F.col("_before") + F.col("_nth")).cast("long")).drop("_part", "_nth", "_before")
     return out.withColumn(at, F.current_timestamp()) if at else out

@@ -506,3 +506,43 @@ def alert_languages(spark, d):
     new = spark.createDataFrame([], "contract_id string, name string")
     rows = [(x, *scoring.message(DAY, 2, breached, new, language=x).split("\n")) for x in ("en", "tr")]
     return spark.createDataFrame(rows, "language string, head string, line string")
+
+
+# --- JSON objects, positions, pairs of counts
+
+
+@query("""SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '","t":"' || event_type || '"}' AS merged, '{"k":"0"}' AS replaced, '{"t":"' || event_type || '"}' AS without FROM events""")
+def json_merge_and_remove(spark, d):
+    e = _t(spark, d, "events").withColumn("t", F.to_json(F.struct(F.col("event_type").alias("t"))))
+    both = expressions.json_merged(F.col("props"), F.col("t"))
+    return e.select("event_id", both.alias("merged"), expressions.json_merged(F.col("props"), F.lit('{"k": "0"}')).alias("replaced"), expressions.json_without(both, "k").alias("without"))
+
+
+@query("""SELECT n_regionkey, '{' || string_agg('"' || n_name || '":"' || n_nationkey || '"', ',' ORDER BY n_name) || '}' AS nations FROM (SELECT DISTINCT n_regionkey, n_name, max(n_nationkey) OVER (PARTITION BY n_regionkey, n_name) AS n_nationkey FROM nation) GROUP BY 1""")
+def json_objects_grouped(spark, d):
+    return _t(spark, d, "nation").groupBy("n_regionkey").agg(expressions.json_object_of(F.col("n_name"), F.col("n_nationkey")).alias("nations"))
+
+
+@query("SELECT (SELECT max(event_id) FROM events) AS position, count(*) AS n FROM orders WHERE o_totalprice > 1000")
+def snapshot_position(spark, d):
+    """A snapshot is taken after the log's position is read."""
+    position, rows = relations.snapshot_at(_t(spark, d, "orders"), _t(spark, d, "events").select(F.col("event_id").alias("lsn")), ["o_orderkey"], "o_totalprice > 1000")
+    return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("position", F.lit(position))
+
+
+@query("SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS target_rows, (SELECT count(*) FROM orders WHERE o_orderstatus IS DISTINCT FROM 'O') AS missing UNION ALL SELECT 'part', (SELECT count(*) FROM part), NULL, (SELECT count(*) FROM part)")
+def paired_counts(spark, d):
+    orders = _t(spark, d, "orders")
+    return relations.paired_counts(relations.row_counts({"orders": orders, "part": _t(spark, d, "part")}), relations.row_counts({"orders": orders.where("o_orderstatus = 'O'")}))
+
+
+@query("SELECT * FROM (VALUES ('id', 1, true), ('name', 2, false), ('city', 3, false)) v(column_name, column_id, captured)")
+def captured_columns(spark, d):
+    schema = "column_name string, column_id int"
+    return relations.captured(spark.createDataFrame([("id", 1), ("name", 2), ("city", 3)], schema), spark.createDataFrame([("id", 1), ("name", 7)], schema))
+
+
+@query("""WITH p AS (SELECT user_id, event_id, event_type, last_value(CASE WHEN event_id % 3 <> 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM events) SELECT user_id, event_id, event_type FROM p WHERE was IS DISTINCT FROM event_type""")
+def polls_of_placed_rows(spark, d):
+    """A held listing is not the next one's before image."""
+    return golden.poll_changes(_t(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", ["event_type"], F.col("event_id") % 3 != 0)

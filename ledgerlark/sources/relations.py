@@ -97,6 +97,18 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def paired_counts(source: DataFrame, target: DataFrame) -> DataFrame:
+    """table_name, source_rows, target_rows and missing (rows that the target lacks, negative for too many) of two row_counts()."""
+    both = source.withColumnRenamed("total_rows", "source_rows").join(target.withColumnRenamed("total_rows", "target_rows"), "table_name", "full_outer")
+    return both.withColumn("missing", F.coalesce("source_rows", F.lit(0)) - F.coalesce("target_rows", F.lit(0)))
+
+
+def captured(declared: DataFrame, log_columns: DataFrame) -> DataFrame:
+    """column_name, column_id and captured: whether the log carries a declared column under its name and its number; one that was dropped and made anew has another number."""
+    have = log_columns.select("column_name", "column_id").distinct().withColumn("_there", F.lit(True))
+    return declared.join(have, ["column_name", "column_id"], "left").select("column_name", "column_id", F.coalesce("_there", F.lit(False)).alias("captured"))
+
+
 def column_sample(df: DataFrame, column: str, key: str, n: int = 200) -> DataFrame:
     """The column's first n values that are not null, as text, in order of a key."""
     return df.where(F.col(column).isNotNull()).orderBy(key).limit(n).select(F.col(column).cast("string").alias("value"))
@@ -130,6 +142,12 @@ def snapshot(df: DataFrame, columns: list[str], where: str | None = None) -> Dat
     return (df.where(where) if where else df).select(F.lit(2).alias("op"), *columns)
 
 
+def snapshot_at(df: DataFrame, log: DataFrame, columns: list[str], where: str | None = None, lsn: str = "lsn") -> tuple[int | None, DataFrame]:
+    """The log's last position, read before the snapshot, and the snapshot: changes from the position on may be in it, and applying them again changes nothing."""
+    position = log.agg(F.max(lsn)).first()[0]
+    return position, snapshot(df, columns, where)
+
+
 def changes(log: DataFrame, since: int, to: int, lsn: str = "lsn", seq: str = "seq") -> DataFrame:
     """The log's changes after `since` up to `to`, in order; before images are kept."""
     return log.where((F.col(lsn) > since) & (F.col(lsn) <= to)).orderBy(lsn, seq)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Milliseconds after which a delivery that did not come back is no longer awaited.
@@ -248,11 +248,15 @@ def last_writer(edits: DataFrame, key: str, name: str, value: str, ms: str, syst
     return edits.groupBy(key, name).agg(F.max_by(F.struct(value, ms, system), F.struct(ms, system)).alias("w")).select(key, name, "w.*")
 
 
-def poll_changes(polls: DataFrame, key: str, at: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of repeated listings that differ from the member's listing before; the first one always does."""
+def poll_changes(polls: DataFrame, key: str, at: str, columns: Sequence[str], placed: Column | None = None) -> DataFrame:
+    """Rows of repeated listings that differ from the member's listing before; the first one always does.
+
+    A listing whose row was held is not stored: only one that was placed is the next one's before image.
+    """
     order = Window.partitionBy(key).orderBy(at)
     row = F.struct(*columns)
-    return polls.withColumn("_was", F.lag(row).over(order)).where(F.col("_was").isNull() | ~F.col("_was").eqNullSafe(row)).drop("_was")
+    stored = F.last(F.when(placed, row), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)) if placed is not None else F.lag(row).over(order)
+    return polls.withColumn("_was", stored).where(F.col("_was").isNull() | ~F.col("_was").eqNullSafe(row)).drop("_was")
 
 
 @dataclass(frozen=True)
