@@ -55,7 +55,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words = list(held)
-            columns = {"word": pa.array(_hashes(words))} | {n: pa.array([c[w] for w in words], pa.int64()) for n, c in (("n", held), ("starts", starts), ("ends", ends))}
+            columns = {"word": pa.array(_hashes(words))} | {n: pa.array([held[w] - c[w] for w in words], pa.int64()) for n, c in (("first", ends), ("last", starts))}
             held.clear(), starts.clear(), ends.clear()
             return pa.RecordBatch.from_pydict(columns)
 
@@ -70,8 +70,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    counts = docs.select("text").mapInArrow(read, "word long, n long, starts long, ends long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
-    return counts.select("word", (F.col("n") - F.col("ends")).alias("first"), (F.col("n") - F.col("starts")).alias("last"))
+    return docs.select("text").mapInArrow(read, "word long, first long, last long").groupBy("word").agg(F.sum("first").alias("first"), F.sum("last").alias("last"))
 
 
 #: Kinds of packed entries: bigrams, those of two frequent words, and documents.
@@ -175,12 +174,12 @@ def score(docs: DataFrame, buckets: int | None = None, hot_share: int = HOT, bac
     counts = counts.withColumn("n", F.sum("n").over(Window.partitionBy("first", "last")))
     words = words.select(F.col("word"), F.col("first").alias("begins"), F.col("last").alias("ends"))
     counts = counts.join(words.select(F.col("word").alias("first"), "begins"), "first")
-    counts = counts.select(F.col("bucket").alias("b1"), F.hash("first", "last").alias("h1"), F.col("first").alias("first1"), F.col("last").alias("last1"), "n", "begins")
-    counts = counts.repartitionById(n, "b1").hint("shuffle_hash")
+    counts = counts.select(F.col("bucket").alias("b1"), F.col("first").alias("first1"), F.col("last").alias("last1"), "n", "begins")
+    counts = counts.repartitionById(n, "b1").withColumn("h1", F.hash("first1", "last1")).hint("shuffle_hash")
 
     rare = words.where("ends > 1").join(F.broadcast(hot.select("word")), "word", "left_anti")
-    ends = rare.select(F.pmod("word", F.lit(n)).cast("int").alias("b2"), F.hash("word").alias("h2"), F.col("word").alias("last2"), F.col("ends").alias("cold"))
-    ends = ends.repartitionById(n, "b2").hint("shuffle_hash")
+    ends = rare.select(F.pmod("word", F.lit(n)).cast("int").alias("b2"), F.col("word").alias("last2"), F.col("ends").alias("cold"))
+    ends = ends.repartitionById(n, "b2").withColumn("h2", F.hash("last2")).hint("shuffle_hash")
     often = F.broadcast(hot.select(F.col("word").alias("last"), F.col("last").alias("often")))
 
     left = hashed(dealt.select("bucket", "base", F.inline(F.arrays_zip(*lists)))).withColumn("g", F.hash("first", "last")).withColumn("e", F.hash("last"))
