@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, exact_dedup, licenses, lm, mixing, pii, quality, sharding, simhash
+from . import chat, decontam, divergence, exact_dedup, licenses, lm, mixing, pii, quality, sharding, simhash, warc, whitening
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,13 +52,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
-#: What the operators offer beside the eleven queries' columns is tested in tests/llm.
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op12(table(spark, sf_dir, "pages"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.op13(table(spark, sf_dir, "documents"))
+
+
+#: What the operators offer beside the queries' columns is tested in tests/llm.
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_mixing, op2_quality, op3_licenses, op4_sharding, op5_exact_dedup, op6_lm_scoring, op7_simhash, op8_decontamination, op9_chat, op10_pii)
+    for f in (op1_mixing, op2_quality, op3_licenses, op4_sharding, op5_exact_dedup, op6_lm_scoring, op7_simhash, op8_decontamination, op9_chat, op10_pii, op11_whitening, op12_warc, op13_divergence)
 }
 
 SQL: dict[str, str] = {
     "op1_mixing": mixing.SQL, "op3_licenses": licenses.SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_lm_scoring": lm.SQL,
-    "op8_decontamination": decontam.SQL, "op9_chat": chat.SQL,
+    "op8_decontamination": decontam.SQL, "op9_chat": chat.SQL, "op12_warc": warc.SQL, "op13_divergence": divergence.SQL,
 }
