@@ -3,8 +3,9 @@
 The text view sees what is written (kinds of characters, repetition, lengths of words and
 lines), the metadata view what the table says of it (source, language, length). Each is a
 logistic regression. In every round each view scores all unlabelled documents and hands
-those it is surest of to the other as pseudo-labels; in the end both are calibrated on
-labelled documents that neither has seen, and combined.
+those it is surest of to the other as pseudo-labels, if it tells labelled documents that it
+has not seen better than chance; in the end both are calibrated by scores of labelled
+documents from views fitted without them, fold by fold, and combined.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ MOST_LABELLED = 20_000
 #: Rounds of co-training; pseudo-labels that a view hands over in a round for each class, drawn from all that it is sure of; how sure it must be.
 ROUNDS, HANDED, SURE = 2, 500, 0.95
 KEEP = 0.5
+#: Parts of the labelled sample, each scored by views that the others teach; and how many standard errors a view must be above chance to teach the other one.
+FOLDS, ABOVE_CHANCE = 5, 3.0
 
 _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
 TEXT_WIDTH = len(_PUNCTUATION) + 14
@@ -151,21 +154,50 @@ def _drawn(rows: DataFrame, n: int, of: int) -> DataFrame:
     return rows.withColumn("_u", u).where(F.col("_u") <= 1.5 * n / max(of, 1)).orderBy("_u", "_row").limit(n).drop("_u")
 
 
-def _calibrating(y: np.ndarray) -> np.ndarray:
-    """Every fifth document of each class, or its last one where a class has fewer."""
-    last = np.zeros(len(y), bool)
+def _folds(y: np.ndarray) -> np.ndarray:
+    """The fold of each document; every class is dealt out over all of them."""
+    fold = np.zeros(len(y), int)
     for v in (0, 1):
         at = np.flatnonzero(y == v)
-        last[at[min(4, max(len(at) - 1, 0)) :: 5]] = True
-    return last
+        fold[at] = np.arange(len(at)) % FOLDS
+    return fold
+
+
+def _unseen(x: np.ndarray, y: np.ndarray, fold: np.ndarray, more: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Logits of the labelled documents x, each from a view fitted on the other folds and the pseudo-labelled `more`."""
+    out = np.zeros(len(y))
+    for k in range(FOLDS):
+        here = fold == k
+        if here.any():
+            out[here] = fit(np.vstack([x[~here], more]), np.concatenate([y[~here], told])).logits(x[here])
+    return out
+
+
+def _teaches(logits: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the scores rank good documents above bad ones by more than chance does (rank sums)."""
+    good, bad = int(y.sum()), int((1 - y).sum())
+    ranks = pd.Series(logits).rank().to_numpy()
+    area = (ranks[y == 1].sum() - good * (good + 1) / 2) / (good * bad)
+    return area - 0.5 > ABOVE_CHANCE * np.sqrt((good + bad + 1) / (12 * good * bad))
+
+
+def _combined(logits: np.ndarray, y: np.ndarray) -> View:
+    """The combining regression, in which no view counts against what it says: one of negative weight is left out."""
+    used = np.ones(logits.shape[1])
+    while True:
+        view = fit(logits * used, y, 0.1)
+        against = (view.weights[:-1] < 0) & (used > 0)
+        if not against.any():
+            return view
+        used[against] = 0
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, handed: int = HANDED) -> tuple[Classifier | None, DataFrame]:
     """The classifier (None where a class has fewer than two labelled documents) and the stored features of all documents of docs (which has a _row).
 
-    Labels of a doc_id are averaged; halves count as 1. Every fifth labelled document of
-    each class of the sample only calibrates. A view hands over `handed` pseudo-labels a
-    class and round at most, drawn from all documents that it is sure of.
+    Labels of a doc_id are averaged; halves count as 1. A view hands over `handed`
+    pseudo-labels a class and round at most, drawn from all documents that it is sure of,
+    and none while it is no better than chance on documents that it has not seen.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     data = stored(features(docs).join(marks, "doc_id", "left"))
@@ -173,27 +205,30 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, handed: int
     known = data.where("y is not null")
     held = _plain(_drawn(known, MOST_LABELLED, known.count()).select(*wanted).collect())
     y = held["y"].to_numpy(float)
-    last = _calibrating(y)
-    if any(len(set(y[s])) < 2 for s in (last, ~last)):
+    if min(int((y == v).sum()) for v in (0, 1)) < 2:
         return None, data
-    x, m = _stack(held)
-    taught = [held[~last], held[~last]]  # what the text view and the metadata view learn from
-    view = [fit(x[~last], y[~last]), fit(m[~last], y[~last])]
-    for _ in range(rounds):
+    fold, seen = _folds(y), _stack(held)
+    taught = [held.iloc[:0], held.iloc[:0]]  # pseudo-labels that the text view and the metadata view have been told
+    unseen: list[np.ndarray] = []
+    view: list[View] = []
+    for n in range(rounds + 1):
+        more = [(_stack(t)[i], t["y"].to_numpy(float)) for i, t in enumerate(taught)]
+        view = [fit(np.vstack([x, told]), np.concatenate([y, v])) for x, (told, v) in zip(seen, more, strict=True)]
+        unseen = [_unseen(x, y, fold, *m) for x, m in zip(seen, more, strict=True)]
+        teachers = [of for of, logits in zip(("text", "meta"), unseen, strict=True) if _teaches(logits, y)]
+        if n == rounds or not teachers:
+            break
         open_ = _scored(data.where("y is null"), *view)
-        sides = [(of, at, v) for of in ("text", "meta") for at, v in ((F.col(f"p.{of}") >= SURE, 1.0), (F.col(f"p.{of}") <= 1 - SURE, 0.0))]
+        sides = [(of, at, v) for of in teachers for at, v in ((F.col(f"p.{of}") >= SURE, 1.0), (F.col(f"p.{of}") <= 1 - SURE, 0.0))]
         counts = open_.agg(*[F.count_if(at) for _, at, _ in sides]).first()
         sure = [_drawn(open_.where(at), handed, n).withColumn("y", F.lit(v)).select(F.lit(of).alias("of"), *wanted) for (of, at, v), n in zip(sides, counts, strict=True) if n]
         told = reduce(DataFrame.union, sure).collect() if sure else []  # at most 4 * handed rows
         new = [_plain([r for r in told if r["of"] == of]) for of in ("meta", "text")]
         grown = [pd.concat([old, got]).drop_duplicates("_row") if len(got) else old for old, got in zip(taught, new, strict=True)]
-        done = all(len(a) == len(b) for a, b in zip(taught, grown, strict=True))
-        taught = grown
-        view = [fit(_stack(t)[i], t["y"].to_numpy(float)) for i, t in enumerate(taught)]
-        if done:
+        if all(len(a) == len(b) for a, b in zip(taught, grown, strict=True)):
             break
-    logits = np.column_stack([view[0].logits(x[last]), view[1].logits(m[last])])
-    return Classifier(*view, fit(logits, y[last], 0.1)), data
+        taught = grown
+    return Classifier(*view, _combined(np.column_stack(unseen), y)), data
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

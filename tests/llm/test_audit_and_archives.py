@@ -183,3 +183,25 @@ def test_shares_beyond_longs():
     n = np.array([[10**12, 5]], np.int64)
     assert of.p(n, np.zeros_like(n)).tolist() == [[1 + 10**9 * (10**12 + 1) // 10**13, 1 + 10**9 * 6 // 10**13]]
     assert F.expr(divergence._p("n", "total")) is not None
+
+
+# --- the classifier's calibration
+
+
+def test_a_view_of_no_use_neither_teaches_nor_counts_against():
+    from ledgerlark.llm import quality
+
+    rng = np.random.default_rng(2)
+    y = (rng.random(600) < 0.7).astype(float)
+    good, noise = 4 * (y - 0.5) + rng.normal(size=600), rng.normal(size=600)
+    assert quality._teaches(good, y) and not quality._teaches(noise, y) and not quality._teaches(np.zeros(600), y) and not quality._teaches(-good, y)
+    fold = quality._folds(y)
+    assert all(abs((y[fold == k] == v).sum() - (y == v).sum() / quality.FOLDS) <= 1 for k in range(quality.FOLDS) for v in (0, 1))
+    x = np.column_stack([good, noise])
+    by_fold = quality._unseen(x, y, fold, np.zeros((0, 2)), np.zeros(0))
+    for k in range(quality.FOLDS):
+        assert np.allclose(by_fold[fold == k], quality.fit(x[fold != k], y[fold != k]).logits(x[fold == k]))
+    against = quality._combined(np.column_stack([good, -good + noise]), y)
+    assert against.weights[0] > 0 and against.weights[1] == 0
+    both = quality._combined(np.column_stack([good, good + noise]), y)
+    assert (both.weights[:2] > 0).all()
