@@ -34,28 +34,48 @@ def split_matches(rows: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, Da
     return rows.where(present), rows.where(~present)
 
 
-def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], fields: Sequence[str], constants: Mapping[str, Any] | None = None, link_by: Sequence[str] = (), insert_always: bool = False) -> DataFrame:
+def _links(source: DataFrame, target: DataFrame, keys: Sequence[str], link_by: Sequence[str], constants: Mapping[str, Any]) -> tuple[Column, DataFrame]:
+    """Whether a source row looks for its row by link, and of each link value of the target (_l_ and its name) the keys (_t_) and _hits, the rows that have it."""
+    free = F.coalesce(F.col("_link"), F.lit(False))
+    for k in keys:
+        free = free & F.col(k).isNull()
+    for c in link_by:
+        free = free & F.col(c).isNotNull()
+    rows = target.where(reduce(and_, [F.col(c) == F.lit(v) for c, v in constants.items()], F.lit(True)))
+    found = rows.groupBy(*[F.col(c).alias(f"_l_{c}") for c in link_by]).agg(F.count(F.lit(1)).alias("_hits"), *[F.min(k).alias(f"_t_{k}") for k in keys])
+    return free, found
+
+
+def refused_links(target: DataFrame, source: DataFrame, keys: Sequence[str], link_by: Sequence[str], constants: Mapping[str, Any] | None = None) -> DataFrame:
+    """The source rows that look for their row by link and meet several: merge() leaves them out, a person decides."""
+    free, found = _links(source, target, keys, link_by, constants or {})
+    return source.where(free).join(found.where("_hits > 1"), [F.col(c) == F.col(f"_l_{c}") for c in link_by], "left_semi")
+
+
+def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], fields: Sequence[str], constants: Mapping[str, Any] | None = None, link_by: Sequence[str] = (), insert_always: bool = False, order: str | None = None) -> DataFrame:
     """target after source's rows, with an `_action` column: insert, update or null where nothing changed.
 
     source has keys, fields and `_changed`. Of a row that is there only the fields that
     the revision names are written. A new one is inserted when the revision names all
     (`*`) or a key; always for insert_always. A source row without keys that may be linked
-    (`_link`) takes the keys of the target row with the same link_by values; rows that
-    have keys are matched by them alone, so no join has an OR.
+    (`_link`) takes the keys of the one target row with the same link_by values, if there is
+    one; rows that have keys are matched by them alone, so no join has an OR. Where rows then
+    have the same keys, one is written: one that had them before one by link, of these the
+    last by `order`. Rows whose link several target rows share are left out (refused_links).
     """
     constants = dict(constants or {})
     src = source.withColumns({k: F.lit(v) for k, v in constants.items()})
     on = [*keys, *constants]
-    src = src.select(*[F.col(c).alias(f"s_{c}") for c in [*on, *fields]], F.col("_changed").alias("s__changed"), *([F.col("_link").alias("s__link")] if link_by else []))
     if link_by:
-        free = F.coalesce(F.col("s__link"), F.lit(False))
-        for k in keys:
-            free = free & F.col(f"s_{k}").isNull()
-        rows = [F.col(f"t_{c}") == F.lit(v) for c, v in constants.items()]
-        found = target.select(*[F.col(c).alias(f"t_{c}") for c in {*on, *link_by}])
-        hits = src.where(free).join(found, [F.col(f"s_{c}") == F.col(f"t_{c}") for c in link_by] + rows, "left")
-        linked = hits.select(*[F.coalesce(f"t_{k}", f"s_{k}").alias(f"s_{k}") if k in keys else F.col(f"s_{k}") for k in [*on, *fields]], "s__changed", "s__link")
-        src = src.where(~free).unionByName(linked.select(*src.columns))
+        free, found = _links(src, target, keys, link_by, constants)
+        src = src.withColumn("_free", free).join(found, [F.col(c) == F.col(f"_l_{c}") for c in link_by], "left").where("not _free or _hits is null or _hits = 1")
+        src = src.withColumns({k: F.when(F.col("_free"), F.col(f"_t_{k}")).otherwise(F.col(k)) for k in keys})
+        whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+        columns = list(dict.fromkeys([*on, *fields, "_changed"]))
+        first = F.max_by(F.struct(*[c for c in columns if c not in on]), F.struct(~F.col("_free"), *([order] if order else []), *[F.col(f).cast("string") for f in fields]))
+        met = src.where(whole).groupBy(*on).agg(first.alias("_r")).select(*on, "_r.*")
+        src = met.select(*columns).unionByName(src.where(~whole).select(*columns))
+    src = src.select(*[F.col(c).alias(f"s_{c}") for c in dict.fromkeys([*on, *fields])], F.col("_changed").alias("s__changed"))
     names_key = F.col("s__changed") == "*"
     for k in keys:
         names_key = names_key | touched(k, "s__changed")

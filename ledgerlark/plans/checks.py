@@ -15,7 +15,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import rules
@@ -34,7 +34,9 @@ RESULT = (
 class Check:
     """key, the table it is about, and one of: failing, a predicate of broken rows; columns, a key without duplicates (present: or gaps); counted, a query for (failed); query, SQL for one number.
 
-    parents are the other tables that it reads, whole.
+    parents are the tables that it reads beside its own, whole; one may be its own. distinct
+    (columns whose duplicate keys are counted) and references (column, parent, its column) say
+    what a counted check counts, for all days at once.
     """
 
     key: str
@@ -47,10 +49,12 @@ class Check:
     failing: Column | None = None
     columns: tuple[str, ...] = ()
     present: bool = False
-    counted: Callable[[Tables], DataFrame] | None = None
+    counted: Callable[[Tables, Tables], DataFrame] | None = None
     query: str | None = None
     must_be: float = 0
     parents: tuple[str, ...] = ()
+    distinct: tuple[str, ...] = ()
+    references: tuple[str, str, str] | None = None
 
 
 def rule(kind: str, table: str, column: str, params: Mapping[str, Any] | None = None, scope: str | None = None, key: str | None = None, dimension: str | None = None) -> Check:
@@ -59,10 +63,10 @@ def rule(kind: str, table: str, column: str, params: Mapping[str, Any] | None =
     base = {"key": key or f"{table}.{column}.{kind}", "table": table, "type": kind, "dimension": dimension or rules.dimension(kind), "name": rules.describe(kind, column, params), "field": column}
     if kind == "unique":
         columns = [column, *params.get("with", ())]
-        return Check(**base, scope=scope or "table", counted=lambda t: rules.duplicates(t[table], columns).select(F.col("keys").alias("failed")))
+        return Check(**base, scope=scope or "table", counted=lambda t, _: rules.duplicates(t[table], columns).select(F.col("keys").alias("failed")), distinct=tuple(columns))
     if kind == "foreign_key":
-        count = lambda t: rules.foreign_key(t[table], column, t[params["table"]], params["column"]).agg(F.count(F.lit(1)).alias("failed"))
-        return Check(**base, scope=scope or "window", counted=count, parents=(params["table"],))
+        count = lambda t, parents: rules.foreign_key(t[table], column, parents[params["table"]], params["column"]).agg(F.count(F.lit(1)).alias("failed"))
+        return Check(**base, scope=scope or "window", counted=count, parents=(params["table"],), references=(column, params["table"], params["column"]))
     return Check(**base, scope=scope or "window", failing=rules.predicate(kind, column, params))
 
 
@@ -152,8 +156,8 @@ def _number(check: Check, tables: Tables) -> DataFrame:
     return found.limit(1).select(failed.alias("failed"))
 
 
-def _part(checks: Sequence[Check], tables: Tables) -> DataFrame:
-    """key, failed, total (null for a query of its own) of checks that one query measures."""
+def _part(checks: Sequence[Check], tables: Tables, parents: Tables | None = None) -> DataFrame:
+    """key, failed, total (null for a query of its own) of checks that one query measures; a check against parents gets them apart, as one may be its own table."""
     first = checks[0]
     if first.table not in tables:
         raise KeyError(f"no relation {first.table}")
@@ -162,7 +166,7 @@ def _part(checks: Sequence[Check], tables: Tables) -> DataFrame:
     elif first.columns:
         out = _keyed(tables[first.table], checks)
     else:
-        found = _number(first, tables) if first.query else first.counted(tables)
+        found = _number(first, tables) if first.query else first.counted(tables, parents or {})
         out = found.select(F.lit(first.key).alias("key"), "failed", F.lit(None).alias("total"))
     return out.select("key", F.col("failed").cast("long"), F.col("total").cast("long"))
 
@@ -192,7 +196,7 @@ def measure(checks: Iterable[Check], window: Tables, whole: Tables | None = None
             parents = {p for c in group for p in c.parents}
             if parents - set(whole):
                 raise KeyError(f"no relation {', '.join(sorted(parents - set(whole)))}")
-            return _part(group, {**tables[group[0].scope], **{p: whole[p] for p in parents}})
+            return _part(group, tables[group[0].scope], {p: whole[p] for p in parents})
         except (PySparkException, KeyError) as e:
             if len(group) == 1:
                 rows[group[0].key] = (None, None, _reason(e))
@@ -272,18 +276,78 @@ def run(contract: Contract, read: Callable[[str], DataFrame], as_of: dt.date | s
     return results(contract.id, checks, measure(checks, window, whole), as_of, mode)
 
 
-def by_day(contract_id: str, df: DataFrame, arrival: str, checks: Sequence[Check], mode: str = "incremental") -> DataFrame:
-    """check_results of every day of df in one scan, for checks that a predicate expresses.
+def _key_days(df: DataFrame, checks: Sequence[Check], so_far: bool) -> DataFrame:
+    """key, _day and delta: what a day's rows add to each check on one key; so_far: beside the rows of all days before.
 
-    cumulative: a day's rows and all before; counts of days are summed, not rows.
+    Rows are first counted by key and day, so a key has at most a row a day to be ordered.
     """
-    from pyspark.sql import Window
-
-    found = _fused(df.withColumn("_day", F.col(arrival).cast("date")).where("_day is not null"), checks, ["_day"])
-    if mode == "cumulative":
-        so_far = Window.partitionBy("key").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
-        found = found.withColumn("failed", F.sum("failed").over(so_far)).withColumn("total", F.sum("total").over(so_far))
-    found = found.withColumn("error", F.lit(None).cast("string"))
+    columns = list(checks[0].columns or checks[0].distinct)
+    groups = df.groupBy(*columns, "_day").agg(F.count(F.lit(1)).alias("n"))
+    if so_far:
+        before = Window.partitionBy(*columns).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+        groups = groups.withColumn("was", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    else:
+        groups = groups.withColumn("was", F.lit(0))
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+    now = F.col("was") + F.col("n")
+    shared = lambda n: F.when(n > 1, n).otherwise(0)
+    cells = []
+    for c in checks:
+        if c.distinct:
+            delta = (now > 1).cast("long") - (F.col("was") > 1).cast("long")
+        else:
+            delta = F.when(missing, F.col("n") if c.present else F.lit(0)).otherwise(shared(now) - shared(F.col("was")))
+        cells.append(F.struct(F.lit(c.key).alias("key"), delta.cast("long").alias("delta")))
+    return groups.select("_day", F.inline(F.array(*cells))).where("delta <> 0")
+
+
+def _reference_days(df: DataFrame, check: Check, parent: DataFrame, parent_arrival: str | None, so_far: bool) -> DataFrame:
+    """key, _day and delta of a foreign key: children of a day before their parent's first one, which that one takes back; a parent without arrivals was always there."""
+    column, _, parent_column = check.references
+    children = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_child"), "_day").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.col(parent_arrival).cast("date")) if parent_arrival else F.lit("0001-01-01").cast("date")
+    parents = parent.where(F.col(parent_column).isNotNull()).groupBy(F.col(parent_column).alias("_parent")).agg(first.alias("_first"))
+    late = children.join(parents, F.col("_child") == F.col("_parent"), "left").where("_first is null or _first > _day")
+    back = F.when(F.col("_first").isNotNull(), F.struct(F.col("_first").alias("_day"), (-F.col("n")).alias("delta"))) if so_far else F.lit(None)
+    rows = F.array(F.struct("_day", F.col("n").alias("delta")), *([back] if so_far else []))
+    return late.select(F.lit(check.key).alias("key"), F.explode(rows).alias("e")).where("e is not null").select("key", "e._day", "e.delta")
+
+
+def by_day(contract_id: str, df: DataFrame, arrival: str, checks: Sequence[Check], mode: str = "incremental", parents: Tables | None = None, parent_arrival: Mapping[str, str] | None = None) -> DataFrame:
+    """check_results of every day of df in one job, for checks of predicates, keys and foreign keys.
+
+    Each day has what a run of that day would have found: keys of scope `table` among all
+    rows up to the day, children without a parent (parents: whole tables by name, with the
+    column of their arrival) that was there by then. cumulative: a day's rows and all before.
+    What rows add to a check is summed by day, so no day reads the rows of others again.
+    """
+    rows, so_far = df.withColumn("_day", F.col(arrival).cast("date")).where("_day is not null"), mode == "cumulative"
+    plain = [c for c in checks if c.failing is not None]
+    days = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(c.failing).alias(f"f{i}") for i, c in enumerate(plain)])
+    own = {id(c): F.col(f"f{i}") for i, c in enumerate(plain)}
+    cells = [F.struct(F.lit(c.key).alias("key"), F.lit(so_far or c.scope == "table").alias("sums"), own.get(id(c), F.lit(0)).cast("long").alias("delta")) for c in checks]
+    told = days.select("_day", "rows", F.inline(F.array(*cells)))
+    events, groups = [], {}
+    for c in checks:
+        if c.columns or c.distinct:
+            groups.setdefault((c.columns or c.distinct, so_far or c.scope == "table"), []).append(c)
+        elif c.references:
+            if c.references[1] not in (parents or {}):
+                raise KeyError(f"no relation {c.references[1]}")
+            events.append(_reference_days(rows, c, parents[c.references[1]], (parent_arrival or {}).get(c.references[1]), so_far or c.scope == "table"))
+        elif c.failing is None:
+            raise ValueError(f"{c.key}: not a check that days can be summed for")
+    events += [_key_days(rows, group, sums) for (_, sums), group in groups.items()]
+    if events:
+        more = reduce(DataFrame.unionByName, events).groupBy("key", "_day").agg(F.sum("delta").alias("delta"))
+        sums = F.array_contains(F.array(*[F.lit(c.key) for c in checks if so_far or c.scope == "table"]).cast("array<string>"), F.col("key"))
+        more = more.select("_day", F.lit(None).cast("long").alias("rows"), "key", sums.alias("sums"), "delta")
+        told = told.unionByName(more).groupBy("key", "_day", "sums").agg(F.max("rows").alias("rows"), F.sum("delta").alias("delta"))
+    found = told.withColumns({"failed": F.col("delta"), "total": F.col("rows")})
+    if any(so_far or c.scope == "table" for c in checks):
+        upto = Window.partitionBy("key").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+        found = told.withColumns({n: F.when(F.col("sums"), F.sum(c).over(upto)).otherwise(F.col(c)) for n, c in (("failed", "delta"), ("total", "rows"))})
+    found = found.where("rows is not null").select("_day", "key", "failed", "total", F.lit(None).cast("string").alias("error"))
     return results(contract_id, checks, found, F.col("_day"), mode)
 
 

@@ -106,6 +106,55 @@ def store_replaces_day(spark, d):
     return store.read("check_results").select(*_RESULT)
 
 
+# --- keys and foreign keys of all days at once
+
+_KEYS = """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey END AS cust, o_orderkey // 2 AS parent, CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders), days AS (SELECT DISTINCT m FROM o),
+c AS (SELECT c_custkey, DATE '1992-01-01' + CAST(c_custkey % 2400 AS INTEGER) AS since FROM customer WHERE c_custkey % 11 <> 0),
+u AS (SELECT d.m, cust, count(*) AS n FROM days d JOIN o ON o.m <= d.m GROUP BY 1, 2),
+k AS (SELECT m, 'cust.unique' AS id, count(*) FILTER (WHERE n > 1) AS failed, sum(n) AS total FROM u GROUP BY 1
+  UNION ALL SELECT m, 'orders.field_primary_key', sum(CASE WHEN cust IS NULL OR n > 1 THEN n ELSE 0 END), sum(n) FROM u GROUP BY 1),
+f AS (SELECT d.m, o.m AS day, o.cust IS NOT NULL AND c_custkey IS NULL AS lost, p.o_orderkey IS NULL AS gone FROM days d JOIN o ON o.m <= d.m LEFT JOIN c ON c_custkey = o.cust AND since <= d.m LEFT JOIN o p ON p.o_orderkey = o.parent AND p.m <= d.m)"""
+
+
+def _key_checks() -> list:
+    key = checks._no_duplicates("orders.field_primary_key", "orders", "field_primary_key", ("cust",), True)
+    return [checks.rule("unique", "orders", "cust", key="cust.unique"), key, checks.rule("foreign_key", "orders", "cust", {"table": "customer", "column": "c_custkey"}, key="cust.foreign_key"), checks.rule("foreign_key", "orders", "parent", {"table": "orders", "column": "o_orderkey"}, key="parent.foreign_key"), checks.rule("not_null", "orders", "cust", key="cust.not_null")]
+
+
+def _keys_by_day(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    k, m = F.col("o_orderkey"), F.date_trunc("month", "o_orderdate").alias("m")
+    orders = _t(spark, d, "orders").select("o_orderkey", F.when(k % 9 != 0, F.col("o_custkey")).alias("cust"), F.floor(k / 2).alias("parent"), m)
+    since = F.expr("date_add(DATE '1992-01-01', cast(c_custkey % 2400 AS int))")
+    parents = {"customer": _t(spark, d, "customer").where("c_custkey % 11 <> 0").select("c_custkey", since.alias("since")), "orders": orders}
+    rows = checks.by_day("sales", orders, "m", _key_checks(), mode, parents, {"customer": "since", "orders": "m"})
+    return rows.select("run_at", F.substring("check_id", 7, 99).alias("check_id"), "failed_rows", "total_rows", "status")
+
+
+@query(f"""{_KEYS}, a AS (SELECT * FROM k UNION ALL SELECT m, 'cust.foreign_key', count(*) FILTER (WHERE lost), count(*) FROM f GROUP BY 1 UNION ALL SELECT m, 'parent.foreign_key', count(*) FILTER (WHERE gone), count(*) FROM f GROUP BY 1
+  UNION ALL SELECT d.m, 'cust.not_null', count(*) FILTER (WHERE cust IS NULL), count(*) FROM days d JOIN o ON o.m <= d.m GROUP BY 1)
+SELECT m AS run_at, id AS check_id, CAST(failed AS BIGINT) AS failed_rows, CAST(total AS BIGINT) AS total_rows, CASE WHEN failed > 0 THEN 'fail' ELSE 'pass' END AS status FROM a""")
+def keys_by_day_cumulative(spark, d):
+    """Keys and foreign keys of every month and all before it, one parent being the table itself."""
+    return _keys_by_day(spark, d, "cumulative")
+
+
+@query(f"""{_KEYS}, a AS (SELECT * FROM k UNION ALL SELECT m, 'cust.foreign_key', count(*) FILTER (WHERE lost), count(*) FROM f WHERE day = m GROUP BY 1 UNION ALL SELECT m, 'parent.foreign_key', count(*) FILTER (WHERE gone), count(*) FROM f WHERE day = m GROUP BY 1
+  UNION ALL SELECT m, 'cust.not_null', count(*) FILTER (WHERE cust IS NULL), count(*) FROM o GROUP BY 1)
+SELECT m AS run_at, id AS check_id, CAST(failed AS BIGINT) AS failed_rows, CAST(total AS BIGINT) AS total_rows, CASE WHEN failed > 0 THEN 'fail' ELSE 'pass' END AS status FROM a""")
+def keys_by_day_incremental(spark, d):
+    """A month's own rows against the parents that were there by then; keys are of all rows up to it."""
+    return _keys_by_day(spark, d, "incremental")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey // 2 AS parent, o_orderkey % 5 = 0 AS today FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT count(*) FILTER (WHERE p.o_orderkey IS NULL) AS failed, count(*) AS total FROM o LEFT JOIN o p ON p.o_orderkey = o.parent WHERE o.today""")
+def rule_foreign_key_to_itself(spark, d):
+    """Children of the day only, parents of the whole table, which is the same one."""
+    orders = _t(spark, d, "orders").where("o_orderkey % 7 <> 0").withColumn("parent", F.floor(F.col("o_orderkey") / 2))
+    check = checks.rule("foreign_key", "orders", "parent", {"table": "orders", "column": "o_orderkey"}, key="parent")
+    return checks.measure([check], {"orders": orders.where("o_orderkey % 5 = 0")}, {"orders": orders}).select("failed", "total")
+
+
 @query(f"""WITH {_r()}, w AS (SELECT check_id, run_at, status FROM r) SELECT check_id, arg_max(status, run_at) AS status, max(run_at) AS run_at FROM w GROUP BY 1""")
 def store_last_word(spark, d):
     """Statuses are appended; of each check the last word counts."""
@@ -255,18 +304,21 @@ def snapshot_then_changes(spark, d):
 # --- deliveries
 
 
-@query("""SELECT c_custkey, c_name, c_phone, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 4 = 1 THEN 'update' END AS action FROM (
-SELECT c_custkey, 'link ' || c_custkey AS c_phone, CASE c_custkey % 4 WHEN 0 THEN 'by key ' || c_custkey WHEN 1 THEN 'by link ' || c_custkey ELSE c_name END AS c_name FROM customer)""")
+@query("""WITH t AS (SELECT c_custkey, c_name, CASE c_custkey % 4 WHEN 3 THEN 'link twice ' || (c_custkey // 8) ELSE 'link ' || c_custkey END AS c_phone FROM customer), n AS (SELECT *, count(*) OVER (PARTITION BY c_phone) AS hits FROM t)
+SELECT c_custkey, c_phone, CASE WHEN c_custkey % 4 = 0 THEN 'by key ' || c_custkey WHEN c_custkey % 4 = 1 THEN 'by link ' || c_custkey WHEN c_custkey % 4 = 3 AND hits = 1 THEN 'to two ' || c_custkey ELSE c_name END AS c_name,
+CASE WHEN c_custkey % 4 < 2 OR c_custkey % 4 = 3 AND hits = 1 THEN 'update' END AS action FROM n""")
 def merge_by_link(spark, d):
-    """Rows with a key are matched by it, though another row shares their link; those without find their row by link, if they may."""
+    """A row takes one delivery: that of its key before those by link, of these the newest; a link that two rows share finds none."""
     c = _t(spark, d, "customer").select("c_custkey", "c_name")
     k = F.col("c_custkey")
-    target = c.withColumn("c_phone", F.concat(F.lit("link "), k))
-    # Key rows carry the link of the row after them, which itself is delivered by link.
-    link = F.concat(F.lit("link "), F.when(k % 4 == 0, k + 1).otherwise(k))
-    name = F.concat(F.when(k % 4 == 0, "by key ").otherwise("by link "), k)
-    told = c.select(F.when(k % 4 == 0, k).alias("c_custkey"), name.alias("c_name"), link.alias("c_phone"), F.lit(",c_name,").alias("_changed"), (k % 4 < 2).alias("_link"), (k % 4).alias("m")).where("m < 3").drop("m")
-    return deliver.merge(target, told, ["c_custkey"], ["c_name", "c_phone"], link_by=["c_phone"]).withColumnRenamed("_action", "action")
+    # Of four customers, the first is delivered by key and by link at once, the second by link twice, the last by a link that it shares with another one.
+    link = F.when(k % 4 == 3, F.concat(F.lit("link twice "), F.floor(k / 8))).otherwise(F.concat(F.lit("link "), k))
+    target = c.withColumn("c_phone", link)
+    row = lambda key, name: F.struct(key.alias("c_custkey"), F.concat(F.lit(name), k).alias("c_name"), link.alias("c_phone"))
+    none = F.lit(None).cast("long")
+    rows = F.when(k % 4 == 0, F.array(row(k, "by key "), row(none, "an other "))).when(k % 4 == 1, F.array(row(none, "by link "), row(none, "and again "))).when(k % 4 == 3, F.array(row(none, "to two "))).otherwise(F.array().cast("array<struct<c_custkey:bigint,c_name:string,c_phone:string>>"))
+    told = target.select(F.inline(rows)).withColumn("_changed", F.lit(",c_name,")).withColumn("_link", F.lit(True)).withColumn("rev", F.when(F.col("c_name").startswith("by"), 2).otherwise(1))
+    return deliver.merge(target, told, ["c_custkey"], ["c_name", "c_phone"], link_by=["c_phone"], order="rev").withColumnRenamed("_action", "action")
 
 
 @query("SELECT count(*) FILTER (WHERE c_custkey % 3 <> 0 OR c_custkey % 2 <> 0) AS present, count(*) FILTER (WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0) AS emptied FROM customer")
@@ -407,28 +459,39 @@ _WALK = golden.Crosswalk({"shop": "code"}, ("name",), ("name",))
 
 
 def _walk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows of a shop, golden records, what the shop was sent, and tombstones. The shop's codes are the customers' keys with a minus."""
+    """Rows of a shop, golden records, what the shop was sent, and tombstones. The shop's codes are the customers' keys with a minus.
+
+    Rows of deleted records also have the name of a record that is there (k % 12 = 5), codes
+    are of two deleted records of which the smaller key was deleted last, some deliveries are
+    too old, and some rows that answer one lack their name.
+    """
     k, c = F.col("c_custkey"), _t(spark, d, "customer")
     name = F.when(k % 4 == 0, "shared").otherwise(F.col("c_name"))
-    rows = c.select((-k).alias("code"), F.when(k % 10 != 0, name).alias("name"), F.col("c_mktsegment").alias("segment"))
+    said = F.when(k % 12 == 5, F.format_string("Customer#%09d", k - 2)).otherwise(name)
+    rows = c.select((-k).alias("code"), F.when(k % 10 != 0, said).alias("name"), F.col("c_mktsegment").alias("segment"), F.when(k % 7 == 0, "DELETE").otherwise("INSERT").alias("row_kind"), (k * 1000 + golden.EXPECT_MS).alias("ms"))
     records = c.where("c_custkey % 6 <> 5").select(k.alias("key"), F.when(k % 3 == 0, -k).alias("code"), name.alias("name"))
-    sent = c.where("c_custkey % 8 = 4").select(k.alias("key"), F.inline(F.array(F.struct(F.lit("name").alias("field"), name.alias("value")), F.struct(F.lit("code2").alias("field"), k.cast("string").alias("value")))))
-    gone = c.where("c_custkey % 6 = 5 and c_custkey % 4 <> 0").select((-k).alias("code"), (k + 1_000_000_000).alias("key"))
+    sent = c.where("c_custkey % 8 = 4").select(k.alias("key"), F.when(k % 5 == 1, k * 1000 - 1).otherwise(k * 1000 + 1).alias("ms"), F.inline(F.array(F.struct(F.lit("name").alias("field"), name.alias("value")), F.struct(F.lit("code2").alias("field"), k.cast("string").alias("value")))))
+    gone = c.where("c_custkey % 6 = 5 and c_custkey % 4 <> 0").select((-k).alias("code"), F.inline(F.array(F.struct((k + 1_000_000_000).alias("key"), F.lit(9).alias("deleted_ms")), F.struct((k + 2_000_000_000).alias("key"), F.lit(5).alias("deleted_ms")))))
     return rows.withColumn("code2", (-F.col("code")).cast("string")), records, sent, gone
 
 
-_CW = """w AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'shared' ELSE c_name END AS n FROM customer), r AS (SELECT -k AS code, CASE WHEN k % 10 <> 0 THEN n END AS name, k FROM w), g AS (SELECT k AS key, CASE WHEN k % 3 = 0 THEN -k END AS code, n AS name FROM w WHERE k % 6 <> 5),
+# Placing by the rules, in their order: known code; deleted record's code; the link, unless part or unmatchable; an awaited delivery; a deletion is only of what is known.
+_CW = """w AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'shared' ELSE c_name END AS n FROM customer),
+r AS (SELECT -k AS code, CASE WHEN k % 10 <> 0 THEN CASE WHEN k % 12 = 5 THEN printf('Customer#%09d', k - 2) ELSE n END END AS name, k, k % 7 = 0 AS del FROM w),
+g AS (SELECT k AS key, CASE WHEN k % 3 = 0 THEN -k END AS code, n AS name FROM w WHERE k % 6 <> 5),
 l AS (SELECT name, count(*) AS c, min(key) AS one, bool_or(code IS NOT NULL) AS taken FROM g GROUP BY 1),
-a AS (SELECT r.code, r.k AS key FROM r JOIN g ON g.key = r.k WHERE r.k % 8 = 4 AND g.code IS NULL AND r.name IS NOT NULL),
-x AS (SELECT r.code, q.key AS known, CASE WHEN r.k % 6 = 5 AND r.k % 4 <> 0 THEN r.k + 1000000000 END AS gone, a.key AS answers, one, CASE WHEN r.name IS NULL THEN 'part' WHEN c > 1 THEN 'ambiguous' WHEN taken THEN 'taken' END AS why FROM r LEFT JOIN g q ON q.code = r.code LEFT JOIN l ON l.name = r.name LEFT JOIN a ON a.code = r.code),
-p AS (SELECT code, coalesce(known, CASE WHEN why IS NULL THEN one END, gone, answers) AS key, CASE WHEN coalesce(known, CASE WHEN why IS NULL THEN one END, gone, answers) IS NULL THEN why END AS held FROM x)"""
+a AS (SELECT r.code, r.k AS key FROM r JOIN g ON g.key = r.k WHERE r.k % 8 = 4 AND r.k % 5 <> 1 AND g.code IS NULL AND r.name IS NOT NULL),
+x AS (SELECT r.code, del, q.key AS known, CASE WHEN r.k % 6 = 5 AND r.k % 4 <> 0 THEN r.k + 1000000000 END AS gone, a.key AS answers, one,
+  CASE WHEN r.name IS NULL THEN 'part' WHEN c > 1 THEN 'ambiguous' WHEN taken THEN 'taken' END AS why FROM r LEFT JOIN g q ON q.code = r.code LEFT JOIN l ON l.name = r.name LEFT JOIN a ON a.code = r.code),
+y AS (SELECT *, coalesce(known, gone, CASE WHEN NOT del AND why IS NULL THEN one END, CASE WHEN NOT del AND coalesce(why, 'new') <> 'part' THEN answers END) AS key FROM x),
+p AS (SELECT code, key, CASE WHEN key IS NULL AND NOT del THEN why END AS held, key IS NULL AND del AS withdrawn FROM y)"""
 
 
 @query(f"WITH {_CW} SELECT * FROM p")
 def crosswalk_placed(spark, d):
-    """Rows find their record by code, by link, by a deleted record's code, or as the answer to a delivery; the rest are new or held."""
+    """Rows find their record by code, by a deleted record's code, by link, or as the answer to a delivery; the rest are new, held or withdrawn."""
     rows, records, sent, gone = _walk(spark, d)
-    return golden.place(rows, records, _WALK, "shop", sent, ["name", "code2"], gone).select("code", "key", "held")
+    return golden.place(rows, records, _WALK, "shop", sent, ["name", "code2"], gone).select("code", "key", "held", "withdrawn")
 
 
 @query(f"WITH {_CW} SELECT key, count(*) OVER (PARTITION BY name) = 1 AS linkable FROM g")

@@ -268,13 +268,8 @@ class Crosswalk:
     required: tuple[str, ...] = ()
 
 
-def resolve(rows: DataFrame, golden: DataFrame, walk: Crosswalk, system: str) -> DataFrame:
-    """rows with key, the golden record they are about, and held, why they wait instead (part, unmatchable, ambiguous, taken) or null.
-
-    golden has key, the code columns and the link columns. A known code decides; else one
-    record of equal link columns without a code of this system; a row that finds none is a
-    new record (key and held are null). All by equi-joins, hits are counted before.
-    """
+def _found(rows: DataFrame, golden: DataFrame, walk: Crosswalk, system: str) -> DataFrame:
+    """rows with _known (the record that has the code), _linked (the one record of equal link columns) and _why that one may not be taken."""
     code = walk.codes[system]
     known = golden.where(F.col(code).isNotNull()).select(F.col(code).alias("_code"), F.col("key").alias("_known"))
     links = golden.groupBy(*[F.col(c).alias(f"_{c}") for c in walk.link_by]).agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_linked"), F.bool_or(F.col(code).isNotNull()).alias("_taken"))
@@ -284,39 +279,68 @@ def resolve(rows: DataFrame, golden: DataFrame, walk: Crosswalk, system: str) ->
         missing = missing | F.col(r).isNull()
     for c in walk.link_by:
         unlinkable = unlinkable | F.col(c).isNull()
-    why = F.when(F.col("_known").isNull(), F.when(missing, "part").when(unlinkable, "unmatchable").when(F.col("_n") > 1, "ambiguous").when(F.col("_taken"), "taken"))
-    key = F.coalesce("_known", F.when(why.isNull(), F.col("_linked")))
-    return out.select(*rows.columns, key.alias("key"), why.alias("held"))
+    why = F.when(missing, "part").when(unlinkable, "unmatchable").when(F.col("_n") > 1, "ambiguous").when(F.col("_taken"), "taken")
+    return out.select(*rows.columns, "_known", "_linked", why.alias("_why"))
+
+
+def resolve(rows: DataFrame, golden: DataFrame, walk: Crosswalk, system: str) -> DataFrame:
+    """rows with key, the golden record they are about, and held, why they wait instead (part, unmatchable, ambiguous, taken) or null.
+
+    golden has key, the code columns and the link columns. A known code decides; else one
+    record of equal link columns without a code of this system; a row that finds none is a
+    new record (key and held are null). All by equi-joins, hits are counted before.
+    """
+    key = F.coalesce("_known", F.when(F.col("_why").isNull(), F.col("_linked")))
+    return _found(rows, golden, walk, system).select(*rows.columns, key.alias("key"), F.when(F.col("_known").isNull(), F.col("_why")).alias("held"))
 
 
 def awaited(rows: DataFrame, expected: DataFrame, golden: DataFrame, code: str, fields: Sequence[str]) -> DataFrame:
     """code and key of rows that answer a delivery: one record without this code awaits nothing but what the row says.
 
     expected has key, field and value (text) of all that the system was sent and has not
-    answered; several values of a field may be awaited, any of them will do. A record whose
-    deletion is awaited (field `*`) is answered by no row.
+    answered; several values of a field may be awaited, any of them will do. Where expected
+    and rows have ms, what was sent more than EXPECT_MS before the row is no longer awaited. A
+    record whose deletion is awaited (field `*`) is answered by no row.
     """
-    said = rows.select(code, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])))
-    wanted = expected.groupBy("key").agg(F.count_distinct("field").alias("_wanted"), F.bool_or(F.col("field") == ALL).alias("_gone")).where("not _gone")
-    e = expected.select("key", F.col("field").alias("_field"), F.col("value").alias("_value"))
-    met = said.join(e, (F.col("field") == F.col("_field")) & F.col("value").eqNullSafe(F.col("_value"))).groupBy(code, "key").agg(F.count_distinct("field").alias("_met"))
+    timed = "ms" in expected.columns and "ms" in rows.columns
+    said = rows.select(F.col(code).alias("_code"), *(["ms"] if timed else []), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])))
+    e = expected.select("key", F.col("field").alias("_field"), F.col("value").alias("_value"), *([F.col("ms").alias("_sent")] if timed else []))
+    fresh = (F.col("_sent") > F.col("ms") - EXPECT_MS) if timed else F.lit(True)
+    met = said.join(e, (F.col("field") == F.col("_field")) & F.col("value").eqNullSafe(F.col("_value")))
+    met = met.where(fresh).groupBy("_code", *(["ms"] if timed else []), "key").agg(F.count_distinct("field").alias("_met"))
+    # What a record awaits is the same for all rows unless some of it is too old for one of them.
+    if timed:
+        still = met.select("_code", "ms", "key").join(e, "key").where(fresh)
+        wanted = still.groupBy("_code", "ms", "key").agg(F.count_distinct("_field").alias("_wanted"), F.bool_or(F.col("_field") == ALL).alias("_gone"))
+    else:
+        wanted = e.groupBy("key").agg(F.count_distinct("_field").alias("_wanted"), F.bool_or(F.col("_field") == ALL).alias("_gone"))
+    hits = met.join(wanted.where("not _gone"), [*(["_code", "ms"] if timed else []), "key"]).where("_met = _wanted")
     free = golden.where(F.col(code).isNull()).select("key")
-    hits = met.join(wanted, "key").where("_met = _wanted").join(free, "key", "left_semi")
-    return hits.groupBy(code).agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("key")).where("_n = 1").select(code, "key")
+    hits = hits.join(free, "key", "left_semi").groupBy("_code").agg(F.count_distinct("key").alias("_n"), F.min("key").alias("key"))
+    return hits.where("_n = 1").select(F.col("_code").alias(code), "key")
 
 
 def place(rows: DataFrame, golden: DataFrame, walk: Crosswalk, system: str, expected: DataFrame, fields: Sequence[str], tombstones: DataFrame | None = None) -> DataFrame:
-    """resolve(), and what comes after it: rows of deleted records keep their key (tombstones: code and key), and rows that would be held or made new records but answer a delivery go to its record."""
+    """rows with key, held and withdrawn: where each belongs, in this order.
+
+    A known code; the code of a deleted record (tombstones: code, key, deleted_ms), of
+    several the one deleted last; the link rule, unless the row lacks what a record needs or
+    what it is found by; an awaited delivery, also of rows that the rule holds as ambiguous or
+    taken or would make new records. A DELETE (row_kind, where rows have it) under a code that
+    was never placed is withdrawn: nothing waits for it and what waits under its code goes.
+    """
     code = walk.codes[system]
-    found = resolve(rows, golden, walk, system).withColumnsRenamed({"key": "_key", "held": "_held"})
+    out = _found(rows, golden, walk, system)
     answers = awaited(rows, expected, golden, code, fields).select(F.col(code).alias("_code"), F.col("key").alias("_answers"))
-    out = found.join(answers, F.col(code) == F.col("_code"), "left").drop("_code")
-    gone = F.lit(None)
+    out, gone = out.join(answers, F.col(code) == F.col("_code"), "left").drop("_code"), F.lit(None)
     if tombstones is not None:
-        dead = tombstones.groupBy(F.col(code).alias("_code")).agg(F.max("key").alias("_gone"))
+        dead = tombstones.groupBy(F.col(code).alias("_code")).agg(F.max_by("key", F.struct("deleted_ms", "key")).alias("_gone"))
         out, gone = out.join(dead, F.col(code) == F.col("_code"), "left"), F.col("_gone")
-    key = F.coalesce("_key", gone, "_answers")
-    return out.select(*rows.columns, key.alias("key"), F.when(key.isNull(), F.col("_held")).alias("held"))
+    deletes = F.col("row_kind") == "DELETE" if "row_kind" in rows.columns else F.lit(False)
+    ruled = F.when(F.col("_why").isNull(), F.col("_linked"))
+    answered = F.when(F.coalesce(F.col("_why"), F.lit("")).isin("", "ambiguous", "taken"), F.col("_answers"))
+    key = F.coalesce("_known", gone, F.when(~deletes, F.coalesce(ruled, answered)))
+    return out.select(*rows.columns, key.alias("key"), F.when(key.isNull() & ~deletes, F.col("_why")).alias("held"), (key.isNull() & deletes).alias("withdrawn"))
 
 
 def linkable(golden: DataFrame, link_by: Sequence[str]) -> DataFrame:
