@@ -967,7 +967,8 @@ def golden_merge_streamed(spark, d):
     at, inbox = _scratch(spark), golden_inbox(spark, d)
     inbox.write.parquet(f"{at}/inbox")
     out = golden.stream(spark.readStream.schema(inbox.schema).parquet(f"{at}/inbox"), ENTITY)
-    streams.run_once(lambda: out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start())
+    with streams.rocksdb(spark):
+        streams.run_once(lambda: out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start())
     return golden.golden_records(spark.read.parquet(f"{at}/out"))
 
 

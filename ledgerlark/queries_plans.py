@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import expressions, rules
@@ -15,8 +16,8 @@ from ledgerlark.plans import checks, flows, scoring
 from ledgerlark.plans.results import ResultStore, land, upserted
 from ledgerlark.queries import _RESULT, ARRIVAL, CUSTOMERS, DAY, FLOW, ORDERS, _contracts, _intents, _LOG, _r, _results, _scratch, _series, _t, query
 from ledgerlark.sources import contracts, relations
+from ledgerlark.streaming import crosswalk, golden
 from ledgerlark.streaming import flows as streams
-from ledgerlark.streaming import golden
 
 
 def _text(rows: list[tuple]) -> str:
@@ -106,6 +107,63 @@ def store_replaces_day(spark, d):
     return store.read("check_results").select(*_RESULT)
 
 
+# --- the crosswalk as a stream
+
+_FAMILY = crosswalk.Rules(golden.Entity(("name", "segment", "last"), {"crm": ("name", "segment"), "shop": ("name", "segment"), "shop.orders": ("last",)}, "crm", ("name",)), ("name",))
+
+
+def _walk_inbox(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Four parts, in order: states of orders under shop codes that nobody knows yet, customers of the crm, customers of the shop, and decisions on held customers.
+
+    Every fiftieth customer has the same name, so all but the first of them wait for a person.
+    """
+    c, k = _t(spark, d, "customer"), F.col("c_custkey")
+    name = F.when(k % 50 == 0, "shared").otherwise(F.col("c_name"))
+
+    def part(rows: DataFrame, system: str, code: str, at: int, row: Column, kind: str = "INSERT") -> DataFrame:
+        place = F.concat(F.lit(code), k.cast("string"))
+        return rows.select(F.lit(system).alias("system"), place.alias("code"), (k + at).alias("seq"), F.lit(kind).alias("row_kind"), (k + at).alias("source_ms"), row.alias("row"), F.lit(None).cast("string").alias("unmapped"))
+
+    newest = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("last"))
+    own = F.to_json(F.struct(name.alias("name"), F.col("c_mktsegment").alias("segment")))
+    return [
+        part(newest.where("c_custkey % 3 = 0"), "shop.orders", "s", 0, F.to_json(F.struct("last"))), part(c, "crm", "c", 10_000_000, own),
+        part(c.where("c_custkey % 2 = 0"), "shop", "s", 20_000_000, F.to_json(F.struct(name.alias("name"), F.lit("X").alias("segment")))),
+        part(c.where("c_custkey % 100 = 0 and c_custkey > 0"), "crm", "c", 30_000_000, F.lit('{"key": null}'), crosswalk.LINK),
+    ]
+
+
+def _walked(settled: DataFrame) -> DataFrame:
+    of = settled.where("rev is not null").groupBy("key").agg(*[F.max(F.when(F.col("system") == s, F.col("code"))).alias(s) for s in ("crm", "shop")])
+    cell = lambda n: F.get_json_object("record", f"$.{n}").alias(n)
+    return crosswalk.records(settled).join(of, "key").select(cell("name"), cell("segment"), cell("last"), "crm", "shop")
+
+
+_WALKED = """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 50 = 0 THEN 'shared' ELSE c_name END AS name, c_mktsegment AS segment, c_custkey % 50 <> 0 OR c_custkey = 0 AS alone FROM customer),
+o AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS last FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)"""
+
+
+@query(f"""{_WALKED} SELECT name, segment, CASE WHEN alone AND k % 2 = 0 THEN last END AS last, 'c' || k AS crm, CASE WHEN alone AND k % 2 = 0 THEN 's' || k END AS shop
+FROM c LEFT JOIN o USING (k) WHERE alone OR k % 100 = 0""")
+def crosswalk_streamed(spark, d):
+    """From the inbox to golden records, a part a batch: part rows wait for their owner's row, held customers for a person's decision, and both are taken again."""
+    at, parts = _scratch(spark), _walk_inbox(spark, d)
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(f"{at}/inbox")
+    inbox = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/inbox")
+    out = crosswalk.stream(inbox, _FAMILY)
+    with streams.rocksdb(spark):
+        streams.run_once(lambda: out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start())
+    return _walked(spark.read.schema(out.schema).parquet(f"{at}/out"))
+
+
+@query(f"""{_WALKED}, h AS (SELECT 'crm' AS system, 'c' || k AS code, 'taken' AS reason FROM c WHERE NOT alone AND k % 100 <> 0 UNION ALL SELECT 'shop', 's' || k, 'taken' FROM c WHERE NOT alone
+UNION ALL SELECT 'shop.orders', 's' || k, 'part' FROM o WHERE k % 2 <> 0 OR (k % 50 = 0 AND k > 0)) SELECT * FROM h""")
+def crosswalk_still_held(spark, d):
+    """Rows that nobody has placed: orders of customers whose shop rows never came or wait themselves, and customers of a name that others have."""
+    return crosswalk.still_held(crosswalk.replay(reduce(DataFrame.unionByName, _walk_inbox(spark, d)), _FAMILY))
+
+
 # --- keys and foreign keys of all days at once
 
 _KEYS = """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey END AS cust, o_orderkey // 2 AS parent, CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders), days AS (SELECT DISTINCT m FROM o),

@@ -15,6 +15,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 #: Milliseconds after which a delivery that did not come back is no longer awaited.
 EXPECT_MS = 3_600_000
@@ -181,7 +182,6 @@ def _edit(g: Golden, e: Entity, system: str, kind: str, ms: int, before: dict |
 
 
 OUT = "key string, seq long, system string, outcome string, rev long, record string, changed string, skip string, conflicts string"
-STATE = "state string"
 
 
 def _rows(g: Golden, e: Entity, key: str, rows: pd.DataFrame) -> list[tuple]:
@@ -216,17 +216,70 @@ def replay(inbox: DataFrame, entity: Entity) -> DataFrame:
     return inbox.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, OUT)
 
 
-def stream(inbox: DataFrame, entity: Entity) -> DataFrame:
-    """The same of a stream; a key's state lives in the state store between its rows."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class _Merging(StatefulProcessor):
+    """A key's golden state in the state store: the record as a value, what is awaited as a list, before images and polls as maps by system.
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        g = Golden(**json.loads(state.get[0])) if state.exists else Golden()
-        rows = pd.concat(list(batches))
-        yield pd.DataFrame(_rows(g, entity, key[0], rows), columns=_COLUMNS)
-        state.update((json.dumps(g.__dict__, ensure_ascii=False),))
+    What nothing has answered leaves by a timer, so keys that no row touches again keep no stale expectations.
+    """
 
-    return inbox.groupBy("key").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, entity: Entity, expires: bool):
+        self.entity, self.expires = entity, expires
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", "record string, at string, by string, rev bigint, changed string, skip string, deleted string")
+        self.awaited = handle.getListState("awaited", "system string, field string, value string, ms bigint, since bigint")
+        self.before = handle.getMapState("before", "system string", "row string")
+        self.polled = handle.getMapState("polled", "system string", "row string")
+
+    def load(self) -> Golden:
+        g = Golden()
+        if self.record.exists():
+            record, at, by, g.rev, g.changed, g.skip, deleted = self.record.get()
+            g.values, g.at, g.by, g.deleted = json.loads(record), json.loads(at), json.loads(by), json.loads(deleted)
+        g.awaited = [[s, f, json.loads(v), ms, since] for s, f, v, ms, since in self.awaited.get()]
+        g.before, g.polled = ({k[0]: json.loads(v[0]) for k, v in m.iterator()} for m in (self.before, self.polled))
+        return g
+
+    def save(self, g: Golden, now: int) -> None:
+        cells = [json.dumps(x, ensure_ascii=False) for x in (g.values, g.at, g.by)]
+        self.record.update((*cells, g.rev, g.changed, g.skip, json.dumps(g.deleted)))
+        self._keep(g.awaited, now)
+        for m, rows in ((self.before, g.before), (self.polled, g.polled)):
+            for k in [k[0] for k in m.keys() if k[0] not in rows]:
+                m.removeKey((k,))
+            for k, row in rows.items():
+                m.updateValue((k,), (json.dumps(row, ensure_ascii=False),))
+
+    def _keep(self, awaited: list[list], now: int) -> None:
+        rows = [(a[0], a[1], json.dumps(a[2], ensure_ascii=False), a[3], a[4] if len(a) > 4 else now) for a in awaited]
+        if not rows:
+            self.awaited.clear()
+            return
+        self.awaited.put(rows)
+        if self.expires:
+            self.handle.registerTimer(min(r[4] for r in rows) + EXPECT_MS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        g = self.load()
+        yield pd.DataFrame(_rows(g, self.entity, key[0], pd.concat(list(rows))), columns=_COLUMNS)
+        self.save(g, timerValues.getCurrentProcessingTimeInMs() if self.expires else 0)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        kept = [[s, f, json.loads(v), ms, since] for s, f, v, ms, since in self.awaited.get() if since > now - EXPECT_MS]
+        self._keep(kept, now)
+        yield pd.DataFrame([], columns=_COLUMNS)
+
+
+def stream(inbox: DataFrame, entity: Entity, expires: bool = False) -> DataFrame:
+    """The same of a stream; a key's state lives in the state store (RocksDB, see flows.rocksdb) between its rows.
+
+    Rows only count what was sent within the hour before them. expires: timers also drop what
+    keys without further rows await, an hour after it was sent; such a stream runs batches
+    without rows, so it is one that does not end by itself.
+    """
+    return inbox.groupBy("key").transformWithStateInPandas(_Merging(entity, expires), OUT, "append", "ProcessingTime" if expires else "None")
 
 
 def golden_records(decided: DataFrame) -> DataFrame:
