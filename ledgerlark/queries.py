@@ -13,6 +13,7 @@ from ledgerlark.functions import expressions, rules
 from ledgerlark.operators import agreement, catalog, cdc, classify, deliver, profile, rollup, sample, versions
 from ledgerlark.plans import checks, flows, scoring
 from ledgerlark.plans.results import ResultStore
+from ledgerlark.plans.tables import BucketedTable
 from ledgerlark.sources import contracts, relations
 from ledgerlark.streaming import flows as streams
 from ledgerlark.streaming import golden
@@ -952,14 +953,61 @@ def flow_inbox_streamed(spark, d):
 @query(f"""WITH {_LN} SELECT l_orderkey AS entry, CAST(sum(CASE WHEN line = 2 AND l_orderkey % 50 = 0 THEN amount + 1 ELSE amount END) AS DOUBLE) AS amount, count(*) AS lines
 FROM ln WHERE NOT (l_orderkey % 50 = 0 AND line = 1) GROUP BY 1""")
 def flow_totals_streamed(spark, d):
-    store, group, sums = ResultStore(spark, _scratch(spark)), {"entry": "l_orderkey"}, {"amount": "sum(amount)", "lines": "count(*)"}
-    store.rewrite("lines", _lines(spark, d))
-    store.rewrite("totals", rollup.totals(store.read("lines"), group, sums))
-    ch = store.read("lines").where("l_orderkey % 50 = 0 and line <= 2").withColumn("amount", F.when(F.col("line") == 2, F.col("amount") + 1).otherwise(F.col("amount")).cast(MONEY))
-    store.append("changes", ch.withColumn("op", F.when(F.col("line") == 1, "delete").otherwise("upsert")).withColumn("seq", F.lit(1)))
-    changes = spark.readStream.schema(store.read("changes").schema).parquet(f"{store.folder}/changes")
-    streams.run_once(lambda: streams.keep_totals(changes, store, "lines", "totals", ["l_orderkey", "line"], group, sums, f"{store.folder}/progress", once=True))
-    return store.read("totals").withColumn("amount", F.col("amount").cast("double"))
+    at, group, sums = _scratch(spark), {"entry": "l_orderkey"}, {"amount": "sum(amount)", "lines": "count(*)"}
+    lines = BucketedTable.create(_lines(spark, d), f"{at}/lines", ["l_orderkey", "line"], 8)
+    totals = BucketedTable.create(rollup.states(lines.read(), group, sums), f"{at}/totals", ["entry"], 8)
+    ch = lines.read().where("l_orderkey % 50 = 0 and line <= 2").withColumn("amount", F.when(F.col("line") == 2, F.col("amount") + 1).otherwise(F.col("amount")).cast(MONEY))
+    ch = ch.withColumn("op", F.when(F.col("line") == 1, "delete").otherwise("upsert")).withColumn("seq", F.lit(1))
+    ch.write.parquet(f"{at}/changes")
+    changes = spark.readStream.schema(ch.schema).parquet(f"{at}/changes")
+    streams.run_once(lambda: streams.keep_totals(changes, lines, totals, group, sums, f"{at}/progress", once=True))
+    return rollup.shown(totals.read(), group, sums).withColumn("amount", F.col("amount").cast("double"))
+
+
+_MOVED = """WITH o AS (SELECT o_orderkey AS id, o_custkey % 97 AS g, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_totalprice AS DECIMAL(15, 2)) END AS x FROM orders),
+n AS (SELECT id, CASE WHEN id % 4 = 1 THEN g + 50 ELSE g END AS g, CASE WHEN id % 8 = 1 THEN x * 2 ELSE x END AS x FROM o WHERE id % 4 <> 0 AND g <> 7)"""
+
+
+@query(f"{_MOVED} SELECT g AS entry, CAST(sum(x) AS DOUBLE) AS amount, count(*) AS lines, count(x) AS priced, CAST(min(x) AS DOUBLE) AS least, CAST(max(x) AS DOUBLE) AS most, CAST(avg(x) AS DOUBLE) AS mean FROM n GROUP BY 1")
+def flow_totals_retracted(spark, d):
+    """Group totals from states that take changes back, over three batches: lines deleted, moved to other groups and changed, a group emptied; half of the lines come by the stream."""
+    at, group = _scratch(spark), {"entry": "g"}
+    of = {"amount": "sum(x)", "lines": "count(*)", "priced": "count(x)", "least": "min(x)", "most": "max(x)", "mean": "avg(x)"}
+    k, g = F.col("id"), F.col("g")
+    x = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice").cast("decimal(15,2)"))
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 97).alias("g"), x.alias("x"))
+    lines = BucketedTable.create(orders.where("id % 2 = 0"), f"{at}/lines", ["id"], 8)
+    totals = BucketedTable.create(rollup.states(lines.read(), group, of), f"{at}/totals", ["entry"], 8)
+    upsert = lambda df, seq: df.withColumn("op", F.lit("upsert")).withColumn("seq", F.lit(seq))
+    delete = lambda df, seq: df.withColumn("op", F.lit("delete")).withColumn("seq", F.lit(seq))
+    moved = orders.where("id % 4 = 1").select("id", (g + 50).alias("g"), F.when(k % 8 == 1, F.col("x") * 2).otherwise(F.col("x")).cast("decimal(15,2)").alias("x"))
+    parts = [upsert(orders.where("id % 2 <> 0"), 1), delete(orders.where("id % 4 = 0"), 2).unionByName(upsert(moved, 3)), delete(orders.where("g = 7"), 4)]
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(f"{at}/changes")
+    changes = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/changes")
+    streams.run_once(lambda: streams.keep_totals(changes, lines, totals, group, of, f"{at}/progress", once=True))
+    return rollup.shown(totals.read(), group, of).select("entry", "lines", "priced", *[F.col(c).cast("double").alias(c) for c in ("amount", "least", "most", "mean")])
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS s FROM customer)
+SELECT k, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN n || '!' ELSE n END AS name, CASE WHEN k % 2 = 0 THEN s END AS segment FROM c WHERE (k % 2 = 0 AND NOT (k % 3 = 0 AND k % 5 = 0) AND NOT (k % 3 = 1 AND k % 5 = 1)) OR (k % 2 <> 0 AND k % 7 = 0)""")
+def deliveries_streamed(spark, d):
+    """Golden revisions out to a bucketed table, three ways: merged or inserted, deleted with their record, deleted because nothing of what the flow carries is left."""
+    at, k = _scratch(spark), F.col("k")
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    table = BucketedTable.create(c.where("k % 2 = 0"), f"{at}/target", ["k"], 8)
+    told = lambda df, changed, rev, deleted=False: df.select("k", "name", "segment", F.lit(rev).alias("rev"), F.lit(changed).alias("_changed"), F.lit(None).cast("string").alias("_skip"), F.lit(deleted).alias("deleted"))
+    own = c.withColumn("name", F.concat("name", F.lit("!")))
+    none = c.withColumns({"name": F.lit(None).cast("string"), "segment": F.lit(None).cast("string")})
+    parts = [
+        told(own.where("k % 3 = 0 and k % 2 = 0"), ",name,", 1), told(c.where("k % 7 = 0 and k % 2 <> 0").withColumn("segment", F.lit(None).cast("string")), "*", 1),
+        told(c.where("k % 3 = 0 and k % 5 = 0 and k % 2 = 0"), "*", 2, True), told(none.where("k % 3 = 1 and k % 5 = 1 and k % 2 = 0"), "*", 2), told(c.where("k % 3 = 2 and k % 2 <> 0 and k % 7 <> 0"), ",name,", 2),
+    ]
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(f"{at}/revisions")
+    revisions = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/revisions")
+    streams.run_once(lambda: streams.out_to_table(revisions, table, "shop", ["name", "segment"], f"{at}/progress", once=True, match=["name", "segment"]))
+    return table.read()
 
 
 @query()

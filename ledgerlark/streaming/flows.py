@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlark.operators import deliver, rollup
 from ledgerlark.plans.flows import Flow, inbox_rows
-from ledgerlark.plans.results import ResultStore
+from ledgerlark.plans.tables import BucketedTable
 
 
 def trigger(flow: Flow) -> dict[str, str]:
@@ -38,35 +38,49 @@ def into_inbox(changes: DataFrame, flow: Flow, folder: str, checkpoint: str, onc
     return (writer.trigger(availableNow=True) if once else writer.trigger(**trigger(flow))).outputMode("append").start()
 
 
-def out_to_table(revisions: DataFrame, store: ResultStore, table: str, system: str, keys: Sequence[str], fields: Sequence[str], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Merge a stream of golden revisions (keys, fields, rev, _changed, _skip, deleted) into a table, a batch at a time.
+def out_to_table(revisions: DataFrame, table: BucketedTable, system: str, fields: Sequence[str], checkpoint: str, once: bool = False, required: Sequence[str] = (), match: Sequence[str] = ()) -> StreamingQuery:
+    """Merge a stream of golden revisions (the table's keys, fields, rev, _changed, _skip, deleted) into a table, a batch at a time.
 
-    Of a key's revisions in a batch the last one is delivered; a batch that runs again
-    writes the same rows.
+    Of a key's revisions in a batch the last one is delivered, three ways: rows to merge, rows
+    of deleted records, and, for a flow of part of a record (match), rows whose fields are all
+    empty, which go too. Only buckets of the batch's keys are read and written; a batch that
+    runs again finds itself applied.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        target = store.read(table)
+    def batch(df: DataFrame, n: int) -> None:
+        keys = table.keys
         newest = F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "rev")
-        last = df.groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*")
-        told = deliver.outgoing(last.where("not deleted"), system, fields)
-        merged = deliver.merge(target, told, keys, fields).drop("_action")
-        store.rewrite(table, deliver.delete(merged, last.where("deleted"), keys))
+        last = df.groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*").persist()
+        told = deliver.outgoing(last.where("not deleted"), system, fields, required)
+        gone = last.where("deleted").select(*keys)
+        if match:
+            told, emptied = deliver.split_matches(told, match)
+            gone = gone.unionByName(emptied.select(*keys))
+        table.update(last.select(*keys), lambda now: deliver.delete(deliver.merge(now, told, keys, fields).drop("_action"), gone, keys), (f"{checkpoint}", n))
+        last.unpersist()
 
     writer = revisions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def keep_totals(changes: DataFrame, store: ResultStore, lines: str, totals: str, keys: Sequence[str], group: Mapping[str, str], aggregates: Mapping[str, str], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep a table of lines and one of their group totals up to date with a stream of line changes (op, seq)."""
+def keep_totals(changes: DataFrame, lines: BucketedTable, totals: BucketedTable, group: Mapping[str, str], aggregates: Mapping[str, str], checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep a table of lines and the states of its group totals (rollup.states, shown by rollup.shown) up to date with a stream of line changes (op, seq).
 
-    def batch(df: DataFrame, _: int) -> None:
-        after, touched = rollup.apply_changes(store.read(lines), df, keys)
-        before = store.read(totals)
-        rows = rollup.recompute(after, touched, before, group, aggregates)
-        kept = before.join(rows.select(*group), [before[g].eqNullSafe(rows[g]) for g in group], "left_anti")
-        store.rewrite(totals, kept.unionByName(rows.where("_action <> 'delete'").select(*before.columns)))
-        store.rewrite(lines, after)
+    A changed line takes its old values out of its group's state and adds the new ones, so a
+    batch reads the buckets of its lines and of their groups and no other line of a group. The
+    totals are committed first: a batch that broke in between finds lines as they were.
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        keys, at = lines.keys, (checkpoint, n)
+        if lines.applied(at):
+            return
+        before = lines.read(lines.touched(df.select(*keys)))
+        _, touched = rollup.signed_changes(before, df, keys)
+        delta = rollup.deltas(touched, group, aggregates).persist()
+        totals.update(delta.select(*group), lambda now: rollup.applied(now, delta, group, aggregates), at)
+        lines.update(df.select(*keys), lambda now: rollup.apply_changes(now, df, keys)[0], at)
+        delta.unpersist()
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

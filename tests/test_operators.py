@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.operators import catalog, cdc, classify, deliver, rollup, sample, versions
 from ledgerlark.plans import flows
-from ledgerlark.plans.results import ResultStore
+from ledgerlark.plans.tables import BucketedTable
 from ledgerlark.streaming import flows as streams
 from ledgerlark.streaming import golden
 
@@ -171,9 +171,10 @@ def test_stream_and_replay_agree(spark, tmp_path):
     inbox.where("seq <= 1").coalesce(1).write.mode("append").parquet(folder)
     out = golden.stream(spark.readStream.schema(inbox.schema).parquet(folder), E)
     run = lambda: out.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    run()
-    inbox.where("seq > 1").coalesce(1).write.mode("append").parquet(folder)
-    run()
+    with streams.rocksdb(spark):
+        run()
+        inbox.where("seq > 1").coalesce(1).write.mode("append").parquet(folder)
+        run()
     got = spark.read.parquet(f"file://{tmp_path}/out")
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
 
@@ -187,19 +188,18 @@ def test_flow_streams(spark, tmp_path):
     assert [(r.system, r.fields, r["name"]) for r in spark.read.parquet(f"{at}/inbox").collect()] == [("crm", "id,name", "a")]
     assert streams.trigger(flow) == {"processingTime": "5000 milliseconds"}
 
-    store = ResultStore(spark, at)
-    spark.createDataFrame([(1, "old"), (3, "gone")], "id int, name string").write.parquet(f"{at}/target")
+    target = BucketedTable.create(spark.createDataFrame([(1, "old"), (3, "gone")], "id int, name string"), f"{at}/target", ["id"], 4)
     rev = spark.createDataFrame([(1, "x", 1, ",name,", None, False), (1, "new", 2, ",name,", None, False), (2, "two", 0, "*", "crm", False), (4, "mine", 0, "*", "shop", False), (3, None, 5, "*", None, True)], "id int, name string, rev long, _changed string, _skip string, deleted boolean")
     rev.write.parquet(f"{at}/rev")
-    streams.run_once(lambda: streams.out_to_table(spark.readStream.schema(rev.schema).parquet(f"{at}/rev"), store, "target", "shop", ["id"], ["name"], f"{at}/c2", once=True))
-    assert sorted(map(tuple, store.read("target").collect())) == [(1, "new"), (2, "two")]
+    streams.run_once(lambda: streams.out_to_table(spark.readStream.schema(rev.schema).parquet(f"{at}/rev"), target, "shop", ["name"], f"{at}/c2", once=True))
+    assert sorted(map(tuple, target.read().collect())) == [(1, "new"), (2, "two")]
 
-    spark.createDataFrame([(1, "a", 5), (2, "a", 7)], "id long, g string, x long").write.parquet(f"{at}/lines")
-    spark.createDataFrame([("a", 12)], "k string, s long").write.parquet(f"{at}/totals")
+    lines = BucketedTable.create(spark.createDataFrame([(1, "a", 5), (2, "a", 7)], "id long, g string, x long"), f"{at}/lines", ["id"], 4)
+    totals = BucketedTable.create(rollup.states(lines.read(), {"k": "g"}, {"s": "sum(x)"}), f"{at}/totals", ["k"], 4)
     ch = spark.createDataFrame([(2, "b", 7, "upsert", 1)], "id long, g string, x long, op string, seq long")
     ch.write.parquet(f"{at}/ch")
-    streams.run_once(lambda: streams.keep_totals(spark.readStream.schema(ch.schema).parquet(f"{at}/ch"), store, "lines", "totals", ["id"], {"k": "g"}, {"s": "sum(x)"}, f"{at}/c3", once=True))
-    assert sorted(map(tuple, store.read("totals").collect())) == [("a", 5), ("b", 7)]
+    streams.run_once(lambda: streams.keep_totals(spark.readStream.schema(ch.schema).parquet(f"{at}/ch"), lines, totals, {"k": "g"}, {"s": "sum(x)"}, f"{at}/c3", once=True))
+    assert sorted(map(tuple, rollup.shown(totals.read(), {"k": "g"}, {"s": "sum(x)"}).collect())) == [("a", 5), ("b", 7)]
     assert streams.problems(spark) == [] and len(streams.replication_problems([{"contract": "a", "copying": ["t"]}, {"streaming": False}, {"reachable": False}, {}])) == 3
 
 
