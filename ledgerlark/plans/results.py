@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tables
 from .scoring import latest
 
 
@@ -57,17 +61,55 @@ class ResultStore:
         """
         old, new = self._path(table), f"{table}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.folder}/{new}")
-        path, fs = self._fs()
-        out = fs.create(path(f"{self.folder}/{table}.at"), True)
-        out.write(bytearray(f"{new}\n".encode()))
-        out.close()
-        fs.delete(path(old), True)
+        tables.put(self.spark, f"{self.folder}/{table}.at", f"{new}\n")
+        tables.delete(self.spark, old)
 
     def prune(self, table: str, column: str, cutoff: str) -> None:
         """Drop rows older than a moment."""
         self.rewrite(table, self.read(table).where(F.col(column) >= F.lit(cutoff)))
 
 
+class RunStore:
+    """Results, scores, profiles and statuses of runs under a folder, each run visible whole or not at all.
+
+    The rows of a run go to partitions of its own; then its file among `runs`, named by day,
+    window and contract, is switched to it by a rename. Readers take the rows of runs that
+    such a file names: after a crash between tables that is the run before, with all its
+    tables, and a run without rows leaves none of its day's older ones.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def commit(self, run_at: str, window: str, contract_id: str, rows: Mapping[str, DataFrame]) -> str:
+        """Write a run's tables and make them the ones of its day, window and contract; gives the run's name."""
+        run = uuid.uuid4().hex
+        for table, df in rows.items():
+            df.withColumns({"run_month": F.lit(str(run_at)[:7]), "run": F.lit(run)}).write.mode("append").partitionBy("run_month", "run").parquet(f"{self.folder}/{table}")
+        name = hashlib.sha256(json.dumps([str(run_at), window, contract_id]).encode()).hexdigest()[:32]
+        about = {"run_at": str(run_at), "run_window": window, "contract_id": contract_id, "run": run, "tables": sorted(rows)}
+        tables.put(self.spark, f"{self.folder}/runs/{name}.json", json.dumps(about))
+        return run
+
+    def runs(self) -> DataFrame:
+        """run_at, run_window, contract_id and run of the runs that stand."""
+        found = self.spark.read.schema("run_at date, run_window string, contract_id string, run string")
+        if not tables.exists(self.spark, f"{self.folder}/runs"):
+            return self.spark.createDataFrame([], "run_at date, run_window string, contract_id string, run string")
+        return found.json(f"{self.folder}/runs/*.json")
+
+    def read(self, table: str) -> DataFrame:
+        """The rows of a table of all runs that stand; its partitions are pruned by their runs."""
+        return self.spark.read.parquet(f"{self.folder}/{table}").join(self.runs().select("run"), "run", "left_semi").drop("run", "run_month")
+
+    def vacuum(self, table: str) -> None:
+        """Delete rows of runs that do not stand; run it when nothing reads them any more."""
+        kept = {r.run for r in self.runs().collect()}
+        for r in self.spark.read.parquet(f"{self.folder}/{table}").select("run_month", "run").distinct().collect():
+            if r.run not in kept:
+                tables.delete(self.spark, f"{self.folder}/{table}/run_month={r.run_month}/run={r.run}")
+
+
 def land(df: DataFrame, path: str) -> None:
     """Raw rows as they are, in place of the last load."""
     df.write.mode("overwrite").parquet(path)

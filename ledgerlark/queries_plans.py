@@ -7,13 +7,14 @@ from functools import reduce
 from pathlib import Path
 
 import yaml
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import expressions, rules
 from ledgerlark.operators import agreement, catalog, deliver
 from ledgerlark.plans import checks, flows, scoring
-from ledgerlark.plans.results import ResultStore, land, upserted
+from ledgerlark.plans.results import ResultStore, RunStore, land, upserted
 from ledgerlark.queries import _RESULT, ARRIVAL, CUSTOMERS, DAY, FLOW, ORDERS, _contracts, _intents, _LOG, _r, _results, _scratch, _series, _t, query
 from ledgerlark.sources import contracts, relations
 from ledgerlark.streaming import crosswalk, golden
@@ -213,6 +214,29 @@ def rule_foreign_key_to_itself(spark, d):
     return checks.measure([check], {"orders": orders.where("o_orderkey % 5 = 0")}, {"orders": orders}).select("failed", "total")
 
 
+@query(f"""WITH {_MONTHLY}, k AS (SELECT * FROM r WHERE run_at < DATE '1996-01-01'), n AS (SELECT run_at, check_id, CASE WHEN run_at = DATE '1995-05-01' THEN failed_rows + 1000 ELSE failed_rows END AS failed_rows FROM k WHERE run_at <> DATE '1995-03-01')
+SELECT run_at, count(*) AS checks, CAST(sum(failed_rows) AS BIGINT) AS failed, CAST(count(*) FILTER (WHERE failed_rows > 0) AS BIGINT) AS statuses FROM n GROUP BY 1""")
+def store_runs_whole(spark, d):
+    """Runs of months: one is run again with other rows, one again without any, and one breaks before its tables are all written; each shows as its last whole run left it."""
+    store = RunStore(spark, _scratch(spark))
+    rows = checks.by_day("sales.orders", _t(spark, d, "orders").withColumn(ARRIVAL, F.date_trunc("month", ARRIVAL)).where(F.col(ARRIVAL) < "1996-01-01"), ARRIVAL, _series()).select(*_RESULT).persist()
+    of = lambda df: {"check_results": df, "check_status": df.where("failed_rows > 0").select("run_at", "check_id")}
+    months = [str(r.run_at) for r in rows.select("run_at").distinct().orderBy("run_at").collect()]
+    for m in months:  # of a year
+        store.commit(m, "incremental", "sales.orders", of(rows.where(F.col("run_at") == m)))
+    again = rows.where("run_at = '1995-05-01'").withColumn("failed_rows", F.col("failed_rows") + 1000)
+    store.commit("1995-05-01", "incremental", "sales.orders", of(again))
+    store.commit("1995-03-01", "incremental", "sales.orders", of(rows.limit(0)))
+    try:
+        store.commit("1995-04-01", "incremental", "sales.orders", {"check_results": rows.limit(1), "check_status": rows.select(F.raise_error(F.lit("broken")))})
+    except PySparkException:
+        pass
+    rows.unpersist()
+    told = store.read("check_status").groupBy("run_at").agg(F.count(F.lit(1)).alias("statuses"))
+    found = store.read("check_results").groupBy("run_at").agg(F.count(F.lit(1)).alias("checks"), F.sum("failed_rows").alias("failed"))
+    return found.join(told, "run_at", "left").na.fill(0, ["statuses"])
+
+
 @query(f"""WITH {_r()}, w AS (SELECT check_id, run_at, status FROM r) SELECT check_id, arg_max(status, run_at) AS status, max(run_at) AS run_at FROM w GROUP BY 1""")
 def store_last_word(spark, d):
     """Statuses are appended; of each check the last word counts."""

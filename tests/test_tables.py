@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import rollup
 from ledgerlark.plans import tables
+from ledgerlark.plans.results import RunStore
 from ledgerlark.plans.tables import BucketedTable
 
 
@@ -56,3 +58,18 @@ def test_states_with_changes_equal_recomputation(spark):
         state = spark.createDataFrame(state.collect(), state.schema)
         want = rollup.totals(lines, group, of).select(*group, *of)
         assert sorted(map(str, rollup.shown(state, group, of).collect())) == sorted(map(str, want.collect())), n
+
+
+def test_a_run_is_seen_whole_and_an_empty_one_clears_its_day(spark, tmp_path):
+    store = RunStore(spark, f"file://{tmp_path}/runs")
+    rows = lambda *x: spark.createDataFrame(list(x), "check_id string, failed long")
+    assert store.runs().count() == 0
+    store.commit("2024-05-01", "incremental", "c", {"results": rows(("a", 1), ("b", 2)), "scores": rows(("a", 9))})
+    store.commit("2024-05-02", "incremental", "c", {"results": rows(("a", 3)), "scores": rows(("a", 8))})
+    with pytest.raises(Exception, match="broken"):
+        store.commit("2024-05-01", "incremental", "c", {"results": rows(("a", 100)), "scores": rows(("a", 1)).select(F.raise_error(F.lit("broken")).alias("check_id"))})
+    assert sorted(map(tuple, store.read("results").collect())) == [("a", 1), ("a", 3), ("b", 2)]
+    store.commit("2024-05-01", "incremental", "c", {"results": rows(), "scores": rows()})
+    assert [tuple(r) for r in store.read("results").collect()] == [("a", 3)] and [tuple(r) for r in store.read("scores").collect()] == [("a", 8)]
+    store.vacuum("results")
+    assert spark.read.parquet(f"{store.folder}/results").count() == 1 and store.read("results").count() == 1
