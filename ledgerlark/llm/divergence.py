@@ -23,7 +23,7 @@ from ._shared import bounded_text_batches, stored
 #: Documents that a term must have, marking terms that are returned, and what shares are counted in.
 LEAST_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: Terms that a counting task holds before it hands them on, and bytes of a text that are cut at a time.
-HELD, BLOCK = 1 << 19, 1 << 24
+HELD, BLOCK = 1 << 20, 1 << 24
 #: Most groups (language, source). Their numbers are sent to all tasks; the result has a row for every pair of a language's.
 MOST_GROUPS = 1 << 20
 
@@ -114,7 +114,7 @@ def marking_terms(lists: DataFrame, groups: DataFrame, top: int = TOP) -> DataFr
     best = Window.partitionBy("lang", "source").orderBy(F.desc("bound"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = stored(buckets.select("lang", "source", "bucket", "base", "lang_base", "bound", F.coalesce(F.sum("terms").over(best), F.lit(0)).alias("before")))
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    best_so_far, wanted, upto = None, buckets.where("before = 0"), top
+    best_so_far, wanted, upto = None, buckets.where(F.col("before") < top), top
     while not wanted.isEmpty():
         wanted = stored(wanted)
         numbers = [r.bucket for r in wanted.select("bucket").distinct().collect()]  # of 64
