@@ -913,6 +913,41 @@ def pii_email_share(spark, d):
     return classify.shares(classify.long_values(rows, "mails", ["contact", "note"]))
 
 
+_DIGIT = "CAST(substr(n, {i}, 1) AS INTEGER)"
+_PRIVATE = f"""WITH k AS (SELECT c_custkey AS k, c_custkey % 7 AS m, c_custkey % 3 = 0 AS wrong, CAST(123456789 + c_custkey * 7919 AS VARCHAR) AS n, lpad(CAST(c_custkey AS VARCHAR), 22, '0') AS b FROM customer),
+c AS (SELECT *, {' + '.join(_DIGIT.format(i=i) for i in (1, 3, 5, 7, 9))} AS odd, {' + '.join(_DIGIT.format(i=i) for i in (2, 4, 6, 8))} AS even,
+  (10 - ({' + '.join(f"(CASE WHEN ({_DIGIT.format(i=i)} + {10 - i}) % 10 = 9 THEN 9 ELSE (({_DIGIT.format(i=i)} + {10 - i}) % 10 * {2 ** (10 - i)}) % 9 END)" for i in range(1, 10))}) % 10) % 10 AS tax,
+  (10 - ({' + '.join(f"(CASE WHEN {_DIGIT.format(i=i)} * {2 if i % 2 else 1} > 9 THEN {_DIGIT.format(i=i)} * 2 - 9 ELSE {_DIGIT.format(i=i)} * {2 if i % 2 else 1} END)" for i in range(1, 10))} + 8) % 10) % 10 AS card,
+  98 - CAST((b || '292700')::HUGEINT % 97 AS INTEGER) AS iban FROM k),
+d AS (SELECT *, ((odd * 7 - even) % 10 + 10) % 10 AS tenth FROM c),
+v AS (SELECT k, m, CASE m WHEN 0 THEN 'c' || k || '@mail.example.com' WHEN 1 THEN '10.' || k % 256 || '.0.' || CASE WHEN wrong THEN 999 ELSE k % 250 END WHEN 2 THEN 'TR' || lpad(CAST(CASE WHEN wrong THEN (iban + 1) % 97 ELSE iban END AS VARCHAR), 2, '0') || b
+  WHEN 3 THEN '400000' || n || CASE WHEN wrong THEN (card + 1) % 10 ELSE card END WHEN 4 THEN n || CASE WHEN wrong THEN (tax + 1) % 10 ELSE tax END
+  WHEN 5 THEN n || tenth || CASE WHEN wrong THEN (odd + even + tenth + 1) % 10 ELSE (odd + even + tenth) % 10 END ELSE '+90 (532) 123 45 ' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') END AS value, wrong AND m IN (1, 2, 3, 4, 5) AS nothing FROM d)"""
+
+
+@query(f"""{_PRIVATE} SELECT k, length('note ' || k || ': ') AS "at", length('note ' || k || ': ' || value) AS until, ['EMAIL_ADDRESS', 'IP_ADDRESS', 'IBAN_CODE', 'CREDIT_CARD', 'TR_VKN', 'TR_NATIONAL_ID', 'PHONE_NUMBER'][m + 1] AS kind, value FROM v WHERE NOT nothing""")
+def pii_spans(spark, d):
+    """Seven kinds of personal values inside sentences; a third of those with check digits or octets have wrong ones and are none."""
+    k, text = F.col("c_custkey"), F.col
+    c = _t(spark, d, "customer").select(k.alias("k"), (k % 7).alias("m"), (k % 3 == 0).alias("wrong"), (k * 7919 + 123_456_789).cast("string").alias("n"), F.lpad(k.cast("string"), 22, "0").alias("b"))
+    tail = lambda right: F.when(text("wrong"), (right + 1) % 10).otherwise(right).cast("string")
+    digits = [F.substring("n", i, 1).cast("int") for i in range(1, 10)]
+    odd, even = sum(digits[0::2]), sum(digits[1::2])
+    tenth = F.pmod(odd * 7 - even, F.lit(10))
+    tax = (10 - sum(F.when((x + 10 - i) % 10 == 9, 9).otherwise((x + 10 - i) % 10 * 2 ** (10 - i) % 9) for i, x in enumerate(digits, 1)) % 10) % 10
+    twice = lambda x: F.when(x > 4, x * 2 - 9).otherwise(x * 2)
+    card = (10 - (sum(twice(x) if i % 2 else x for i, x in enumerate(digits, 1)) + 8) % 10) % 10
+    iban = 98 - (F.concat("b", F.lit("292700")).cast("decimal(38,0)") % 97).cast("int")
+    value = (
+        F.when(text("m") == 0, F.concat(F.lit("c"), "k", F.lit("@mail.example.com"))).when(text("m") == 1, F.concat(F.lit("10."), (text("k") % 256).cast("string"), F.lit(".0."), F.when(text("wrong"), 999).otherwise(text("k") % 250).cast("string")))
+        .when(text("m") == 2, F.concat(F.lit("TR"), F.lpad(F.when(text("wrong"), (iban + 1) % 97).otherwise(iban).cast("string"), 2, "0"), "b")).when(text("m") == 3, F.concat(F.lit("400000"), "n", tail(card)))
+        .when(text("m") == 4, F.concat("n", tail(tax))).when(text("m") == 5, F.concat("n", tenth.cast("string"), tail((odd + even + tenth) % 10))).otherwise(F.concat(F.lit("+90 (532) 123 45 "), F.lpad((text("k") % 100).cast("string"), 2, "0")))
+    )
+    note = F.concat(F.lit("note "), text("k").cast("string"), F.lit(": "), value, F.lit(" and what was said about it."))
+    found = c.select("k", F.inline(classify.spans(note)))
+    return found.select("k", F.col("at").cast("long").alias("at"), F.col("until").cast("long").alias("until"), "kind", "value")
+
+
 @query("SELECT event_id, event_type, event_type || ': ' || printf('%d/%d rows failed (%.2f%%) dimension=%s', event_id % 7, 10, (event_id % 7) / 10 * 100, event_type) AS reason FROM events")
 def failure_reason(spark, d):
     reason = expressions.failure_reason(F.col("event_id") % 7, F.lit(10), F.col("event_type"))

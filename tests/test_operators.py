@@ -220,3 +220,35 @@ def test_versions_inside_a_longer_one_overlap(spark):
     day = "valid_from date, valid_to date"
     rows = spark.createDataFrame([("a", *map(dt.date.fromisoformat, x)) for x in (("2024-01-01", "2024-12-01"), ("2024-02-01", "2024-03-01"), ("2024-06-01", "2024-07-01"), ("2024-12-01", "2025-01-01"))], f"k string, {day}")
     assert {r.valid_from.month for r in versions.overlaps(rows, "k").collect()} == {2, 6}
+
+
+def test_spans_against_brute_force(spark):
+    import random
+    import re
+
+    r = random.Random(8)
+    parts = ["a@b.example", "x.y@z.co", "10.0.0.1", "999.1.1.1", "+90 (532) 123 45 67", "1234567", "4000000000000002", "4000 0000 0000 0002", "4000000000000003", "GB82WEST12345698765432", "GB82WEST12345698765433", "10000000146", "10000000147", "1234567890", "word", "1.2.3.4.5", "é@ü.de", "c@10.0.0.1.com", ""]
+    texts = [None, "", *[" ".join(r.choices(parts, k=6)) for _ in range(40)], *["".join(r.choices(parts, k=3)) for _ in range(20)]]
+    luhn = lambda s: sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(re.sub(r"\D", "", s)[::-1])) % 10 == 0
+    iban = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    citizen = lambda s: (sum(map(int, s[0:9:2])) * 7 - sum(map(int, s[1:8:2]))) % 10 == int(s[9]) and sum(map(int, s[:10])) % 10 == int(s[10])
+
+    def vkn(s):
+        total = 0
+        for j, c in enumerate(s[:9], 1):
+            t = (int(c) + 10 - j) % 10
+            total += 9 if t == 9 else t * 2 ** (10 - j) % 9
+        return (10 - total % 10) % 10 == int(s[9])
+
+    right = {"CREDIT_CARD": luhn, "IBAN_CODE": iban, "TR_NATIONAL_ID": citizen, "TR_VKN": vkn, "PHONE_NUMBER": lambda s: 7 <= len(re.sub(r"\D", "", s)) <= 15 and not s.isdigit()}
+
+    def by_hand(text):
+        every = [(m.start(), m.end(), k, score, m[0]) for k, (p, score) in classify.PATTERNS.items() for m in re.finditer(p, text or "", re.A) if right.get(k, lambda _: True)(m[0])]
+        rank = lambda s: (-s[3], s[0] - s[1], s[0], s[2])
+        return sorted(s for s in every if not any(s[0] < t[1] and t[0] < s[1] and rank(t) < rank(s) for t in every))
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", classify.spans(F.col("text")).alias("s")).collect()
+    for row in rows:
+        assert [tuple(s) for s in row.s or []] == by_hand(texts[row.id]), texts[row.id]
+    values = spark.createDataFrame([("t", "note", "mail a@b.example now"), ("t", "note", "tel +90 532 123 45 67"), ("t", "note", "from 10.0.0.1"), ("t", "note", "card 4000000000000002"), ("t", "note", "nothing"), ("t", "note", None)], "table_name string, column_name string, value string")
+    assert sorted((x.kind, x.share, x.classified) for x in classify.text_shares(values).collect()) == [("CREDIT_CARD", 0.2, True), ("EMAIL_ADDRESS", 0.2, True), ("IP_ADDRESS", 0.2, True), ("PHONE_NUMBER", 0.2, True)]
