@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 from pathlib import Path
 
@@ -108,6 +109,27 @@ def store_replaces_day(spark, d):
     return store.read("check_results").select(*_RESULT)
 
 
+# --- databases
+
+
+def _database(spark: SparkSession, d: str) -> dict:
+    """Orders in a database in the memory of this JVM, as a contract's server with a read in parts."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders.repartition(4).write.format("jdbc").options(url=url, dbtable="orders", batchsize=5000).mode("overwrite").save()
+    return {"type": "jdbc", "url": url, "options": {"partitionColumn": "o_orderkey", "numPartitions": "4", "fetchsize": "5000"}}
+
+
+@query("""SELECT o_custkey % 5 AS part, count(*) AS orders, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1998-03-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-03-02 00:00:00' GROUP BY 1
+UNION ALL SELECT -1, count(*), CAST(round(sum(o_totalprice), 2) AS DOUBLE) FROM orders""")
+def jdbc_orders(spark, d):
+    """A day's orders, whose window the database applies, and all of them, read in four parts of their key."""
+    read = relations.resolver(spark, _database(spark, d))
+    total = F.round(F.sum("o_totalprice"), 2).alias("total")
+    day = relations.windowed(read("orders"), "o_orderdate", "1998-03-01")
+    return day.groupBy((F.col("o_custkey") % 5).alias("part")).agg(F.count(F.lit(1)).alias("orders"), total).unionByName(read("orders").agg(F.lit(-1).cast("long").alias("part"), F.count(F.lit(1)).alias("orders"), total))
+
+
 # --- the crosswalk as a stream
 
 _FAMILY = crosswalk.Rules(golden.Entity(("name", "segment", "last"), {"crm": ("name", "segment"), "shop": ("name", "segment"), "shop.orders": ("last",)}, "crm", ("name",)), ("name",))

@@ -23,9 +23,22 @@ def _file(kind: str) -> Reader:
 
 
 def _jdbc(spark: SparkSession, server: Mapping[str, str], name: str) -> DataFrame:
-    """A database table; numPartitions, partitionColumn and bounds in the server's options split the read."""
-    reader = spark.read.format("jdbc").options(url=server["url"], dbtable=f"{server['schema']}.{name}" if server.get("schema") else name)
-    return reader.options(**server.get("options", {})).load()
+    """A database table; partitionColumn and numPartitions among the server's options split the read.
+
+    Bounds that are not given are looked up, which the database does by itself. They only say
+    where reads part: rows beyond them and nulls are in the first or last one.
+    """
+    at = {"url": server["url"], "dbtable": f"{server['schema']}.{name}" if server.get("schema") else name}
+    options = dict(server.get("options", {}))
+    column = options.get("partitionColumn")
+    if column and not {"lowerBound", "upperBound"} <= set(options):
+        rest = {k: v for k, v in options.items() if k not in ("partitionColumn", "numPartitions", "lowerBound", "upperBound")}
+        low, high = spark.read.format("jdbc").options(**at, **rest).load().agg(F.min(column), F.max(column)).first()
+        if low is None:
+            options = rest
+        else:
+            options = {"numPartitions": "8"} | options | {"lowerBound": str(low), "upperBound": str(high)}
+    return spark.read.format("jdbc").options(**at, **options).load()
 
 
 def _view(spark: SparkSession, server: Mapping[str, str], name: str) -> DataFrame:

@@ -252,3 +252,18 @@ def test_spans_against_brute_force(spark):
         assert [tuple(s) for s in row.s or []] == by_hand(texts[row.id]), texts[row.id]
     values = spark.createDataFrame([("t", "note", "mail a@b.example now"), ("t", "note", "tel +90 532 123 45 67"), ("t", "note", "from 10.0.0.1"), ("t", "note", "card 4000000000000002"), ("t", "note", "nothing"), ("t", "note", None)], "table_name string, column_name string, value string")
     assert sorted((x.kind, x.share, x.classified) for x in classify.text_shares(values).collect()) == [("CREDIT_CARD", 0.2, True), ("EMAIL_ADDRESS", 0.2, True), ("IP_ADDRESS", 0.2, True), ("PHONE_NUMBER", 0.2, True)]
+
+
+def test_a_database_is_read_in_parts_and_filters_there(spark):
+    from ledgerlark import queries_plans
+    from ledgerlark.sources import relations
+
+    server = queries_plans._database(spark, "/root/testdata/sf0.001")
+    orders = relations.resolver(spark, server)("orders")
+    whole = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert orders.rdd.getNumPartitions() == 4 and orders.count() == whole.count()
+    day = relations.windowed(orders, "o_orderdate", "1998-03-01")
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(o_orderdate" in plan
+    spark.range(0).withColumnRenamed("id", "k").write.format("jdbc").options(url=server["url"], dbtable="empty").save()
+    assert relations.resolver(spark, server | {"options": {"partitionColumn": "k"}})("empty").count() == 0
