@@ -32,8 +32,10 @@ def downstream(edges: DataFrame) -> DataFrame:
     Every round extends only the pairs that the last one found, until it finds no new one.
     """
     context = edges.sparkSession.sparkContext
-    if not context.getCheckpointDir() and context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlark-"))
+    if not context.getCheckpointDir():
+        named = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        local = context.master.startswith("local[") or context.master == "local"
+        context.setCheckpointDir(named or (tempfile.mkdtemp(prefix="ledgerlark-") if local else f"{edges.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints"))
     edges = edges.select("src", "dst").where("src <> dst").distinct()
     found = edges.select(F.col("src").alias("origin"), F.col("dst").alias("node"), F.lit(1).alias("steps"))
     new = found

@@ -819,32 +819,53 @@ def crosswalk_resolve(spark, d):
 
 # --- catalogue
 
-_EDGES = [("raw.a", "stg.a"), ("raw.b", "stg.a"), ("stg.a", "fct.a"), ("fct.a", "mart.a"), ("fct.a", "mart.b"), ("mart.b", "fct.a"), ("raw.c", "mart.b")]
 
 
-@query("""WITH RECURSIVE e AS (SELECT * FROM (VALUES ('raw.a','stg.a'), ('raw.b','stg.a'), ('stg.a','fct.a'), ('fct.a','mart.a'), ('fct.a','mart.b'), ('mart.b','fct.a'), ('raw.c','mart.b')) v(src, dst)),
-w AS (SELECT src AS origin, dst AS node, 1 AS steps FROM e UNION SELECT origin, dst, steps + 1 FROM w JOIN e ON e.src = w.node WHERE steps < 10 AND dst <> origin) SELECT origin, node, CAST(min(steps) AS INTEGER) AS steps FROM w GROUP BY 1, 2""")
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey // 3 AS dst FROM customer WHERE c_custkey > 0 UNION SELECT c_custkey // 3, c_custkey FROM customer WHERE c_custkey % 200 = 100),
+w AS (SELECT src AS origin, dst AS node, 1 AS steps FROM e UNION SELECT origin, dst, steps + 1 FROM w JOIN e ON e.src = w.node WHERE steps < 24 AND dst <> origin) SELECT CAST(origin AS VARCHAR) AS origin, CAST(node AS VARCHAR) AS node, CAST(min(steps) AS INTEGER) AS steps FROM w GROUP BY 1, 2""")
 def lineage_closure(spark, d):
-    return catalog.downstream(spark.createDataFrame([(*e, "derived") for e in _EDGES], catalog.EDGE))
+    """What each customer's table reaches, each being made into that of a third of its key, some of them back again."""
+    k = F.col("c_custkey")
+    edge = lambda rows, src, dst: rows.select(src.cast("string").alias("src"), dst.cast("string").alias("dst"), F.lit("derived").alias("kind"))
+    c = _t(spark, d, "customer")
+    return catalog.downstream(edge(c.where("c_custkey > 0"), k, F.floor(k / 3)).unionByName(edge(c.where("c_custkey % 200 = 100"), F.floor(k / 3), k)))
 
 
-@query("SELECT 'lost.source' AS src, 'crm.customer' AS dst")
+@query("""WITH e AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN '//store/' || c_custkey WHEN c_custkey % 7 = 0 THEN 'lost.' || c_custkey ELSE 'crm.' || c_custkey // 2 END AS src, 'crm.' || c_custkey AS dst FROM customer), c AS (SELECT 'crm.' || c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0)
+SELECT src, dst FROM e WHERE src NOT LIKE '//%' AND src NOT IN (SELECT id FROM c)""")
 def lineage_unresolved(spark, d):
-    return catalog.unresolved(catalog.lineage(spark, [ORDERS, CUSTOMERS], [FLOW]).where("kind = 'derived'"), _contracts(spark)).select("src", "dst")
+    """Edges of customers' tables from what is neither a contract nor an address."""
+    k, c = F.col("c_custkey"), _t(spark, d, "customer")
+    name = lambda of, key: F.concat(F.lit(of), key.cast("string"))
+    src = F.when(k % 5 == 0, name("//store/", k)).when(k % 7 == 0, name("lost.", k)).otherwise(name("crm.", F.floor(k / 2)))
+    return catalog.unresolved(c.select(src.alias("src"), name("crm.", k).alias("dst")), c.where("c_custkey % 3 <> 0").select(name("crm.", k).alias("contract_id"))).select("src", "dst")
+
+
+def _catalogued(spark: SparkSession, d: str) -> DataFrame:
+    """property_rows of a contract for each customer: its table `t` and its key, which refers to the customer's of a third of it; every fourth one is classified."""
+    k = F.col("c_custkey")
+    named = lambda of, key, tail="": F.concat(F.lit(of), key.cast("string"), F.lit(tail))
+    refs = F.when(k % 2 == 0, F.array(named("t", F.floor(k / 3), ".id"))).otherwise(F.array().cast("array<string>"))
+    c = _t(spark, d, "customer")
+    return c.select(named("c", k).alias("contract_id"), named("t", k).alias("table_name"), F.lit("id").alias("column_name"), F.when(k % 4 == 0, "pii").alias("classification"), refs.alias("refs"), F.col("c_mktsegment").alias("domain"), k)
 
 
-@query("SELECT * FROM (VALUES ('orders', 'customer', 'to'), ('customer', 'orders', 'from'), ('lineitem', 'orders', 'to'), ('orders', 'lineitem', 'from')) v(table_name, other, direction)")
+@query("""WITH e AS (SELECT c_custkey AS a, c_custkey // 3 AS b FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT a, b FROM e JOIN customer x ON x.c_custkey = a JOIN customer y ON y.c_custkey = b WHERE x.c_nationkey = y.c_nationkey)
+SELECT 't' || a AS table_name, 't' || b AS other, 'to' AS direction FROM n UNION ALL SELECT 't' || b, 't' || a, 'from' FROM n""")
 def fk_both_ways(spark, d):
-    hosts = spark.createDataFrame([("orders", "a"), ("customer", "a"), ("lineitem", "a")], "table_name string, host string")
-    return catalog.relations_of(catalog.foreign_keys(contracts.property_rows(spark, [ORDERS, CUSTOMERS])), hosts)
+    """Foreign keys between customers' tables, among those of one nation."""
+    hosts = _t(spark, d, "customer").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("table_name"), F.col("c_nationkey").cast("string").alias("host"))
+    return catalog.relations_of(catalog.foreign_keys(_catalogued(spark, d)), hosts)
 
 
-@query("SELECT * FROM (VALUES ('orders', 'domain:sales,engine:parquet,mine,replicated,under-contract'), ('lineitem', 'domain:sales,under-contract'), ('customer', 'domain:sales,has-classified-columns,under-contract'), ('other', 'kept')) v(table_name, tags)")
+@query("""SELECT table_name, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT 't' || k AS table_name, unnest(list_filter([CASE WHEN k % 3 <> 0 THEN 'under-contract' END, CASE WHEN k % 3 <> 0 AND k % 5 <> 0 THEN 'domain:' || seg END, CASE WHEN k % 3 <> 0 AND k % 2 = 0 THEN 'engine:parquet' END,
+CASE WHEN k % 3 <> 0 AND k % 7 = 0 THEN 'replicated' END, CASE WHEN k % 3 <> 0 AND k % 4 = 0 THEN 'has-classified-columns' END, CASE WHEN k % 6 < 4 THEN 'mine' END, CASE WHEN k % 6 < 4 THEN 'under-contract' END], lambda x: x IS NOT NULL)) AS tag FROM (SELECT c_custkey AS k, c_mktsegment AS seg FROM customer)) GROUP BY 1""")
 def catalogue_tags(spark, d):
-    props = contracts.property_rows(spark, [ORDERS, CUSTOMERS])
-    engines = spark.createDataFrame([("orders", "parquet")], "table_name string, engine string")
-    made = catalog.tags(props, _contracts(spark), engines, engines)
-    have = spark.createDataFrame([("orders", ["mine", "replicated"]), ("other", ["kept"])], "table_name string, tags array<string>")
+    """Tags that contracts give customers' tables beside those that people have put on."""
+    props = _catalogued(spark, d).where("c_custkey % 3 <> 0")
+    known = props.where("c_custkey % 5 <> 0").select("contract_id", "domain")
+    made = catalog.tags(props, known, props.where("c_custkey % 2 = 0").select("table_name", F.lit("parquet").alias("engine")), props.where("c_custkey % 7 = 0"))
+    have = _catalogued(spark, d).where("c_custkey % 6 < 4").select("table_name", F.array(F.lit("mine"), F.lit("under-contract")).alias("tags"))
     return catalog.merged_tags(have, made).select("table_name", F.array_join("tags", ",").alias("tags"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from functools import reduce
 from pathlib import Path
 
@@ -16,7 +17,7 @@ from ledgerlark.functions import expressions, rules
 from ledgerlark.operators import agreement, catalog, deliver
 from ledgerlark.plans import checks, flows, scoring
 from ledgerlark.plans.results import ResultStore, RunStore, land, upserted
-from ledgerlark.queries import _RESULT, ARRIVAL, CUSTOMERS, DAY, FLOW, ORDERS, _contracts, _intents, _LOG, _r, _results, _scratch, _series, _t, query
+from ledgerlark.queries import _RESULT, ARRIVAL, CUSTOMERS, DAY, FLOW, ORDERS, _catalogued, _contracts, _intents, _LOG, _r, _results, _scratch, _series, _t, query
 from ledgerlark.sources import contracts, relations
 from ledgerlark.streaming import crosswalk, golden
 from ledgerlark.streaming import flows as streams
@@ -375,10 +376,15 @@ def identity_unsound(spark, d):
     return spark.createDataFrame([(p,) for p in [flows.identity_problem(rows, "sales.orders")] if p], "problem string")
 
 
-@query("SELECT * FROM (VALUES ('c: parts still being copied, nothing replicates'), ('e: the apply job is not running'), ('g: the source cannot be reached')) v(sentence)")
+@query("""SELECT 'c' || c_custkey AS contract, CASE WHEN c_custkey % 5 = 0 THEN 't' || c_custkey || ', lineitem still being copied, nothing replicates' WHEN c_custkey % 7 = 0 THEN 'the apply job is not running' WHEN c_custkey % 11 = 0 THEN 'the source cannot be reached' END AS problem
+FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey % 11 = 0""")
 def replication_status(spark, d):
-    statuses = [{"contract": "a", "streaming": True, "reachable": True}, {"contract": "c", "copying": ["parts"]}, {"contract": "e", "streaming": False}, {"contract": "g", "reachable": False}]
-    return spark.createDataFrame([(s,) for s in streams.replication_problems(statuses)], "sentence string")
+    """Statuses of customers' replications, some of which do not tell whether they run."""
+    k = F.col("c_custkey")
+    copying = F.when(k % 5 == 0, F.array(F.concat(F.lit("t"), k.cast("string")), F.lit("lineitem")))
+    running, reachable = F.when(k % 2 == 0, True), F.when(k % 3 == 0, True)
+    rows = _t(spark, d, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("contract"), copying.alias("copying"), F.when(k % 7 == 0, False).otherwise(running).alias("streaming"), F.when(k % 11 == 0, False).otherwise(reachable).alias("reachable"))
+    return streams.replication_problems(rows)
 
 
 @query("SELECT since, since IS NULL OR since < (SELECT min(event_id) FROM events) - 1 AS resnapshot FROM (VALUES (NULL::BIGINT), (-5), (0), (1000)) v(since)")
@@ -458,24 +464,27 @@ _INBOX = [
 _DECIDED = [(1, "created"), (2, "applied"), (3, "applied"), (4, "lost"), (5, "created"), (6, "deleted"), (7, "created"), (8, "echo"), (9, "before"), (10, "applied")]
 
 
-def _small_inbox(spark: SparkSession) -> DataFrame:
+def _small_inbox(spark: SparkSession, d: str, more: Sequence[tuple] = ()) -> DataFrame:
+    """The rows above for every customer, whose records are named by its key."""
     import json
 
-    return spark.createDataFrame([(*r[:5], json.dumps(r[5]), None) for r in _INBOX], "key string, seq long, system string, row_kind string, source_ms long, row string, unmapped string")
+    cells = [F.struct(*[F.lit(v).alias(n) for v, n in zip((r[0], r[1], r[2], r[3], r[4], json.dumps(r[5])), ("of", "seq", "system", "row_kind", "source_ms", "row"), strict=True)]) for r in [*_INBOX, *more]]
+    rows = _t(spark, d, "customer").select("c_custkey", F.inline(F.array(*cells)))
+    return rows.select(F.concat_ws("-", "c_custkey", "of").alias("key"), F.col("seq").cast("long").alias("seq"), "system", "row_kind", F.col("source_ms").cast("long").alias("source_ms"), "row", F.lit(None).cast("string").alias("unmapped"))
 
 
 _ENTITY = golden.Entity(("name", "city", "tier"), {"crm": ("name", "tier"), "billing": None, "shop": ("name", "city")}, "crm", ("name",))
 
 
-@query(f"SELECT CAST(seq AS BIGINT) AS seq, outcome FROM (VALUES {_text(_DECIDED)}) v(seq, outcome)")
+@query(f"SELECT c_custkey || '-' || CASE {' '.join(f'WHEN CAST(seq AS INTEGER) = {r[1]} THEN {r[0]!r}' for r in _INBOX)} END AS key, CAST(seq AS BIGINT) AS seq, outcome FROM customer, (VALUES {_text(_DECIDED)}) v(seq, outcome)")
 def golden_small_inbox(spark, d):
     """An edit wins by its commit time, an echo of a delivery is none, a full deletion ends a record."""
-    return golden.replay(_small_inbox(spark), _ENTITY).select("seq", "outcome")
+    return golden.replay(_small_inbox(spark, d), _ENTITY).select("key", "seq", "outcome")
 
 
-@query("SELECT * FROM (VALUES ('1', 'Eva', 'Oslo', 'gold'), ('3', 'Cy', 'Bonn', 'old')) v(key, name, city, tier)")
+@query("SELECT c_custkey || '-' || of AS key, name, city, tier FROM customer, (VALUES ('1', 'Eva', 'Oslo', 'gold'), ('3', 'Cy', 'Bonn', 'old')) v(of, name, city, tier)")
 def golden_small_records(spark, d):
-    kept = golden.golden_records(golden.replay(_small_inbox(spark), _ENTITY))
+    kept = golden.golden_records(golden.replay(_small_inbox(spark, d), _ENTITY))
     return kept.select("key", F.json_tuple("record", "name", "city", "tier").alias("name", "city", "tier"))
 
 
@@ -490,9 +499,11 @@ def held_candidates(spark, d):
 # --- catalogue and expressions
 
 
-@query("SELECT 'sales' AS domain, 'customer,lineitem,orders' AS tables")
+@query("SELECT c_mktsegment AS domain, string_agg('t' || c_custkey, ',' ORDER BY 't' || c_custkey) AS tables FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1")
 def tables_by_domain(spark, d):
-    found = catalog.tables_by_domain(contracts.property_rows(spark, [ORDERS, CUSTOMERS]), _contracts(spark))
+    """Customers' tables by the domain of their contract; some contracts are unknown."""
+    rows = _catalogued(spark, d)
+    found = catalog.tables_by_domain(rows, rows.where("c_custkey % 5 <> 0").select("contract_id", "domain"))
     return found.select("domain", F.array_join("tables", ",").alias("tables"))
 
 
@@ -519,20 +530,21 @@ def citizen_number_check(spark, d):
     return _t(spark, d, "customer").select("c_custkey", expressions.is_citizen_number(number).alias("valid"))
 
 
-@query("SELECT * FROM (VALUES ('2', 'w', 14.0::DOUBLE), ('12', 'hours', 0.5), ('1', 'year', 365.0), ('1', 'month', NULL), ('1', NULL, NULL)) v(value, unit, days)")
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 7.0 WHEN 1 THEN 1.0 / 24 WHEN 2 THEN 365.0 WHEN 3 THEN 1.0 END * (c_custkey % 40) AS days FROM customer""")
 def service_periods(spark, d):
-    rows = spark.createDataFrame([("2", "w"), ("12", "hours"), ("1", "year"), ("1", "month"), ("1", None)], "value string, unit string")
-    return rows.select("value", "unit", expressions.period_days(F.col("value"), F.col("unit")).alias("days"))
-
-
-_PERCHECK = "WITH c AS (SELECT * FROM (VALUES ('field_type', 'conformity', 'SCHEMA_CHANGE'), ('sql', 'timeliness', 'FRESHNESS_ANOMALY'), ('sql', 'coverage', 'VOLUME_ANOMALY'), ('field_unique', 'uniqueness', 'ASSERTION'), ('sql', NULL, 'ASSERTION')) v(check_type, dimension, category))"
+    """Periods of customers in units of several spellings; a month and no unit are unknown."""
+    k = F.col("c_custkey")
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("w", "Hours", " year ", "day", "month", None)]), (k % 6 + 1).cast("int"))
+    return _t(spark, d, "customer").select("c_custkey", expressions.period_days((k % 40).cast("string"), unit).alias("days"))
 
 
-@query(f"{_PERCHECK} SELECT * FROM c")
+@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'SCHEMA_CHANGE' WHEN event_id % 4 = 0 THEN 'FRESHNESS_ANOMALY' WHEN event_id % 4 = 1 THEN 'VOLUME_ANOMALY' ELSE 'ASSERTION' END AS category FROM events""")
 def check_categories(spark, d):
-    rows = [("field_type", "conformity"), ("sql", "timeliness"), ("sql", "coverage"), ("field_unique", "uniqueness"), ("sql", None)]
-    df = spark.createDataFrame(rows, "check_type string, dimension string")
-    return df.select("check_type", "dimension", expressions.check_category(F.col("check_type"), F.col("dimension")).alias("category"))
+    """Events as checks of several types and dimensions, some without one."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    check_type = F.when(kind == "click", "field_type").when(kind == "view", "field_is_present").when(kind == "error", "field_unique").otherwise("sql")
+    dimension = F.when(k % 4 == 0, "timeliness").when(k % 4 == 1, "coverage").when(k % 4 == 2, "uniqueness")
+    return _t(spark, d, "events").select("event_id", expressions.check_category(check_type, dimension).alias("category"))
 
 
 @query(f"WITH {_r()} SELECT CAST(DATE '{DAY}' AS VARCHAR) AS day, count(DISTINCT check_id) AS failing FROM r WHERE run_at = DATE '{DAY}' AND status = 'fail'")
@@ -632,14 +644,12 @@ def inbox_declared(spark, d):
     return golden.declared(inbox, ["name", "segment"]).select("c_custkey", "row")
 
 
-@query("SELECT CAST(seq AS BIGINT) AS seq, outcome FROM (VALUES " + _text([x for x in _DECIDED if x[1] != "unchanged"] + [(12, "applied")]) + ") v(seq, outcome)")
+@query("SELECT c_custkey, CAST(seq AS BIGINT) AS seq, outcome FROM customer, (VALUES " + _text([x for x in _DECIDED if x[1] != "unchanged"] + [(12, "applied")]) + ") v(seq, outcome)")
 def inbox_history(spark, d):
     """What changed nothing leaves no trace in the inbox."""
-    import json
-
-    more = [("1", 11, "billing", "UPDATE_AFTER", 5_000, json.dumps({"name": "Eva", "city": "Oslo", "tier": "gold"}), None), ("1", 12, "billing", "UPDATE_AFTER", 9_000, json.dumps({"name": "Eva", "city": "Kiel", "tier": "gold"}), None), ("1", 13, "billing", "UPDATE_AFTER", 9_500, json.dumps({"name": "Eva", "city": "Kiel", "tier": "gold"}), None)]
-    inbox = _small_inbox(spark)
-    return golden.inbox_history(golden.replay(inbox.unionByName(spark.createDataFrame(more, inbox.schema)), _ENTITY)).where("outcome <> 'echo' or seq < 11").select("seq", "outcome")
+    more = [("1", n, "billing", "UPDATE_AFTER", ms, {"name": "Eva", "city": city, "tier": "gold"}) for n, ms, city in ((11, 5_000, "Oslo"), (12, 9_000, "Kiel"), (13, 9_500, "Kiel"))]
+    found = golden.inbox_history(golden.replay(_small_inbox(spark, d, more), _ENTITY)).where("outcome <> 'echo' or seq < 11")
+    return found.select(F.substring_index("key", "-", 1).cast("long").alias("c_custkey"), "seq", "outcome")
 
 
 # --- jobs, their settings and what a catalogue shows of them
@@ -703,10 +713,12 @@ def paired_counts(spark, d):
     return relations.paired_counts(relations.row_counts({"orders": orders, "part": _t(spark, d, "part")}), relations.row_counts({"orders": orders.where("o_orderstatus = 'O'")}))
 
 
-@query("SELECT * FROM (VALUES ('id', 1, true), ('name', 2, false), ('city', 3, false)) v(column_name, column_id, captured)")
+@query("SELECT c_name AS column_name, CAST(c_custkey AS INTEGER) AS column_id, c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AS captured FROM customer")
 def captured_columns(spark, d):
-    schema = "column_name string, column_id int"
-    return relations.captured(spark.createDataFrame([("id", 1), ("name", 2), ("city", 3)], schema), spark.createDataFrame([("id", 1), ("name", 7)], schema))
+    """Customers as declared columns: the log lacks every third one, and every fifth one was dropped and made anew."""
+    k, c = F.col("c_custkey").cast("int"), _t(spark, d, "customer")
+    log = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("column_name"), F.when(k % 5 == 0, k + 1_000_000).otherwise(k).alias("column_id"))
+    return relations.captured(c.select(F.col("c_name").alias("column_name"), k.alias("column_id")), log)
 
 
 @query("""WITH p AS (SELECT user_id, event_id, event_type, last_value(CASE WHEN event_id % 3 <> 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM events) SELECT user_id, event_id, event_type FROM p WHERE was IS DISTINCT FROM event_type""")

@@ -97,18 +97,13 @@ def problems(spark: SparkSession, idle_ok: bool = True) -> list[str]:
     return out
 
 
-def replication_problems(statuses: Sequence[Mapping]) -> list[str]:
-    """A sentence for each replication that is stuck, stopped or cut off, from status rows; what is not told is no problem."""
-    out = []
-    for s in statuses:
-        name = s.get("contract", "?")
-        if s.get("copying"):
-            out.append(f"{name}: {', '.join(s['copying'])} still being copied, nothing replicates")
-        elif s.get("streaming") is False:
-            out.append(f"{name}: the apply job is not running")
-        elif s.get("reachable") is False:
-            out.append(f"{name}: the source cannot be reached")
-    return out
+def replication_problems(statuses: DataFrame) -> DataFrame:
+    """contract and problem, the first that its status tells of: statuses has contract, copying (tables), streaming and reachable; what is not told is no problem."""
+    told = [
+        (F.size("copying") > 0, F.concat(F.array_join("copying", ", "), F.lit(" still being copied, nothing replicates"))),
+        (~F.col("streaming"), F.lit("the apply job is not running")), (~F.col("reachable"), F.lit("the source cannot be reached")),
+    ]
+    return statuses.select("contract", F.coalesce(*[F.when(at, sentence) for at, sentence in told]).alias("problem")).where("problem is not null")
 
 
 @contextmanager

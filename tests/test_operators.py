@@ -200,7 +200,9 @@ def test_flow_streams(spark, tmp_path):
     ch.write.parquet(f"{at}/ch")
     streams.run_once(lambda: streams.keep_totals(spark.readStream.schema(ch.schema).parquet(f"{at}/ch"), lines, totals, {"k": "g"}, {"s": "sum(x)"}, f"{at}/c3", once=True))
     assert sorted(map(tuple, rollup.shown(totals.read(), {"k": "g"}, {"s": "sum(x)"}).collect())) == [("a", 5), ("b", 7)]
-    assert streams.problems(spark) == [] and len(streams.replication_problems([{"contract": "a", "copying": ["t"]}, {"streaming": False}, {"reachable": False}, {}])) == 3
+    assert streams.problems(spark) == []
+    statuses = spark.createDataFrame([("a", ["t"], False, None), ("b", [], False, None), ("c", None, None, False), ("d", None, None, None)], "contract string, copying array<string>, streaming boolean, reachable boolean")
+    assert [(r.contract, r.problem.split()[0]) for r in streams.replication_problems(statuses).collect()] == [("a", "t"), ("b", "the"), ("c", "the")]
 
 
 def test_lineage_of_a_long_chain_is_whole(spark):
