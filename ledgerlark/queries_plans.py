@@ -663,12 +663,14 @@ def flow_settings(spark, d):
     return spark.createDataFrame(rows, "about string, said string")
 
 
-@query("""SELECT job, direction, CASE WHEN n = 'nation' THEN NULL WHEN left(n, 1) IN ('c', 'o') THEN 'erp' ELSE 'lake' END AS server, string_agg(n, ',' ORDER BY n) AS tables
-FROM (SELECT DISTINCT job, direction, n FROM (VALUES ('j1', 'in', 'orders'), ('j1', 'in', 'customer'), ('j1', 'out', 'lineitem'), ('j2', 'in', 'nation'), ('j2', 'in', 'part'), ('j2', 'out', 'lineitem')) v(job, direction, n)) GROUP BY 1, 2, 3""")
+@query("""WITH e AS (SELECT 'j' || c_nationkey AS job, 'in' AS direction, c_custkey AS k FROM customer UNION SELECT 'j' || c_nationkey, 'out', c_custkey // 3 FROM customer)
+SELECT job, direction, CASE WHEN k % 5 <> 0 THEN 's' || k % 4 END AS server, string_agg('t' || k, ',' ORDER BY 't' || k) AS tables FROM e GROUP BY 1, 2, 3""")
 def lineage_by_server(spark, d):
-    """Tables of a flow's job by server; a table that is on none is named all the same."""
-    edges = spark.createDataFrame([("orders", "lineitem", "j1"), ("customer", "lineitem", "j1"), ("nation", "lineitem", "j2"), ("part", "lineitem", "j2")], "src string, dst string, job string")
-    tables = spark.createDataFrame([("orders", "erp"), ("customer", "erp"), ("lineitem", "lake"), ("part", "lake")], "table_name string, server string")
+    """Customers' tables of a nation's job by server; a table that is on none is named all the same."""
+    k, c = F.col("c_custkey"), _t(spark, d, "customer")
+    name = lambda of, key: F.concat(F.lit(of), key.cast("string"))
+    edges = c.select(name("t", k).alias("src"), name("t", F.floor(k / 3)).alias("dst"), name("j", F.col("c_nationkey")).alias("job"))
+    tables = c.where("c_custkey % 5 <> 0").select(name("t", k).alias("table_name"), name("s", k % 4).alias("server"))
     return catalog.placed(edges, tables).select("job", "direction", "server", F.array_join("tables", ",").alias("tables"))
 
 
