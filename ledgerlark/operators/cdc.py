@@ -84,3 +84,10 @@ def generated(df: DataFrame, existing: DataFrame, column: str, key: str, at: str
     out = df.withColumn("_nth", nth).join(sizes.select("_part", before.alias("_before")), "_part")
     out = out.withColumn(column, (F.lit(top) + F.col("_before") + F.col("_nth")).cast("long")).drop("_part", "_nth", "_before")
     return out.withColumn(at, F.current_timestamp()) if at else out
+
+
+def replica(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The table that a log's stream makes: the newest snapshot's rows and changes (op 1 deletes, 3 is a before image), each key's last one unless it is a deletion. An equal position's rows go by seq."""
+    newest = rows.agg(F.max("snapshot").alias("snapshot"))  # one row
+    last = rows.where("op <> 3").join(F.broadcast(newest), "snapshot").groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct("lsn", "seq")).alias("r"))
+    return last.select(*keys, "r.*").where("op <> 1")

@@ -133,7 +133,7 @@ def _fused(df: DataFrame, checks: Sequence[Check], by: Sequence[str] = ()) -> Da
 
 
 @contextmanager
-def _named(tables: Tables) -> Iterator[None]:
+def named(tables: Tables) -> Iterator[None]:
     """The tables as temporary views of their names; the session's own views of these names come back."""
     spark = next(iter(tables.values())).sparkSession
     own = {t.name for t in spark.catalog.listTables() if t.isTemporary}
@@ -149,7 +149,7 @@ def _named(tables: Tables) -> Iterator[None]:
 
 def _number(check: Check, tables: Tables) -> DataFrame:
     """failed of a hand-written query: 0 where its number is the wanted one, else the number."""
-    with _named(tables):
+    with named(tables):
         found = next(iter(tables.values())).sparkSession.sql(check.query)
     value = F.col(f"`{found.columns[0]}`").cast("double")
     failed = F.when(value == check.must_be, 0).otherwise(F.greatest(F.coalesce(value, F.lit(1.0)), F.lit(1.0))).cast("long")

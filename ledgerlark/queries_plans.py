@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 from pathlib import Path
 
@@ -12,9 +13,10 @@ import yaml
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlark.functions import expressions, rules
-from ledgerlark.operators import agreement, catalog, deliver
+from ledgerlark.operators import agreement, catalog, cdc, deliver, profile, sample
 from ledgerlark.plans import checks, flows, scoring
 from ledgerlark.plans.results import ResultStore, RunStore, land, upserted
 from ledgerlark.queries import _RESULT, ARRIVAL, CUSTOMERS, DAY, FLOW, ORDERS, _catalogued, _contracts, _intents, _LOG, _r, _results, _scratch, _series, _t, query
@@ -411,6 +413,88 @@ def snapshot_then_changes(spark, d):
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _run_dry(stream: DataFrame, at: str) -> StreamingQuery:
+    """Start a stream into a folder, let it take what is there, batch by batch, and stop it."""
+    q = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/progress").trigger(processingTime="0 seconds").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return q
+
+
+@query("""WITH n AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IS NOT NULL), last AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS v, max(o_orderkey) AS lsn, bool_or(o_orderkey % 7 = 0 AND o_orderkey = m) AS gone
+FROM n JOIN (SELECT o_custkey, max(o_orderkey) AS m FROM n GROUP BY 1) USING (o_custkey) GROUP BY 1)
+SELECT c_custkey, coalesce(v, c_acctbal) AS balance, lsn AS changed_at, true AS in_small_batches FROM customer LEFT JOIN last ON o_custkey = c_custkey WHERE gone IS NOT true
+UNION ALL SELECT o_custkey, v, lsn, true FROM last WHERE NOT gone AND o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+def log_replicated(spark, d):
+    """A replica from a snapshot of customers and a log in which each order sets its customer's balance and every seventh deletes the customer; the stream takes a sixth of the log a batch and is stopped and started halfway."""
+    at = _scratch(spark)
+    _t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("balance")).write.parquet(f"{at}/table")
+    op = F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(4).cast("int").alias("op")
+    log = _t(spark, d, "orders").where("o_custkey is not null").select(op, F.col("o_orderkey").alias("lsn"), F.lit(0).cast("long").alias("seq"), F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("balance"))
+    rows, first, middle = log.agg(F.count(F.lit(1)), F.min("lsn"), F.percentile_approx("lsn", 0.5)).first()
+    most = max(1, rows // 6)
+    flow = replace(FLOW, job={"rowsPerSecond": most, "checkpointInterval": 1000})
+    # The snapshot is taken at a position that the log has: one of a row that tells of nothing.
+    mark = spark.range(1).select(F.lit(0).alias("op"), F.lit(-1 if first is None else first - 1).cast("long").alias("lsn"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("long").alias("c_custkey"), F.lit(None).cast("double").alias("balance"))
+    mark.write.parquet(f"{at}/log")
+
+    def run(more: DataFrame | None = None) -> list[int]:
+        if more is not None:
+            more.repartitionByRange(4, "lsn").write.mode("append").parquet(f"{at}/log")
+        read = streams.change_log(spark, f"{at}/table", f"{at}/log", "c_custkey long, balance double", f"{at}/positions", flow)
+        return [p.numInputRows for p in _run_dry(read, at).recentProgress]
+
+    run()
+    told = run(log.where(F.col("lsn") <= middle)) + run(log.where(F.col("lsn") > middle))
+    now = cdc.replica(spark.read.parquet(f"{at}/rows").where("op > 0"), ["c_custkey"])
+    return now.select("c_custkey", "balance", F.when(F.col("op") != 2, F.col("lsn")).alias("changed_at"), F.lit(max(told, default=0) <= most and sum(told) == rows).alias("in_small_batches"))
+
+
+# --- failing rows of written SQL, profiles of all rows up to a day
+
+
+@query("""SELECT 'joined' AS of, o_orderkey, o_custkey, NULL AS c_name, '•••' AS secret FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0
+UNION ALL SELECT 'grouped', count(*), NULL, NULL, NULL FROM orders WHERE false UNION ALL SELECT 'named', o_orderkey, o_custkey, NULL, '•••' FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_totalprice < 0 OR c_custkey IS NULL""")
+def sample_written_sql(spark, d):
+    """All rows that written checks count, their classified columns masked, in whatever column a subquery puts them; a check of groups shows none."""
+    rows = {}
+    with checks.named({n: _t(spark, d, n) for n in ("orders", "customer")}):
+        for of, text in {
+            "joined": "SELECT count(*) FROM orders o JOIN (SELECT c_custkey, upper(c_name) AS secret, c_acctbal FROM customer) c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal < 0",
+            "named": "WITH c AS (SELECT c_custkey, c_name AS secret FROM customer) SELECT count(o_orderkey) FROM orders LEFT JOIN c ON o_custkey = c_custkey WHERE o_totalprice < 0 OR c_custkey IS NULL",
+            "grouped": "SELECT o_custkey, count(*) FROM orders WHERE o_totalprice > 0 GROUP BY 1",
+        }.items():
+            rows[of] = sample.failing_rows_of(spark.sql(text), ["c_name"], n=None)
+    none = F.lit(None).cast("string")
+    shown = [df.select(F.lit(of).alias("of"), "o_orderkey", "o_custkey", none.alias("c_name"), "secret") for of, df in rows.items() if df is not None]
+    refused = spark.range(1).select(F.lit("grouped").alias("of"), F.lit(0).cast("long").alias("o_orderkey"), F.lit(None).cast("long").alias("o_custkey"), none.alias("c_name"), none.alias("secret"))
+    return reduce(DataFrame.unionByName, shown + ([refused] if rows["grouped"] is None else []))
+
+
+_PROFILED = ["user_id", "event_type", "value", "props"]
+_UNTIL = " UNION ALL ".join(f"""SELECT run_at, 'events' AS table_name, '{c}' AS column_name, CAST(sum(n) OVER w AS BIGINT) AS rows, CAST(sum(missing) OVER w AS BIGINT) AS nulls, CAST(sum(new) OVER w AS BIGINT) AS distinct_count
+FROM (SELECT CAST(ts AS DATE) AS run_at, count(*) AS n, count(*) - count({c}) AS missing FROM events GROUP BY 1) JOIN (SELECT CAST(ts AS DATE) AS run_at, count(DISTINCT CASE WHEN CAST(ts AS DATE) = f THEN {c} END) AS new FROM events LEFT JOIN (SELECT {c}, min(CAST(ts AS DATE)) AS f FROM events GROUP BY 1) USING ({c}) GROUP BY 1) USING (run_at) WINDOW w AS (ORDER BY run_at)""" for c in _PROFILED)
+
+
+@query(_UNTIL)
+def profile_until_day(spark, d):
+    """The exact profile of all rows up to each day."""
+    return profile.cumulative_exact(_t(spark, d, "events"), _PROFILED, "events", "ts")
+
+
+@query(f"SELECT run_at, table_name, column_name, rows, nulls, true AS near FROM ({_UNTIL})")
+def profile_until_day_sketched(spark, d):
+    """The same from stored sketches of single days; a distinct count is near if it is within six standard errors of the exact one."""
+    at, events = _scratch(spark), _t(spark, d, "events")
+    profile.sketches(events, _PROFILED, "events", "ts").write.partitionBy("run_at").parquet(at)
+    told = profile.cumulative(spark.read.parquet(at))
+    exact = profile.cumulative_exact(events, _PROFILED, "events", "ts").select("run_at", "column_name", "distinct_count")
+    near = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= 6 * F.col("standard_error") * F.col("distinct_count")
+    return told.join(exact, ["run_at", "column_name"]).select("run_at", "table_name", "column_name", "rows", "nulls", near.alias("near"))
+
+
 # --- deliveries
 
 

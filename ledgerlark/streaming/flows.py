@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlark.operators import deliver, rollup
 from ledgerlark.plans.flows import Flow, inbox_rows
 from ledgerlark.plans.tables import BucketedTable
+from ledgerlark.sources.log import ChangeLog
 
 
 def trigger(flow: Flow) -> dict[str, str]:
@@ -32,6 +33,18 @@ def slow_batches(flow: Flow, durations: Mapping[int, int]) -> list[str]:
     return [f"{flow.id}: batch {n} took {ms} ms, more than {most}" for n, ms in durations.items() if most and ms > most]
 
 
+def slow(query: StreamingQuery, flow: Flow) -> list[str]:
+    """slow_batches of a stream's latest batches, running or stopped."""
+    return slow_batches(flow, {p.batchId: p.durationMs.get("triggerExecution", 0) for p in query.recentProgress})
+
+
+def change_log(spark: SparkSession, snapshot: str, log: str, columns: str, positions: str, flow: Flow | None = None) -> DataFrame:
+    """A stream of a table's snapshot and then its log, in batches of the flow's rowsPerSecond; columns in DDL. See `sources.log.ChangeLog`."""
+    spark.dataSource.register(ChangeLog)
+    reader = spark.readStream.format(ChangeLog.name()).schema(f"snapshot long, op int, lsn long, seq long, {columns}")
+    return reader.options(snapshot=snapshot, log=log, positions=positions, **(reader_options(flow) if flow else {})).load()
+
+
 def into_inbox(changes: DataFrame, flow: Flow, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append a stream of changes to the inbox of the flow's target."""
     writer = inbox_rows(changes, flow).withColumn("landed_at", F.current_timestamp()).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
