@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -184,36 +185,47 @@ def _edit(g: Golden, e: Entity, system: str, kind: str, ms: int, before: dict |
 OUT = "key string, seq long, system string, outcome string, rev long, record string, changed string, skip string, conflicts string"
 
 
-def _rows(g: Golden, e: Entity, key: str, rows: pd.DataFrame) -> list[tuple]:
-    out = []
-    for r in rows.sort_values("seq").itertuples(index=False):
-        outcome, log = decide(g, e, r.system, r.row_kind, int(r.source_ms), json.loads(r.row), json.loads(r.unmapped) if r.unmapped else ())
-        record = None if g.values is None else json.dumps(g.values, sort_keys=True, ensure_ascii=False)
-        out.append((key, int(r.seq), r.system, outcome, g.rev, record, g.changed, g.skip, json.dumps(log, ensure_ascii=False) if log else None))
-    return out
+def _decided(g: Golden, e: Entity, key: str | None, r: Mapping[str, Any]) -> tuple:
+    outcome, log = decide(g, e, r["system"], r["row_kind"], int(r["source_ms"]), json.loads(r["row"]), json.loads(r["unmapped"]) if r["unmapped"] else ())
+    record = None if g.values is None else json.dumps(g.values, sort_keys=True, ensure_ascii=False)
+    return key, int(r["seq"]), r["system"], outcome, g.rev, record, g.changed, g.skip, json.dumps(log, ensure_ascii=False) if log else None
+
+
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+
+
+def as_batch(rows: Sequence[tuple], ddl: str) -> pa.RecordBatch:
+    """Rows as an Arrow batch of the columns of ddl. A task builds a key's rows in plain Python: a frame a key costs more than its decisions."""
+    columns = [c.split() for c in ddl.split(", ")]
+    cells = list(zip(*rows, strict=True)) or [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(v, _ARROW[t]) for v, (_, t) in zip(cells, columns, strict=True)], [n for n, _ in columns])
 
 
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
+def _dicts(pdf: pd.DataFrame) -> list[dict]:
+    columns = [[None if x != x else x for x in pdf[c].tolist()] for c in pdf]
+    return [dict(zip(pdf.columns, r, strict=True)) for r in zip(*columns, strict=True)]
+
+
 def replay(inbox: DataFrame, entity: Entity) -> DataFrame:
     """Outcome and golden revision of every inbox row (key, seq, system, row_kind, source_ms, row as JSON, unmapped as JSON), in a batch.
 
     A key's rows pass one task in order, which holds the key's state and a batch of rows, not its history.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, g = object(), Golden()
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for k, rows in pdf.groupby("key", sort=False, dropna=False):
-                k = None if pd.isna(k) else k
-                if k != key:
-                    key, g = k, Golden()
-                out += _rows(g, entity, k, rows)
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            for r in batch.to_pylist():
+                if r["key"] != key:
+                    key, g = r["key"], Golden()
+                out.append(_decided(g, entity, key, r))
+            yield as_batch(out, OUT)
 
-    return inbox.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, OUT)
+    return inbox.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, OUT)
 
 
 class _Merging(StatefulProcessor):
@@ -261,8 +273,8 @@ class _Merging(StatefulProcessor):
             self.handle.registerTimer(min(r[4] for r in rows) + EXPECT_MS)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        g = self.load()
-        yield pd.DataFrame(_rows(g, self.entity, key[0], pd.concat(list(rows))), columns=_COLUMNS)
+        g, found = self.load(), [r for pdf in rows for r in _dicts(pdf)]
+        yield pd.DataFrame([_decided(g, self.entity, key[0], r) for r in sorted(found, key=lambda r: r["seq"])], columns=_COLUMNS)
         self.save(g, timerValues.getCurrentProcessingTimeInMs() if self.expires else 0)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
