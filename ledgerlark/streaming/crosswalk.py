@@ -16,12 +16,12 @@ from collections.abc import Iterator, MutableMapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from .golden import ALL, EXPECT_MS, Entity, Golden, decide
+from .golden import ALL, EXPECT_MS, Entity, Golden, as_batch, decide
 
 #: What an inbox row may be besides a row kind: a person's decision on a held code (row: {"key": record or null for one of its own}).
 LINK = "LINK"
@@ -183,9 +183,11 @@ def settle(family: Family, rules: Rules, row: dict) -> list[tuple]:
 # --- in a batch, and as a stream
 
 
-def _dicts(pdf: pd.DataFrame) -> list[dict]:
-    pdf = pdf.sort_values(["seq", "nth"] if "nth" in pdf else ["seq"])
-    return pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+_routed, _told = Row(*_ROUTED), Row(*_OUT)
+
+
+def _in_turn(rows: Iterator[Row], *by: str) -> list[dict]:
+    return sorted((r.asDict() for r in rows), key=lambda r: [r[c] for c in by])
 
 
 def _rows(inbox: DataFrame) -> DataFrame:
@@ -195,56 +197,48 @@ def _rows(inbox: DataFrame) -> DataFrame:
 def replay(inbox: DataFrame, rules: Rules) -> DataFrame:
     """What comes of every inbox row (system, code, seq, row_kind, source_ms, row and unmapped as JSON), in a batch; held rows that were taken again have a row of their own for that."""
 
-    def grouped(batches: Iterator[pd.DataFrame], by: list[str], new, take, columns: list[str]) -> Iterator[pd.DataFrame]:
+    def grouped(batches: Iterator[pa.RecordBatch], by: list[str], new, take, ddl: str) -> Iterator[pa.RecordBatch]:
         now, state = None, None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for key, rows in pdf.groupby(by, sort=False, dropna=False):
-                if key != now:
+            for row in batch.to_pylist():
+                if (key := [row[c] for c in by]) != now:
                     now, state = key, new()
-                for row in _dicts(rows):
-                    out += take(state, row)
-            yield pd.DataFrame(out, columns=columns)
+                out += take(state, row)
+            yield as_batch(out, ddl)
 
-    first = lambda batches: grouped(batches, ["root", "code"], Code, lambda s, row: _numbered(route(s, rules, row), row), _ROUTED)
-    second = lambda batches: grouped(batches, ["family"], lambda: Family({}, {}, {}, {}), lambda s, row: settle(s, rules, row), _OUT)
-    routed = _rows(inbox).repartition("root", "code").sortWithinPartitions("root", "code", "seq").mapInPandas(first, ROUTED)
-    return routed.repartition("family").sortWithinPartitions("family", "seq", "nth").mapInPandas(second, OUT)
+    first = lambda batches: grouped(batches, ["root", "code"], Code, lambda s, row: _numbered(route(s, rules, row), row), ROUTED)
+    second = lambda batches: grouped(batches, ["family"], lambda: Family({}, {}, {}, {}), lambda s, row: settle(s, rules, row), OUT)
+    routed = _rows(inbox).repartition("root", "code").sortWithinPartitions("root", "code", "seq").mapInArrow(first, ROUTED)
+    return routed.repartition("family").sortWithinPartitions("family", "seq", "nth").mapInArrow(second, OUT)
 
 
 class _Routing(StatefulProcessor):
-    """A code's state: its family, and a map of the last row of each system."""
+    """A code's state: its family, and the last row of each system, of which a code has few."""
 
     def __init__(self, rules: Rules):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.family = handle.getValueState("family", "family string")
-        self.rows = handle.getMapState("rows", "system string", "row string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        code = Code(self.family.get()[0] if self.family.exists() else None, {k[0]: json.loads(v[0]) for k, v in self.rows.iterator()})
-        before = {s: r["seq"] for s, r in code.rows.items()}
-        out = [x for row in _dicts(pd.concat(list(rows))) for x in _numbered(route(code, self.rules, row), row)]
-        if code.family:
-            self.family.update((code.family,))
-        for system in before.keys() - code.rows.keys():
-            self.rows.removeKey((system,))
-        for system, row in code.rows.items():
-            if before.get(system) != row["seq"]:
-                self.rows.updateValue((system,), (json.dumps(row, ensure_ascii=False),))
-        yield pd.DataFrame(out, columns=_ROUTED)
+        self.code = handle.getValueState("code", "family string, rows string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        found = self.code.get()
+        code = Code(found[0], json.loads(found[1])) if found else Code()
+        out = [x for row in _in_turn(rows, "seq") for x in _numbered(route(code, self.rules, row), row)]
+        self.code.update((code.family, json.dumps(code.rows, ensure_ascii=False)))
+        return (_routed(*x) for x in out)
 
 
 class _Stored(MutableMapping):
-    """A map state as a mapping of JSON values; what is read is kept, what is set is written by flush()."""
+    """A map state as a mapping of JSON values; what is read is kept, what is set is written by flush(). A new key's map is empty and not asked."""
 
-    def __init__(self, state: MapState, load=lambda x: x, dump=lambda x: x):
-        self.state, self.load, self.dump, self.read, self.changed = state, load, dump, {}, set()
+    def __init__(self, state: MapState, new: bool, load=lambda x: x, dump=lambda x: x):
+        self.state, self.load, self.dump, self.read, self.changed, self.new = state, load, dump, {}, set(), new
 
     def __getitem__(self, key: str) -> Any:
         if key not in self.read:
-            found = self.state.getValue((key,)) if self.state.exists() and self.state.containsKey((key,)) else None
+            found = None if self.new else self.state.getValue((key,))
             self.read[key] = None if found is None else self.load(json.loads(found[0]))
         if self.read[key] is None:
             raise KeyError(key)
@@ -258,7 +252,7 @@ class _Stored(MutableMapping):
         self[key] = None
 
     def __iter__(self) -> Iterator[str]:
-        stored = [k[0] for k in self.state.keys()] if self.state.exists() else []
+        stored = [] if self.new else [k[0] for k in self.state.keys()]
         names = dict.fromkeys([*stored, *self.read])
         return iter([k for k in names if self.get(k) is not None])
 
@@ -270,7 +264,7 @@ class _Stored(MutableMapping):
             value = self.read[key]
             if value is not None:
                 self.state.updateValue((key,), (json.dumps(self.dump(value), ensure_ascii=False),))
-            elif self.state.exists() and self.state.containsKey((key,)):
+            elif not self.new:
                 self.state.removeKey((key,))
 
 
@@ -281,21 +275,25 @@ class _Settling(StatefulProcessor):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "known boolean")
         self.maps = [handle.getMapState(n, "name string", "value string") for n in ("records", "codes", "held", "of")]
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        new = self.known.get() is None
         records, *others = self.maps
-        family = Family(_Stored(records, lambda x: Golden(**x), lambda g: g.__dict__), *map(_Stored, others))
-        out = [x for row in _dicts(pd.concat(list(rows))) for x in settle(family, self.rules, row)]
+        family = Family(_Stored(records, new, lambda x: Golden(**x), lambda g: g.__dict__), *[_Stored(m, new) for m in others])
+        out = [x for row in _in_turn(rows, "seq", "nth") for x in settle(family, self.rules, row)]
         for m in (family.records, family.codes, family.held, family.of):
             m.flush()
-        yield pd.DataFrame(out, columns=_OUT)
+        if new:
+            self.known.update((True,))
+        return (_told(*x) for x in out)
 
 
 def stream(inbox: DataFrame, rules: Rules) -> DataFrame:
     """The same of a stream of inbox rows in the order of seq, batch after batch; both states live in RocksDB (see flows.rocksdb)."""
-    routed = _rows(inbox).groupBy("root", "code").transformWithStateInPandas(_Routing(rules), ROUTED, "append", "None")
-    return routed.groupBy("family").transformWithStateInPandas(_Settling(rules), OUT, "append", "None")
+    routed = _rows(inbox).groupBy("root", "code").transformWithState(_Routing(rules), ROUTED, "append", "None")
+    return routed.groupBy("family").transformWithState(_Settling(rules), OUT, "append", "None")
 
 
 def still_held(settled: DataFrame) -> DataFrame:
