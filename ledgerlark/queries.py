@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlark.functions import expressions, rules
 from ledgerlark.operators import agreement, catalog, cdc, classify, deliver, profile, rollup, sample, versions
@@ -998,6 +999,13 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(_t(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
+def _part_by_part(spark: SparkSession, parts: list[DataFrame], folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Append parts to a folder and let its stream take each of them, in as many files as it has, before the next one comes; the stream goes on from its checkpoint."""
+    for p in parts:
+        p.write.mode("append").parquet(folder)
+        streams.run_once(lambda: start(spark.readStream.schema(parts[0].schema).parquet(folder)))
+
+
 @query(SQL["flow_inbox"])
 def flow_inbox_streamed(spark, d):
     at = _scratch(spark)
@@ -1038,10 +1046,7 @@ def flow_totals_retracted(spark, d):
     delete = lambda df, seq: df.withColumn("op", F.lit("delete")).withColumn("seq", F.lit(seq))
     moved = orders.where("id % 4 = 1").select("id", (g + 50).alias("g"), F.when(k % 8 == 1, F.col("x") * 2).otherwise(F.col("x")).cast("decimal(15,2)").alias("x"))
     parts = [upsert(orders.where("id % 2 <> 0"), 1), delete(orders.where("id % 4 = 0"), 2).unionByName(upsert(moved, 3)), delete(orders.where("g = 7"), 4)]
-    for p in parts:
-        p.coalesce(1).write.mode("append").parquet(f"{at}/changes")
-    changes = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/changes")
-    streams.run_once(lambda: streams.keep_totals(changes, lines, totals, group, of, f"{at}/progress", once=True))
+    _part_by_part(spark, parts, f"{at}/changes", lambda changes: streams.keep_totals(changes, lines, totals, group, of, f"{at}/progress", once=True))
     return rollup.shown(totals.read(), group, of).select("entry", "lines", "priced", *[F.col(c).cast("double").alias(c) for c in ("amount", "least", "most", "mean")])
 
 
@@ -1059,10 +1064,8 @@ def deliveries_streamed(spark, d):
         told(own.where("k % 3 = 0 and k % 2 = 0"), ",name,", 1), told(c.where("k % 7 = 0 and k % 2 <> 0").withColumn("segment", F.lit(None).cast("string")), "*", 1),
         told(c.where("k % 3 = 0 and k % 5 = 0 and k % 2 = 0"), "*", 2, True), told(none.where("k % 3 = 1 and k % 5 = 1 and k % 2 = 0"), "*", 2), told(c.where("k % 3 = 2 and k % 2 <> 0 and k % 7 <> 0"), ",name,", 2),
     ]
-    for p in parts:
-        p.coalesce(1).write.mode("append").parquet(f"{at}/revisions")
-    revisions = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/revisions")
-    streams.run_once(lambda: streams.out_to_table(revisions, table, "shop", ["name", "segment"], f"{at}/progress", once=True, match=["name", "segment"]))
+    told_of = [parts[0].unionByName(parts[1]), parts[2].unionByName(parts[3]), parts[4]]
+    _part_by_part(spark, told_of, f"{at}/revisions", lambda revisions: streams.out_to_table(revisions, table, "shop", ["name", "segment"], f"{at}/progress", once=True, match=["name", "segment"]))
     return table.read()
 
 

@@ -19,7 +19,7 @@ from ledgerlark.functions import expressions, rules
 from ledgerlark.operators import agreement, catalog, cdc, deliver, profile, sample
 from ledgerlark.plans import checks, flows, scoring
 from ledgerlark.plans.results import ResultStore, RunStore, land, upserted
-from ledgerlark.queries import _RESULT, ARRIVAL, CUSTOMERS, DAY, FLOW, ORDERS, _catalogued, _contracts, _intents, _LOG, _r, _results, _scratch, _series, _t, query
+from ledgerlark.queries import _RESULT, ARRIVAL, CUSTOMERS, DAY, FLOW, ORDERS, _catalogued, _contracts, _intents, _LOG, _part_by_part, _r, _results, _scratch, _series, _t, query
 from ledgerlark.sources import contracts, relations
 from ledgerlark.streaming import crosswalk, golden
 from ledgerlark.streaming import flows as streams
@@ -174,12 +174,14 @@ FROM c LEFT JOIN o USING (k) WHERE alone OR k % 100 = 0""")
 def crosswalk_streamed(spark, d):
     """From the inbox to golden records, a part a batch: part rows wait for their owner's row, held customers for a person's decision, and both are taken again."""
     at, parts = _scratch(spark), _walk_inbox(spark, d)
-    for p in parts:
-        p.coalesce(1).write.mode("append").parquet(f"{at}/inbox")
-    inbox = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/inbox")
-    out = crosswalk.stream(inbox, _FAMILY)
+
+    def go_on(inbox: DataFrame) -> StreamingQuery:
+        settled = crosswalk.stream(inbox, _FAMILY)
+        return settled.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+
     with streams.rocksdb(spark):
-        streams.run_once(lambda: out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start())
+        _part_by_part(spark, parts, f"{at}/inbox", go_on)
+    out = crosswalk.stream(spark.readStream.schema(parts[0].schema).parquet(f"{at}/inbox"), _FAMILY)
     return _walked(spark.read.schema(out.schema).parquet(f"{at}/out"))
 
 
