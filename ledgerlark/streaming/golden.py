@@ -368,21 +368,54 @@ def awaited(rows: DataFrame, expected: DataFrame, golden: DataFrame, code: str,
     record whose deletion is awaited (field `*`) is answered by no row.
     """
     timed = "ms" in expected.columns and "ms" in rows.columns
-    said = rows.select(F.col(code).alias("_code"), *(["ms"] if timed else []), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])))
-    e = expected.select("key", F.col("field").alias("_field"), F.col("value").alias("_value"), *([F.col("ms").alias("_sent")] if timed else []))
-    fresh = (F.col("_sent") > F.col("ms") - EXPECT_MS) if timed else F.lit(True)
-    met = said.join(e, (F.col("field") == F.col("_field")) & F.col("value").eqNullSafe(F.col("_value")))
-    met = met.where(fresh).groupBy("_code", *(["ms"] if timed else []), "key").agg(F.count_distinct("field").alias("_met"))
-    # What a record awaits is the same for all rows unless some of it is too old for one of them.
-    if timed:
-        still = met.select("_code", "ms", "key").join(e, "key").where(fresh)
-        wanted = still.groupBy("_code", "ms", "key").agg(F.count_distinct("_field").alias("_wanted"), F.bool_or(F.col("_field") == ALL).alias("_gone"))
+    asks = _asks(expected.join(golden.where(F.col(code).isNull()).select("key"), "key", "left_semi"), fields, timed)
+    said = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])
+    names = asks.select("names").distinct()  # the sets of fields that records await together
+    told = rows.select(F.col(code).alias("_code"), *(["ms"] if timed else []), said.alias("_said")).crossJoin(F.broadcast(names))
+    told = told.select("_code", *(["ms"] if timed else []), "names", F.to_json(F.transform("names", lambda n: F.col("_said")[n])).alias("cells"))
+    if not timed:
+        of = asks.groupBy("names", "cells").agg(F.count_distinct("key").alias("_n"), F.min("key").alias("key"))
+        hits = told.join(of, ["names", "cells"])
     else:
-        wanted = e.groupBy("key").agg(F.count_distinct("_field").alias("_wanted"), F.bool_or(F.col("_field") == ALL).alias("_gone"))
-    hits = met.join(wanted.where("not _gone"), [*(["_code", "ms"] if timed else []), "key"]).where("_met = _wanted")
-    free = golden.where(F.col(code).isNull()).select("key")
-    hits = hits.join(free, "key", "left_semi").groupBy("_code").agg(F.count_distinct("key").alias("_n"), F.min("key").alias("key"))
-    return hits.where("_n = 1").select(F.col("_code").alias(code), "key")
+        hits = _active(told, asks)
+    # Of a code's rows each may be answered by several records (_n), or by different ones.
+    hits = hits.groupBy("_code").agg(F.max("_n").alias("_n"), F.min("key").alias("key"), F.max("key").alias("_other"))
+    return hits.where("_n = 1 and key = _other").select(F.col("_code").alias(code), "key")
+
+
+def _asks(expected: DataFrame, fields: Sequence[str], timed: bool) -> DataFrame:
+    """names, cells and key: all that a record awaits, as its fields in order and a text of their values, a row for each choice of values; with the times from (null: ever) and until which it awaits just that."""
+    sent = F.col("ms").cast("long") if timed else F.lit(0).cast("long")
+    entry = F.struct(sent.alias("sent"), "field", F.col("value").cast("string").alias("value"))
+    of = expected.where(sent.isNotNull()).groupBy("key").agg(F.collect_set(entry).alias("all"))
+    of = of.select("key", "all", F.array_sort(F.array_distinct("all.sent")).alias("ends"))
+    of = of.select("key", "all", "ends", F.posexplode("ends").alias("at", "last"))
+    fresh = F.filter("all", lambda x: x["sent"] >= F.col("last"))
+    of = of.select("key", F.when(F.col("at") > 0, F.get("ends", F.col("at") - 1) + EXPECT_MS).alias("from"), (F.col("last") + EXPECT_MS).alias("until"), fresh.alias("fresh"))
+    of = of.withColumn("names", F.array_sort(F.array_distinct("fresh.field"))).where(F.size(F.array_except("names", F.array(*[F.lit(f) for f in fields]))) == 0)
+    values = lambda n: F.array_distinct(F.transform(F.filter("fresh", lambda x: x["field"] == n), lambda x: x["value"]))
+    more = lambda made, n: F.flatten(F.transform(made, lambda m: F.transform(values(n), lambda v: F.concat(m, F.array(v)))))
+    choices = F.aggregate("names", F.array(F.array().cast("array<string>")), more)
+    return of.select("names", F.explode(choices).alias("cell"), "key", "from", "until").withColumn("cells", F.to_json("cell")).drop("cell")
+
+
+def _active(told: DataFrame, asks: DataFrame) -> DataFrame:
+    """_code, key and _n of the rows told that some asks of the same names and cells are met by at their ms: how many, and which, where it is one.
+
+    Asks come and go in time, so a running count tells how many there are, and a running
+    exclusive or of their digests which one; no row is paired with all that ask the same.
+    """
+    digest = F.xxhash64("key")
+    event = lambda df, at, side, n, code: df.select("names", "cells", at.alias("at"), F.lit(side).alias("side"), F.lit(n).alias("n"), (digest if n else F.lit(0).cast("long")).alias("which"), code.alias("_code"))
+    none = F.lit(None).cast(told.schema["_code"].dataType)
+    events = event(asks, F.coalesce("from", F.lit(-(1 << 63))), 0, 1, none).unionByName(event(asks, F.col("until"), 0, -1, none))
+    events = events.unionByName(event(told.where("ms is not null"), F.col("ms").cast("long"), 1, 0, F.col("_code")))
+    upto = Window.partitionBy("names", "cells").orderBy("at", "side")
+    found = events.withColumns({"_n": F.sum("n").over(upto), "_which": F.bit_xor("which").over(upto)}).where("side = 1 and _n > 0")
+    a = asks.select("names", "cells", "key", digest.alias("_which"), "from", "until")
+    one = found.where("_n = 1").select("names", "cells", "_which", "at", "_code", "_n").join(a, ["names", "cells", "_which"])
+    one = one.where((F.col("from").isNull() | (F.col("at") >= F.col("from"))) & (F.col("at") < F.col("until")))
+    return one.select("_code", "key", "_n").unionByName(found.where("_n > 1").select("_code", F.lit(None).cast(asks.schema["key"].dataType).alias("key"), "_n"))
 
 
 def place(rows: DataFrame, golden: DataFrame, walk: Crosswalk, system: str, expected: DataFrame, fields: Sequence[str], tombstones: DataFrame | None = None) -> DataFrame:
