@@ -34,7 +34,21 @@ def is_citizen_number(s: Column) -> Column:
 
 def failure_reason(failed: Column, total: Column, dimension: Column) -> Column:
     """`f/r rows failed (p%) dimension=d`."""
-    return F.format_string("%d/%d rows failed (%.2f%%) dimension=%s", failed, total, F.coalesce(failed / F.nullif(total, F.lit(0)), F.lit(0.0)) * 100, dimension)
+    percent = two_places(F.coalesce(failed / F.nullif(total, F.lit(0)), F.lit(0.0)) * 100)
+    return F.format_string("%d/%d rows failed (%s%%) dimension=%s", failed, total, percent, dimension)
+
+
+def two_places(x: Column) -> Column:
+    """A double of 0 or more below 2^50 as text with two decimals, rounded by its exact binary value and halves to even, as C's printf does. Java's %.2f rounds the shortest decimal that reads as the double, and halves up."""
+    whole, ones, half = F.floor(x), (1 << 53) - 1, F.lit(1 << 52)
+    scaled = (x - whole) * float(1 << 53)
+    bits = F.floor(scaled)  # below 2^53, so a hundred of them fit a long
+    below = F.floor((scaled - bits) * float(1 << 53)) * 100  # what values under 1 have beyond
+    more = bits * 100 + F.shiftright(below, 53)
+    cents, rest = F.shiftright(more, 53), more.bitwiseAND(F.lit(ones))
+    up = (rest > half) | ((rest == half) & ((below.bitwiseAND(F.lit(ones)) > 0) | (cents % 2 == 1)))
+    cents = whole * 100 + cents + up.cast("long")
+    return F.format_string("%d.%02d", F.floor((cents - cents % 100) / 100), cents % 100)
 
 
 def root_cause(trace: Column) -> Column:
