@@ -18,6 +18,8 @@ def from_snapshots(snapshots: DataFrame, key: str, attributes: list[str], day: s
     A version begins where an attribute differs from the snapshot before, null-safe; the
     first one is valid from the beginning of time.
     """
+    # A count of their own keeps tasks small: by compressed bytes, of which repeated snapshots have few, many partitions would become one.
+    snapshots = snapshots.repartition(int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     by_day = Window.partitionBy(key).orderBy(day)
     before = F.lag(_row(attributes)).over(by_day)
     first = F.row_number().over(by_day) == 1
