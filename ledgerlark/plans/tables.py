@@ -84,7 +84,9 @@ class BucketedTable:
     def _commit(self, rows: DataFrame, touched: Iterable[int], batch: tuple[str, int] | None = None) -> None:
         version = uuid.uuid4().hex
         placed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema], self._bucket().alias("bucket"))
-        placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{version}")
+        # A large bucket is written by several tasks, as files of its own; small ones are put together by adaptive execution.
+        pieces = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        placed.repartition("bucket", F.pmod(F.hash(*self.keys), F.lit(pieces))).write.partitionBy("bucket").parquet(f"{self.folder}/{version}")
         manifest = self._manifest()
         for b in touched:  # of a bounded number
             if exists(self.spark, f"{self.folder}/{version}/bucket={b}"):
