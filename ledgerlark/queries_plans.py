@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import shutil
 import tempfile
-import uuid
+import zipfile
 from collections.abc import Sequence
 from dataclasses import replace
 from functools import reduce
 from pathlib import Path
+from urllib.parse import urlsplit
 
 import yaml
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,18 +121,50 @@ def store_replaces_day(spark, d):
 
 
 def _database(spark: SparkSession, d: str) -> dict:
-    """Orders in a database in the memory of this JVM, as a contract's server with a read in parts."""
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    """Orders in a database in the shared folder, as a contract's server with a read in parts.
+
+    The database is open in the driver's JVM, whose engine imports the files that Spark writes; one process alone may write a Derby database.
+    """
+    folder = _scratch(spark)
+    at = urlsplit(folder).path
+    url = f"jdbc:derby:{at}/orders;create=true"
     orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    orders.repartition(4).write.format("jdbc").options(url=url, dbtable="orders", batchsize=5000).mode("overwrite").save()
+    jvm = spark.sparkContext._jvm
+    written = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    orders.write.options(timestampFormat=written, timestampNTZFormat=written, timeZone=jvm.java.util.TimeZone.getDefault().getID()).csv(f"{folder}/files")
+    spark.createDataFrame([], orders.schema).write.format("jdbc").options(url=url, dbtable="orders").save()
+    connection = jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        load = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'ORDERS', ?, NULL, NULL, 'UTF-8', 0)")
+        for path in sorted(glob.glob(f"{at}/files/*.csv")):
+            load.setString(1, path)
+            load.execute()
+    finally:
+        connection.close()
     return {"type": "jdbc", "url": url, "options": {"partitionColumn": "o_orderkey", "numPartitions": "4", "fetchsize": "5000"}}
 
 
+def _published(spark: SparkSession, server: dict) -> dict:
+    """The server with its database shut and in an archive beside it, from which any number of JVMs read at once."""
+    at = server["url"].removeprefix("jdbc:derby:").split(";")[0]
+    try:
+        spark.sparkContext._jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{at};shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # what Derby says once a database is shut
+            raise
+    with zipfile.ZipFile(f"{at}.zip", "w", zipfile.ZIP_STORED) as archive:  # stored: a page is read without what comes before it
+        for path in sorted(glob.glob(f"{at}/**", recursive=True)):
+            archive.write(path, os.path.relpath(path, os.path.dirname(at)))
+    shutil.rmtree(at)
+    shutil.rmtree(f"{os.path.dirname(at)}/files")
+    return server | {"url": f"jdbc:derby:jar:({at}.zip){os.path.basename(at)}"}
+
+
 @query("""SELECT o_custkey % 5 AS part, count(*) AS orders, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1998-03-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-03-02 00:00:00' GROUP BY 1
 UNION ALL SELECT -1, count(*), CAST(round(sum(o_totalprice), 2) AS DOUBLE) FROM orders""")
 def jdbc_orders(spark, d):
     """A day's orders, whose window the database applies, and all of them, read in four parts of their key."""
-    read = relations.resolver(spark, _database(spark, d))
+    read = relations.resolver(spark, _published(spark, _database(spark, d)))
     total = F.round(F.sum("o_totalprice"), 2).alias("total")
     day = relations.windowed(read("orders"), "o_orderdate", "1998-03-01")
     return day.groupBy((F.col("o_custkey") % 5).alias("part")).agg(F.count(F.lit(1)).alias("orders"), total).unionByName(read("orders").agg(F.lit(-1).cast("long").alias("part"), F.count(F.lit(1)).alias("orders"), total))
