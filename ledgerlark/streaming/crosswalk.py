@@ -12,16 +12,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator, MutableMapping, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
+from operator import itemgetter
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from .golden import ALL, EXPECT_MS, Entity, Golden, as_batch, decide
+from .golden import ALL, EXPECT_MS, Entity, Golden, _dicts, as_batch, decide
 
 #: What an inbox row may be besides a row kind: a person's decision on a held code (row: {"key": record or null for one of its own}).
 LINK = "LINK"
@@ -29,6 +33,8 @@ _HELD, _WITHDRAW = "HELD", "WITHDRAW"
 ROUTED = "family string, seq long, nth int, system string, code string, row_kind string, source_ms long, row string, unmapped string, reason string"
 OUT = "key string, seq long, nth int, system string, code string, outcome string, reason string, rev long, record string, changed string, skip string, conflicts string"
 _ROUTED, _OUT = ([c.split()[0] for c in s.split(", ")] for s in (ROUTED, OUT))
+_said = itemgetter(*_ROUTED[3:])
+_hashed, _plain, _sorted = json.JSONEncoder(ensure_ascii=False, default=str).encode, json.JSONEncoder(ensure_ascii=False).encode, json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
 
 
 @dataclass(frozen=True)
@@ -56,7 +62,7 @@ class Rules:
 
 
 def _digest(parts: Sequence[Any]) -> str:
-    return hashlib.sha256(json.dumps(parts, ensure_ascii=False, default=str).encode()).hexdigest()[:24]
+    return hashlib.sha256(_hashed(parts).encode()).hexdigest()[:24]
 
 
 def _root(system: str) -> str:
@@ -100,7 +106,7 @@ def route(code: Code, rules: Rules, row: dict) -> list[dict]:
 
 def _numbered(rows: list[dict], of: dict) -> list[tuple]:
     """Released rows follow the row that released them."""
-    return [tuple({**r, "seq": of["seq"], "nth": i}[c] for c in _ROUTED) for i, r in enumerate(rows)]
+    return [(r["family"], of["seq"], i, *_said(r)) for i, r in enumerate(rows)]
 
 
 # --- the second state: a family
@@ -172,7 +178,7 @@ def settle(family: Family, rules: Rules, row: dict) -> list[tuple]:
     g = family.records.get(key) or Golden()
     outcome, log = decide(g, rules.entity, system, kind, int(row["source_ms"]), fields, json.loads(row["unmapped"]) if row["unmapped"] else ())
     family.records[key] = g
-    record = None if g.values is None else json.dumps(g.values, sort_keys=True, ensure_ascii=False)
+    record = None if g.values is None else _sorted(g.values)
     out = [(key, row["seq"], row["nth"], system, row["code"], outcome, None, g.rev, record, g.changed, g.skip, json.dumps(log, ensure_ascii=False) if log else None)]
     if known is None and (held := family.held.pop(at, None)):
         for i, r in enumerate(rules.in_order({s: r for s, r in held.items() if s != system}), 1):
@@ -183,11 +189,8 @@ def settle(family: Family, rules: Rules, row: dict) -> list[tuple]:
 # --- in a batch, and as a stream
 
 
-_routed, _told = Row(*_ROUTED), Row(*_OUT)
-
-
-def _in_turn(rows: Iterator[Row], *by: str) -> list[dict]:
-    return sorted((r.asDict() for r in rows), key=lambda r: [r[c] for c in by])
+def _in_turn(frames: Iterator[pd.DataFrame], *by: str) -> list[dict]:
+    return sorted((r for pdf in frames for r in _dicts(pdf)), key=itemgetter(*by))
 
 
 def _rows(inbox: DataFrame) -> DataFrame:
@@ -213,87 +216,152 @@ def replay(inbox: DataFrame, rules: Rules) -> DataFrame:
     return routed.repartition("family").sortWithinPartitions("family", "seq", "nth").mapInArrow(second, OUT)
 
 
-class _Routing(StatefulProcessor):
-    """A code's state: its family, and the last row of each system, of which a code has few."""
+def _paged(rows: DataFrame, by: Sequence[str], pages: int) -> DataFrame:
+    return rows.withColumn("page", F.pmod(F.xxhash64(*by), F.lit(pages)).cast("int"))
+
+
+class _Slots:
+    """A page's state: entries by name (no line breaks), dealt over slots that are read and written whole, lines of names and of JSON values. A batch touches only slots that its rows name, parses only entries that it asks for, and asks nothing of a new page."""
+
+    def __init__(self, state: MapState, number: int):
+        self.state, self.number = state, number
+        self.slots, self.lines, self.values, self.changed = {}, {}, {}, set()
+        self.new = not state.exists()
+
+    def of(self, kind: str, key: str | None) -> str:
+        if (at := (kind, key)) not in self.slots:
+            self.slots[at] = f"{kind} {zlib.crc32(str(key).encode()) % self.number}"
+        return self.slots[at]
+
+    def _entries(self, slot: str) -> dict[str, str]:
+        if slot not in self.lines:
+            found = None if self.new else self.state.getValue((slot,))
+            lines = zlib.decompress(found[0]).decode().split("\n") if found else []
+            self.lines[slot] = dict(zip(lines[::2], lines[1::2], strict=True))
+        return self.lines[slot]
+
+    def get(self, slot: str, name: str) -> Any:
+        if (at := (slot, name)) not in self.values:
+            line = self._entries(slot).get(name)
+            self.values[at] = None if line is None else json.loads(line)
+        return self.values[at]
+
+    def set(self, slot: str, name: str, value: Any) -> None:
+        """None removes."""
+        self.values[slot, name] = value
+        self.changed.add((slot, name))
+
+    def flush(self) -> None:
+        for slot, name in self.changed:
+            if (value := self.values[slot, name]) is None:
+                self._entries(slot).pop(name, None)
+            else:
+                self._entries(slot)[name] = _plain(value)
+        for slot in {slot for slot, _ in self.changed}:
+            if lines := self.lines[slot]:
+                self.state.updateValue((slot,), (zlib.compress("\n".join(chain.from_iterable(lines.items())).encode(), 1),))
+            elif not self.new:
+                self.state.removeKey((slot,))
 
-    def __init__(self, rules: Rules):
-        self.rules = rules
+
+class _Paging(StatefulProcessor):
+    """A page of keys: one call and a few slots for many keys, as every call and every read or write of a state costs more than the decisions on a row."""
+
+    def __init__(self, rules: Rules, slots: int):
+        self.rules, self.slots = rules, slots
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.code = handle.getValueState("code", "family string, rows string")
+        self.state = handle.getMapState("slots", "slot string", "entries binary")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        found = self.code.get()
-        code = Code(found[0], json.loads(found[1])) if found else Code()
-        out = [x for row in _in_turn(rows, "seq") for x in _numbered(route(code, self.rules, row), row)]
-        self.code.update((code.family, json.dumps(code.rows, ensure_ascii=False)))
-        return (_routed(*x) for x in out)
 
+class _Routing(_Paging):
+    """A page of codes: of each its family, and the last row of each system, of which a code has few."""
 
-class _Stored(MutableMapping):
-    """A map state as a mapping of JSON values; what is read is kept, what is set is written by flush(). A new key's map is empty and not asked."""
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        slots, codes, out = _Slots(self.state, self.slots), {}, []
+        for row in _in_turn(rows, "seq"):
+            at = slots.of(row["root"], row["code"]), repr(row["code"])
+            if at not in codes:
+                codes[at] = Code(*slots.get(*at) or ())
+            out += _numbered(route(codes[at], self.rules, row), row)
+        for at, code in codes.items():
+            slots.set(*at, [code.family, code.rows])
+        slots.flush()
+        yield pd.DataFrame(out, columns=_ROUTED)
 
-    def __init__(self, state: MapState, new: bool, load=lambda x: x, dump=lambda x: x):
-        self.state, self.load, self.dump, self.read, self.changed, self.new = state, load, dump, {}, set(), new
 
-    def __getitem__(self, key: str) -> Any:
-        if key not in self.read:
-            found = None if self.new else self.state.getValue((key,))
-            self.read[key] = None if found is None else self.load(json.loads(found[0]))
-        if self.read[key] is None:
-            raise KeyError(key)
-        return self.read[key]
+class _OfFamily:
+    """What a family keeps of its records, as a mapping: all in one entry, as they are few."""
 
-    def __setitem__(self, key: str, value: Any) -> None:
-        self.read[key] = value
-        self.changed.add(key)
+    def __init__(self, slots: _Slots, family: str, kind: str, load=lambda x: x, dump=lambda x: x):
+        self.slots, self.kind, self.load, self.dump = slots, kind, load, dump
+        self.at = slots.of("family", family), repr(family)
 
-    def __delitem__(self, key: str) -> None:
-        self[key] = None
+    def _kept(self) -> dict[str, dict]:
+        return self.slots.get(*self.at) or {}
 
-    def __iter__(self) -> Iterator[str]:
-        stored = [] if self.new else [k[0] for k in self.state.keys()]
-        names = dict.fromkeys([*stored, *self.read])
-        return iter([k for k in names if self.get(k) is not None])
+    def get(self, key: str, default: Any = None) -> Any:
+        found = self._kept().get(self.kind, {}).get(key)
+        return default if found is None else self.load(found)
 
-    def __len__(self) -> int:
-        return sum(1 for _ in self)
+    def items(self) -> list[tuple[str, Any]]:
+        return [(k, self.load(v)) for k, v in self._kept().get(self.kind, {}).items()]
 
-    def flush(self) -> None:
-        for key in self.changed:
-            value = self.read[key]
-            if value is not None:
-                self.state.updateValue((key,), (json.dumps(self.dump(value), ensure_ascii=False),))
-            elif not self.new:
-                self.state.removeKey((key,))
+    def __setitem__(self, key: str, value: Any) -> None:
+        kept = self._kept()
+        kept.setdefault(self.kind, {})[key] = self.dump(value)
+        self.slots.set(*self.at, kept)
 
 
-class _Settling(StatefulProcessor):
-    """A family's state: maps of its records, of the record of each code, of held rows by code. A batch touches only what its rows name, and the family's few records."""
+class _OfCodes:
+    """What a family keeps of its codes, as a mapping: an entry for each in the code's own slot, as they may be many."""
 
-    def __init__(self, rules: Rules):
-        self.rules = rules
+    def __init__(self, slots: _Slots, family: str, kind: str):
+        self.slots, self.family, self.kind = slots, family, kind
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "known boolean")
-        self.maps = [handle.getMapState(n, "name string", "value string") for n in ("records", "codes", "held", "of")]
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        new = self.known.get() is None
-        records, *others = self.maps
-        family = Family(_Stored(records, new, lambda x: Golden(**x), lambda g: g.__dict__), *[_Stored(m, new) for m in others])
-        out = [x for row in _in_turn(rows, "seq", "nth") for x in settle(family, self.rules, row)]
-        for m in (family.records, family.codes, family.held, family.of):
-            m.flush()
-        if new:
-            self.known.update((True,))
-        return (_told(*x) for x in out)
-
-
-def stream(inbox: DataFrame, rules: Rules) -> DataFrame:
-    """The same of a stream of inbox rows in the order of seq, batch after batch; both states live in RocksDB (see flows.rocksdb)."""
-    routed = _rows(inbox).groupBy("root", "code").transformWithState(_Routing(rules), ROUTED, "append", "None")
-    return routed.groupBy("family").transformWithState(_Settling(rules), OUT, "append", "None")
+    def _at(self, key: str) -> tuple[str, str]:
+        return self.slots.of(key.split("|")[0], key), repr((self.family, key))
+
+    def get(self, key: str) -> Any:
+        return (self.slots.get(*self._at(key)) or {}).get(self.kind)
+
+    def pop(self, key: str, default: Any = None) -> Any:
+        kept = self.slots.get(*(at := self._at(key))) or {}
+        if self.kind not in kept:
+            return default
+        found = kept.pop(self.kind)
+        self.slots.set(*at, kept or None)
+        return found
+
+    def __setitem__(self, key: str, value: Any) -> None:
+        at = self._at(key)
+        self.slots.set(*at, {**(self.slots.get(*at) or {}), self.kind: value})
+
+
+class _Settling(_Paging):
+    """A page of families: of each its few records, the record of each code, and held rows by code."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        slots, families, out = _Slots(self.state, self.slots), {}, []
+        for row in _in_turn(rows, "seq", "nth"):
+            if (name := row["family"]) not in families:
+                records = _OfFamily(slots, name, "records", lambda x: Golden(**x), lambda g: g.__dict__)
+                families[name] = Family(records, _OfCodes(slots, name, "codes"), _OfCodes(slots, name, "held"), _OfFamily(slots, name, "of"))
+            out += settle(families[name], self.rules, row)
+        slots.flush()
+        yield pd.DataFrame(out, columns=_OUT)
+
+
+def stream(inbox: DataFrame, rules: Rules, pages: int = 1024, slots: int = 8) -> DataFrame:
+    """The same of a stream of inbox rows in the order of seq, batch after batch; both states live in RocksDB (see flows.rocksdb).
+
+    Codes, and families too, are dealt over pages, and a page's entries over slots for each
+    system and for families. More of both make a slot, which is read and written whole where a
+    batch touches it, smaller, and calls more; a stream goes on from its checkpoint with the
+    numbers it began with.
+    """
+    routed = _paged(_rows(inbox), ("root", "code"), pages).groupBy("page").transformWithStateInPandas(_Routing(rules, slots), ROUTED, "append", "None")
+    return _paged(routed, ("family",), pages).groupBy("page").transformWithStateInPandas(_Settling(rules, slots), OUT, "append", "None")
 
 
 def still_held(settled: DataFrame) -> DataFrame:
