@@ -10,12 +10,13 @@ through the same functions.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import pickle
 import zlib
 from collections.abc import Iterator, MutableMapping, Sequence
 from dataclasses import dataclass, field
-from itertools import chain
 from operator import itemgetter
 from typing import Any
 
@@ -34,7 +35,7 @@ ROUTED = "family string, seq long, nth int, system string, code string, row_kind
 OUT = "key string, seq long, nth int, system string, code string, outcome string, reason string, rev long, record string, changed string, skip string, conflicts string"
 _ROUTED, _OUT = ([c.split()[0] for c in s.split(", ")] for s in (ROUTED, OUT))
 _said = itemgetter(*_ROUTED[3:])
-_hashed, _plain, _sorted = json.JSONEncoder(ensure_ascii=False, default=str).encode, json.JSONEncoder(ensure_ascii=False).encode, json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
+_hashed, _sorted = json.JSONEncoder(ensure_ascii=False, default=str).encode, json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
 
 
 @dataclass(frozen=True)
@@ -221,11 +222,11 @@ def _paged(rows: DataFrame, by: Sequence[str], pages: int) -> DataFrame:
 
 
 class _Slots:
-    """A page's state: entries by name (no line breaks), dealt over slots that are read and written whole, lines of names and of JSON values. A batch touches only slots that its rows name, parses only entries that it asks for, and asks nothing of a new page."""
+    """A page's state: entries by name, dealt over slots that are read and written whole. A batch touches only slots that its rows name, unpacks only entries that it asks for, and asks nothing of a new page."""
 
     def __init__(self, state: MapState, number: int):
         self.state, self.number = state, number
-        self.slots, self.lines, self.values, self.changed = {}, {}, {}, set()
+        self.slots, self.packed, self.values, self.changed = {}, {}, {}, set()
         self.new = not state.exists()
 
     def of(self, kind: str, key: str | None) -> str:
@@ -233,20 +234,19 @@ class _Slots:
             self.slots[at] = f"{kind} {zlib.crc32(str(key).encode()) % self.number}"
         return self.slots[at]
 
-    def _entries(self, slot: str) -> dict[str, str]:
-        if slot not in self.lines:
+    def _entries(self, slot: str) -> dict[Any, bytes]:
+        if slot not in self.packed:
             found = None if self.new else self.state.getValue((slot,))
-            lines = zlib.decompress(found[0]).decode().split("\n") if found else []
-            self.lines[slot] = dict(zip(lines[::2], lines[1::2], strict=True))
-        return self.lines[slot]
+            self.packed[slot] = pickle.loads(zlib.decompress(found[0])) if found else {}
+        return self.packed[slot]
 
-    def get(self, slot: str, name: str) -> Any:
+    def get(self, slot: str, name: Any) -> Any:
         if (at := (slot, name)) not in self.values:
-            line = self._entries(slot).get(name)
-            self.values[at] = None if line is None else json.loads(line)
+            packed = self._entries(slot).get(name)
+            self.values[at] = None if packed is None else pickle.loads(packed)
         return self.values[at]
 
-    def set(self, slot: str, name: str, value: Any) -> None:
+    def set(self, slot: str, name: Any, value: Any) -> None:
         """None removes."""
         self.values[slot, name] = value
         self.changed.add((slot, name))
@@ -256,10 +256,10 @@ class _Slots:
             if (value := self.values[slot, name]) is None:
                 self._entries(slot).pop(name, None)
             else:
-                self._entries(slot)[name] = _plain(value)
+                self._entries(slot)[name] = pickle.dumps(value)
         for slot in {slot for slot, _ in self.changed}:
-            if lines := self.lines[slot]:
-                self.state.updateValue((slot,), (zlib.compress("\n".join(chain.from_iterable(lines.items())).encode(), 1),))
+            if entries := self.packed[slot]:
+                self.state.updateValue((slot,), (zlib.compress(pickle.dumps(entries), 1),))
             elif not self.new:
                 self.state.removeKey((slot,))
 
@@ -267,27 +267,41 @@ class _Slots:
 class _Paging(StatefulProcessor):
     """A page of keys: one call and a few slots for many keys, as every call and every read or write of a state costs more than the decisions on a row."""
 
+    columns: list[str]
+
     def __init__(self, rules: Rules, slots: int):
         self.rules, self.slots = rules, slots
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getMapState("slots", "slot string", "entries binary")
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        slots, collects = _Slots(self.state, self.slots), gc.isenabled()
+        gc.disable()  # a page's many rows and entries hold no cycles, and looking for some takes a fifth of the time
+        try:
+            out = self.take(slots, rows)
+            slots.flush()
+        finally:
+            if collects:
+                gc.enable()
+        yield pd.DataFrame(out, columns=self.columns)
+
 
 class _Routing(_Paging):
     """A page of codes: of each its family, and the last row of each system, of which a code has few."""
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        slots, codes, out = _Slots(self.state, self.slots), {}, []
+    columns = _ROUTED
+
+    def take(self, slots: _Slots, rows: Iterator[pd.DataFrame]) -> list[tuple]:
+        codes, out = {}, []
         for row in _in_turn(rows, "seq"):
-            at = slots.of(row["root"], row["code"]), repr(row["code"])
+            at = slots.of(row["root"], row["code"]), row["code"]
             if at not in codes:
                 codes[at] = Code(*slots.get(*at) or ())
             out += _numbered(route(codes[at], self.rules, row), row)
         for at, code in codes.items():
             slots.set(*at, [code.family, code.rows])
-        slots.flush()
-        yield pd.DataFrame(out, columns=_ROUTED)
+        return out
 
 
 class _OfFamily:
@@ -295,7 +309,7 @@ class _OfFamily:
 
     def __init__(self, slots: _Slots, family: str, kind: str, load=lambda x: x, dump=lambda x: x):
         self.slots, self.kind, self.load, self.dump = slots, kind, load, dump
-        self.at = slots.of("family", family), repr(family)
+        self.at = slots.of("family", family), family
 
     def _kept(self) -> dict[str, dict]:
         return self.slots.get(*self.at) or {}
@@ -320,7 +334,7 @@ class _OfCodes:
         self.slots, self.family, self.kind = slots, family, kind
 
     def _at(self, key: str) -> tuple[str, str]:
-        return self.slots.of(key.split("|")[0], key), repr((self.family, key))
+        return self.slots.of(key.split("|")[0], key), (self.family, key)
 
     def get(self, key: str) -> Any:
         return (self.slots.get(*self._at(key)) or {}).get(self.kind)
@@ -341,15 +355,16 @@ class _OfCodes:
 class _Settling(_Paging):
     """A page of families: of each its few records, the record of each code, and held rows by code."""
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        slots, families, out = _Slots(self.state, self.slots), {}, []
+    columns = _OUT
+
+    def take(self, slots: _Slots, rows: Iterator[pd.DataFrame]) -> list[tuple]:
+        families, out = {}, []
         for row in _in_turn(rows, "seq", "nth"):
             if (name := row["family"]) not in families:
                 records = _OfFamily(slots, name, "records", lambda x: Golden(**x), lambda g: g.__dict__)
                 families[name] = Family(records, _OfCodes(slots, name, "codes"), _OfCodes(slots, name, "held"), _OfFamily(slots, name, "of"))
             out += settle(families[name], self.rules, row)
-        slots.flush()
-        yield pd.DataFrame(out, columns=_OUT)
+        return out
 
 
 def stream(inbox: DataFrame, rules: Rules, pages: int = 1024, slots: int = 8) -> DataFrame:
